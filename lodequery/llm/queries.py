@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lodequery.llm.knn_graph import nearest_neighbors
 from lodequery.llm.leakage import find_leaks
 from lodequery.llm.repetition import find_repetitive, measure_repetition
 from lodequery.session import table
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = nearest_neighbors(table(spark, d, "vector_log"), k=5, min_similarity=0.9)
+    return near.select(F.least("id", "neighbor").alias("id_lo"), F.greatest("id", "neighbor").alias("id_hi")).distinct()
+
+
+def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_neighbors(table(spark, d, "vector_log"), k=5)
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -21,5 +32,16 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return measure_repetition(table(spark, d, "documents"))
 
 
-QUERIES = {"p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
-SQL: dict[str, str] = {}
+QUERIES = {"p5_found": p5_found, "p5_neighbors": p5_neighbors, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
+SQL: dict[str, str] = {
+    "p5_found": """
+with v as (
+  select distinct on (id) id, list_slice(vals, pos * dim + 1, pos * dim + dim)::double[] as x
+  from (select unnest(global_ids) as id, unnest(range(len(global_ids))) as pos, dim, vec_values as vals
+        from vector_log where len(vec_values) = len(global_ids) * dim)),
+n as (select id, x, sqrt(list_inner_product(x, x)) as norm from v),
+s as (select a.id as a, b.id as b, case when a.norm = 0 or b.norm = 0 then 0 else round(list_inner_product(a.x, b.x) / (a.norm * b.norm), 9) end as sim
+      from n a, n b where a.id <> b.id),
+t as (select a, b, sim from s qualify row_number() over (partition by a order by sim desc, b) <= 5)
+select distinct least(a, b) as id_lo, greatest(a, b) as id_hi from t where sim >= 0.9""",
+}
