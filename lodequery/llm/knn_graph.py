@@ -291,9 +291,9 @@ def nearest_neighbors(
     values: str = "vec_values",
     dim: str = "dim",
     seq: str = "seq",
-    ef: int = 16,
-    m: int = 8,
-    ef_construction: int = 24,
+    ef: int = 24,
+    m: int = 12,
+    ef_construction: int = 32,
     probes: int = 6,
     slack: float = 0.2,
     sample: int = SAMPLE,
