@@ -7,10 +7,20 @@ from pyspark.sql import functions as F
 
 from lodequery.llm.knn_graph import nearest_neighbors
 from lodequery.llm.leakage import find_leaks
+from lodequery.llm.packing import pack_documents, room_left
 from lodequery.llm.repetition import find_repetitive, measure_repetition
+from lodequery.llm.segment import cut_kinds, split_passages
 from lodequery.session import table
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return cut_kinds(split_passages(table(spark, d, "passages"), renumber=False))
+
+
+def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
+    return split_passages(table(spark, d, "passages"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     near = nearest_neighbors(table(spark, d, "vector_log"), k=5, min_similarity=0.9)
     return near.select(F.least("id", "neighbor").alias("id_lo"), F.greatest("id", "neighbor").alias("id_hi")).distinct()
@@ -20,6 +30,14 @@ def p5_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return nearest_neighbors(table(spark, d, "vector_log"), k=5)
 
 
+def p6_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_documents(table(spark, d, "documents"), table(spark, d, "pack_limits"))
+
+
+def p6_room(spark: SparkSession, d: str) -> DataFrame:
+    return room_left(p6_containers(spark, d))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -32,8 +50,11 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return measure_repetition(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_neighbors": p5_neighbors, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_containers": p6_containers, "p6_room": p6_room, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {
+    "p3_found": r"""
+select distinct passage_id, case when regexp_matches(text, '[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]{1000}[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]') then 'hard' else 'natural' end as cut_kind
+from passages where length(text) > 1000 and passage_id is not null""",
     "p5_found": """
 with v as (
   select distinct on (id) id, list_slice(vals, pos * dim + 1, pos * dim + dim)::double[] as x
