@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 
-_CELLS = 4_000_000  # of the matrix of visited nodes of one block of queries
+_CELLS = 1_000_000  # of the matrix of visited nodes of one block of queries
 
 
 def unit(vectors: np.ndarray) -> np.ndarray:
@@ -23,6 +23,11 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).astype(np.float32)
 
 
+def _dots(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """[b, c]: products of each row of q with the c vectors named for it."""
+    return np.matmul(x.take(ids, axis=0), q[:, :, None])[:, :, 0]
+
+
 def draw_levels(n: int, m: int, seed: int) -> np.ndarray:
     """Each node's top layer: floor(-ln(U) / ln(m)), U uniform in (0, 1]."""
     u = 1.0 - np.random.default_rng(seed).random(n)
@@ -90,7 +95,8 @@ class HNSW:
             ids, sims = self._beam(lay, q, self._descend(q, lay), self.ef_construction)
             mates = q @ q.T
             np.fill_diagonal(mates, -np.inf)
-            best = np.argsort(-mates, axis=1)[:, : self.ef_construction]
+            most = min(self.ef_construction, batch.size)
+            best = np.argpartition(-mates, most - 1, axis=1)[:, :most]
             ids = np.hstack([ids, batch[best]])
             sims = np.hstack([sims, np.take_along_axis(mates, best, 1)])
             self._link(lay, batch, ids, sims)
@@ -98,10 +104,10 @@ class HNSW:
 
     def _pick(self, ids: np.ndarray, sims: np.ndarray, width: int, m: int) -> np.ndarray:
         """Up to m neighbours out of candidates, padded, nearest first."""
-        order = np.argsort(-sims, axis=1, kind="stable")[:, :width]
+        order = np.argsort(-sims, axis=1)[:, :width]
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         if self.diverse:
-            v = self.vectors[ids]
+            v = self.vectors.take(ids, axis=0)
             kept = select_diverse(sims, v @ v.transpose(0, 2, 1), m)
         else:
             kept = select_closest(sims, m)
@@ -142,7 +148,7 @@ class HNSW:
         links[own[fits]] = wide[fits]
         if not fits.all():
             full, cands = own[~fits], every[~fits][:, : int(used.max())]
-            near = np.einsum("bcd,bd->bc", self.vectors[cands], self.vectors[full])
+            near = _dots(self.vectors, cands, self.vectors[full])
             near[cands == n] = -np.inf
             links[full] = self._pick(cands, near, cands.shape[1], room)
 
@@ -154,7 +160,7 @@ class HNSW:
             moving = np.arange(q.shape[0])
             while moving.size:
                 near = self.links[lay][at[moving]]
-                sims = np.einsum("bcd,bd->bc", self.vectors[near], q[moving])
+                sims = _dots(self.vectors, near, q[moving])
                 sims[near == self.size] = -np.inf
                 j = sims.argmax(axis=1)
                 sim = sims[np.arange(moving.size), j]
@@ -175,61 +181,60 @@ class HNSW:
         n, links, x = self.size, self.links[lay], self.vectors
         out_ids = np.full((q.shape[0], ef), n, np.int64)
         out_sims = np.full((q.shape[0], ef), -np.inf, np.float32)
-        block = max(1, _CELLS // (n + 1))
+        block = max(64, _CELLS // (n + 1))
         for lo in range(0, q.shape[0], block):
             qs = q[lo : lo + block]
-            b = qs.shape[0]
-            rows = np.arange(b)
-            visited = np.zeros((b, n + 1), bool)
+            slot = np.arange(qs.shape[0])  # of each beam that is still open: its row in the block
+            visited = np.zeros((slot.size, n + 1), bool)
             visited[:, n] = True
-            ids = np.full((b, ef), n, np.int64)
-            sims = np.full((b, ef), -np.inf, np.float32)
-            open_ = np.zeros((b, ef), bool)
+            ids = np.full((slot.size, ef), n, np.int64)
+            sims = np.full((slot.size, ef), -np.inf, np.float32)
+            open_ = np.zeros((slot.size, ef), bool)
             ids[:, 0] = entry[lo : lo + block]
             sims[:, 0] = np.einsum("ij,ij->i", x[ids[:, 0]], qs)
             open_[:, 0] = True
-            visited[rows, ids[:, 0]] = True
-            kept_ids = kept_sims = None
+            visited[slot, ids[:, 0]] = True
+            kept_ids, kept_sims = ids, sims
             if allowed is not None:
                 kept_ids, kept_sims = ids.copy(), np.where(allowed[ids], sims, np.float32(-np.inf))
-            while rows.size:
+            while slot.size:
+                going = open_.any(axis=1)
+                if going.sum() < 0.8 * slot.size or not going.any():  # closed beams leave together, now and then
+                    if allowed is None:
+                        kept_ids, kept_sims = ids, sims
+                    done = lo + slot[~going]
+                    out_ids[done], out_sims[done] = kept_ids[~going], kept_sims[~going]
+                    slot, qs, ids, sims, open_ = slot[going], qs[going], ids[going], sims[going], open_[going]
+                    if allowed is not None:
+                        kept_ids, kept_sims = kept_ids[going], kept_sims[going]
+                    continue
                 # beams are sorted, so the first open places are the best ones
-                place = np.argsort(~open_[rows], axis=1, kind="stable")[:, :step]
-                live = np.take_along_axis(open_[rows], place, 1)
-                going = live.any(axis=1)
-                if not going.all():
-                    rows, place, live = rows[going], place[going], live[going]
-                    if not rows.size:
-                        break
-                r = rows[:, None]
-                front = np.where(live, ids[r, place], n)
-                open_[r, place] = False
-                cand = links[front].reshape(rows.size, -1).astype(np.int64)
-                cand[visited[r, cand]] = n
+                row = np.arange(slot.size)[:, None]
+                place = np.argsort(~open_, axis=1, kind="stable")[:, :step]
+                front = np.where(open_[row, place], ids[row, place], n)
+                open_[row, place] = False
+                cand = links.take(front.ravel(), axis=0).reshape(slot.size, -1).astype(np.int64)
+                seen = visited[slot[:, None], cand]
+                cand[seen] = n
                 cand.sort(axis=1)
-                cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = n
-                visited[r, cand] = True
-                width = int((cand < n).sum(axis=1).max())
+                width = cand.shape[1] - int(seen.sum(axis=1).min())
                 if not width:
                     continue
-                cand.sort(axis=1)
                 cand = cand[:, :width]
-                new = np.einsum("bcd,bd->bc", x[cand], qs[rows])
+                cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = n
+                visited[slot[:, None], cand] = True
+                new = _dots(x, cand, qs)
                 new[cand == n] = -np.inf
-                all_ids, all_sims = np.hstack([ids[rows], cand]), np.hstack([sims[rows], new])
-                all_open = np.hstack([open_[rows], cand < n])
-                order = np.argsort(-all_sims, axis=1, kind="stable")[:, :ef]
-                ids[rows] = np.take_along_axis(all_ids, order, 1)
-                sims[rows] = np.take_along_axis(all_sims, order, 1)
-                open_[rows] = np.take_along_axis(all_open, order, 1)
+                all_sims = np.hstack([sims, new])
+                order = np.argsort(-all_sims, axis=1)[:, :ef] + row * all_sims.shape[1]
+                sims = all_sims.take(order)
+                ids = np.hstack([ids, cand]).take(order)
+                open_ = np.hstack([open_, cand < n]).take(order)
                 if allowed is not None:
                     new[~allowed[cand]] = -np.inf
-                    all_ids, all_sims = np.hstack([kept_ids[rows], cand]), np.hstack([kept_sims[rows], new])
-                    order = np.argsort(-all_sims, axis=1, kind="stable")[:, :ef]
-                    kept_ids[rows] = np.take_along_axis(all_ids, order, 1)
-                    kept_sims[rows] = np.take_along_axis(all_sims, order, 1)
-            out_ids[lo : lo + b] = ids if allowed is None else kept_ids
-            out_sims[lo : lo + b] = sims if allowed is None else kept_sims
+                    all_sims = np.hstack([kept_sims, new])
+                    order = np.argsort(-all_sims, axis=1)[:, :ef] + row * all_sims.shape[1]
+                    kept_sims, kept_ids = all_sims.take(order), np.hstack([kept_ids, cand]).take(order)
         out_ids[~np.isfinite(out_sims)] = n
         return out_ids, out_sims
 
