@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodequery.llm.knn_graph import nearest_neighbors
 from lodequery.llm.leakage import find_leaks
+from lodequery.llm.markup import clean_passages, markup_found
 from lodequery.llm.packing import pack_documents, room_left
 from lodequery.llm.repetition import find_repetitive, measure_repetition
 from lodequery.llm.segment import cut_kinds, split_passages
@@ -21,6 +22,14 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_passages(table(spark, d, "passages"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return markup_found(clean_passages(table(spark, d, "passages")))
+
+
+def p4_clean(spark: SparkSession, d: str) -> DataFrame:
+    return clean_passages(table(spark, d, "passages")).select("passage_id", "text", "heading").distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     near = nearest_neighbors(table(spark, d, "vector_log"), k=5, min_similarity=0.9)
     return near.select(F.least("id", "neighbor").alias("id_lo"), F.greatest("id", "neighbor").alias("id_hi")).distinct()
@@ -50,7 +59,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return measure_repetition(table(spark, d, "documents"))
 
 
-QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_containers": p6_containers, "p6_room": p6_room, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p4_clean": p4_clean, "p5_found": p5_found, "p5_neighbors": p5_neighbors, "p6_containers": p6_containers, "p6_room": p6_room, "p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares}
 SQL: dict[str, str] = {
     "p3_found": r"""
 select distinct passage_id, case when regexp_matches(text, '[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]{1000}[^\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]') then 'hard' else 'natural' end as cut_kind
