@@ -34,7 +34,7 @@ ITEMS = 60_000
 #: Containers of a window in which the mixture is reported.
 WINDOW = 64
 #: Below this part of the capacity the best fit among all sources is taken.
-LAST_PART = 0.25
+LAST_PART = 0.5
 _LONG = 100_000
 _MOST_LIMITS = 1_000
 
@@ -170,7 +170,8 @@ def pack(
         return schema
     known = sorted(map(tuple, known), key=lambda x: (x[1], x[0] or ""))
     pieces = lambda c: F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / F.lit(c)))
-    count = sizes.agg(*[F.coalesce(F.sum(pieces(c)), F.lit(0)).alias(f"c{i}") for i, (_, c) in enumerate(known)]).first()
+    sums = [F.coalesce(F.sum(pieces(c)), F.lit(0)).alias(f"c{i}") for i, (_, c) in enumerate(known)]
+    *count, tokens = sizes.agg(*sums, F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("tokens")).first()
     parts = [max(1, round(n / items)) for n in count]
     first = np.cumsum([0, *parts])
     every = F.array(*[
@@ -186,11 +187,7 @@ def pack(
     served = rows.groupBy("limit_name", "capacity", "first", "part", "source").agg(F.sum("size").alias("served"))
     served = materialize(served, "served")  # partitions times sources, used twice
     if targets is None:
-        total = sizes.groupBy("source").agg(F.sum("n_tokens").alias("t"))
-        everything = sizes.agg(F.sum("n_tokens").alias("every"))
-        shares = total.crossJoin(F.broadcast(everything)).select(  # one row
-            F.col("source").alias("s"), F.coalesce(F.try_divide(F.col("t").cast("double"), F.col("every")), F.lit(0.0)).alias("share")
-        )
+        shares = sizes.groupBy(F.col("source").alias("s")).agg((F.sum("n_tokens") / F.lit(float(max(1, tokens)))).alias("share"))
     else:
         shares = targets.select(F.col("source").cast("string").alias("s"), F.col("share").cast("double").alias("share"))
     parts_total = served.groupBy("limit_name", "capacity", "first", "part").agg(F.sum("served").alias("tokens"))
