@@ -51,8 +51,13 @@ class Route:
         """[n, probes] nearest cells, nearest first, and which of them to search."""
         sims = x @ self.centroids.T
         probes = min(self.probes, sims.shape[1])
-        best = np.argsort(-sims, axis=1, kind="stable")[:, :probes]
+        if probes < sims.shape[1]:
+            best = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
+        else:
+            best = np.broadcast_to(np.arange(probes), sims.shape)
         near = np.take_along_axis(sims, best, 1)
+        order = np.lexsort((best, -near), axis=1)
+        best, near = np.take_along_axis(best, order, 1), np.take_along_axis(near, order, 1)
         return best, near >= near[:, :1] - np.float32(self.slack)
 
 
@@ -105,6 +110,9 @@ def _hash(x: np.ndarray) -> np.ndarray:
 
 def _copies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Index of the first of each group of equal rows, and each row's group."""
+    _, first, group = np.unique(_hash(x), return_index=True, return_inverse=True)
+    if (x == x[first[group]]).all():
+        return first, group
     rows = np.ascontiguousarray(x).view(np.dtype((np.void, x.shape[1] * x.itemsize))).ravel()
     _, first, group = np.unique(rows, return_index=True, return_inverse=True)
     return first, group.ravel()
@@ -165,7 +173,8 @@ def _route_rows(ids: np.ndarray, x: np.ndarray, route: Route, parts: int) -> Ite
     if not shard:
         return
     shard, row, role = np.concatenate(shard), np.concatenate(row), np.concatenate(role)
-    blob = pa.array([v.tobytes() for v in x], pa.binary())
+    flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), x.shape[0], [None, pa.py_buffer(np.ascontiguousarray(x))])
+    blob = flat.cast(pa.binary())
     own = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
     for lo in range(0, row.size, 10_000):
         cut = slice(lo, lo + 10_000)
@@ -210,7 +219,10 @@ def _pairs(shard: _Shard, q: np.ndarray, ids: np.ndarray, at: np.ndarray, entry:
 
 def _search_shards(dim: int, k: int, ef: int, m: int, ef_construction: int, least: float):
     def matrix(column: pa.Array) -> np.ndarray:
-        return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(-1, dim)
+        """Without nulls, all values of dim floats: their bytes lie one after another."""
+        _, offsets, data = column.buffers()
+        first = np.frombuffer(offsets, np.int32)[column.offset]
+        return np.frombuffer(data, np.uint8)[first : first + len(column) * 4 * dim].view(np.float32).reshape(-1, dim)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, base, built = -1, [], None
@@ -319,10 +331,9 @@ def nearest_neighbors(
     least = -2.0 if min_similarity is None else min_similarity
     for d, n in sorted(map(tuple, dims)):
         one = _settled(clean.where(F.col(dim) == d), ids, values, seq, d)
-        per = max(1, n // max(1, one.count()))
-        chosen = one if n <= sample else one.sample(min(1.0, 1.2 * sample / n), seed=11)
+        chosen = one if n <= sample else one.sample(0.95 * sample / n, seed=11)
         vectors = [np.zeros((0, d), np.float32)]
-        for batch in chosen.limit(max(1, sample // per)).toArrow().to_batches():
+        for batch in chosen.toArrow().to_batches():
             vectors.append(_valid(batch, d)[1])
         route = make_route(np.vstack(vectors)[:sample], n, probes, slack, cell, shard, queries)
         shared = spark.sparkContext.broadcast(route)
