@@ -324,8 +324,9 @@ def nearest_neighbors(
     if k < 1:
         raise ValueError("k must be at least 1")
     spark = log.sparkSession
-    clean = log.where((F.col(dim) > 0) & (F.size(values) == F.size(ids) * F.col(dim)) & (F.size(ids) > 0))
-    dims = clean.groupBy(dim).agg(F.sum(F.size(ids)).alias("n")).collect()  # a collection has one dim, rarely a few
+    named = log.where((F.col(dim) > 0) & (F.size(ids) > 0))
+    clean = named.where(F.size(values) == F.size(ids) * F.col(dim))
+    dims = named.groupBy(dim).agg(F.sum(F.size(ids)).alias("n")).collect()  # a collection has one dim, rarely a few; n bounds the vectors
     schema = "id bigint, neighbor bigint, similarity double"
     found = spark.createDataFrame([], schema)
     least = -2.0 if min_similarity is None else min_similarity

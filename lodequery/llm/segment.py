@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodequery.session import materialize, spread
+from lodequery.session import materialize
 
 LIMIT, OVERLAP = 1000, 150
 #: Words of a block on either side of a boundary.
@@ -191,7 +191,7 @@ def split_passages(
 
     if not keep_short and not renumber:
         once = once.where(F.length("text") > limit)
-    pieces = spread(once, "passage_id").mapInArrow(run, _PIECES)
+    pieces = once.mapInArrow(run, _PIECES)
     if renumber:
         pieces = materialize(pieces, "pieces")  # the split would else run once for the count and once for the result
         skip = _first_index(pieces)
