@@ -82,9 +82,9 @@ def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Redistribute rows by key only if the input has fewer partitions than the cluster has cores.
+    """Redistribute a scan's rows by key only if it has fewer partitions than the cluster has cores.
 
-    A large table arrives in many partitions and isn't shuffled; a small single file would otherwise keep one core busy.
+    For scans and what is computed of them row by row: asking a shuffle for its partitions would run it. A large table arrives in many partitions and isn't shuffled; a small single file would otherwise keep one core busy.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
