@@ -88,6 +88,10 @@ def _is_one_of(item: Column, values: list) -> Column:
     return reduce(lambda a, b: a | b, tests)
 
 
+def _test(values: list):
+    return lambda item: _is_one_of(item, values)
+
+
 def matches(payload: Column | str, where: dict | None) -> Column:
     """Predicate on a JSON text column; null or broken payloads and missing fields match nothing."""
     wanted = normalize_filter(where)
@@ -98,7 +102,7 @@ def matches(payload: Column | str, where: dict | None) -> Column:
     for field, values in wanted.items():
         item = F.try_variant_get(v, _path(field), "variant")
         items = F.try_variant_get(v, _path(field), "array<variant>")
-        tests.append(_is_one_of(item, values) | F.exists(items, lambda x, values=values: _is_one_of(x, values)))
+        tests.append(_is_one_of(item, values) | F.exists(items, _test(values)))
     return reduce(lambda a, b: a & b, [F.coalesce(t, F.lit(False)) for t in tests])
 
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
+import os
 import re
 import zlib
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,7 +85,6 @@ def hash_embed(text: str | None, dim: int = DIM) -> list[float]:
 
 def hash_embed_udf(dim: int = DIM):
     """``hash_embed`` over Arrow batches, for long texts and many rows."""
-    import pandas as pd
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
@@ -100,17 +102,13 @@ def onnx_embedder(model_path: str, tokenizer_path: str, max_tokens: int = 512):
 
     Models aren't part of this library: without the files EmbedderUnavailable is raised.
     """
-    import os
-
-    import numpy as np
-    import pandas as pd
-
     for p in (model_path, tokenizer_path):
         if not os.path.exists(p):
             raise EmbedderUnavailable(f"{p} isn't there")
 
     @F.pandas_udf("array<float>")
-    def embed(batches):  # type: ignore[no-untyped-def]
+    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import numpy as np
         import onnxruntime as ort
         from tokenizers import Tokenizer
 
@@ -131,9 +129,6 @@ def onnx_embedder(model_path: str, tokenizer_path: str, max_tokens: int = 512):
                 out += (mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)).astype("float32").tolist()
             yield pd.Series(out)
 
-    from collections.abc import Iterator
-
-    embed.func.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return embed
 
 

@@ -13,7 +13,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lodequery.functions.text import hash_embed
 from lodequery.functions.vectors import cosine_similarity, literal
@@ -26,7 +25,7 @@ SAME = 0.97
 RECENT_WEIGHT, HALF_LIFE_DAYS = 0.03, 30
 CANDIDATES = 4
 
-_PAYLOAD = T.StructType.fromDDL("type string, memory_id string, text string, tags array<string>, created double, replaces variant, _namespace string")
+_PAYLOAD = "type string, memory_id string, text string, tags array<string>, created double, replaces variant, _namespace string"
 
 
 def from_payloads(log: DataFrame, owner: str, seq: str, payloads: str) -> DataFrame:

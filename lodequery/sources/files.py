@@ -7,6 +7,7 @@ import zipfile
 from collections.abc import Iterator
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,7 +38,6 @@ def find_documents(spark: SparkSession, paths: list[str], suffixes: tuple[str, .
 
 def decode_text(content: str = "content"):
     """UTF-8 with replacement of what isn't."""
-    import pandas as pd
 
     @F.pandas_udf("string")
     def decode(data: pd.Series) -> pd.Series:

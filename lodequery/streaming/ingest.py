@@ -13,7 +13,7 @@ from lodequery.operators.health import find_problems
 
 
 def replay(spark: SparkSession, source: str, target: str, checkpoint: str, files: int = 1, available: bool = True) -> StreamingQuery:
-    """Append a folder of Parquet files to ``target``, a version folder for each micro-batch.
+    """Append a folder of Parquet files, or one file, to ``target``, a version folder for each micro-batch.
 
     The batch number is the write's seq. A batch that is run again after a failure overwrites its own folder, so nothing
     is lost or doubled; ``read_replayed`` reads them in order.
@@ -22,7 +22,12 @@ def replay(spark: SparkSession, source: str, target: str, checkpoint: str, files
     def write(batch: DataFrame, seq: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/seq={seq}")
 
-    stream = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", files).parquet(source)
+    reader = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", files)
+    if any(p.endswith(source) for p in spark.read.parquet(source).inputFiles()):  # streams read folders only
+        folder, _, name = source.rpartition("/")
+        stream = reader.option("pathGlobFilter", name).parquet(folder)
+    else:
+        stream = reader.parquet(source)
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available else writer.trigger(processingTime="10 seconds")).start()
 
