@@ -13,7 +13,7 @@ import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from math import sqrt
+from math import log, sqrt
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -52,9 +52,16 @@ def boundaries(text: str) -> tuple[list[int], list[int]]:
 
 
 def valley_depths(text: str, places: list[int], block: int = BLOCK) -> list[float]:
-    """How far the similarity of the blocks around each place lies below the peaks on either side of it."""
+    """How far the similarity of the blocks around each place lies below the peaks on either side of it.
+
+    Words count less the more of the stretches between the places they stand in, so what every sentence holds doesn't
+    hide a change of topic. The similarities are smoothed over three places before valleys are looked for.
+    """
     tokens = [(m.start(), m[0].lower()) for m in _TOKEN.finditer(text)]
     starts, ws = [t[0] for t in tokens], [t[1] for t in tokens]
+    edges = [0, *(bisect_left(starts, p) for p in places), len(ws)]
+    spread = Counter(w for lo, hi in zip(edges, edges[1:], strict=False) for w in set(ws[lo:hi]))
+    weight = {w: log(1 + (len(edges) - 1) / n) ** 2 for w, n in spread.items()}
     sims: list[float] = []
     left: Counter[str] = Counter()
     right: Counter[str] = Counter()
@@ -64,7 +71,7 @@ def valley_depths(text: str, places: list[int], block: int = BLOCK) -> list[floa
     def change(side: Counter[str], other: Counter[str], w: str, by: int) -> tuple[float, float]:
         had = side[w]
         side[w] = had + by
-        return by * other[w], (had + by) ** 2 - had**2
+        return by * other[w] * weight[w], ((had + by) ** 2 - had**2) * weight[w]
 
     for place in places:
         mid = bisect_left(starts, place)
@@ -80,8 +87,9 @@ def valley_depths(text: str, places: list[int], block: int = BLOCK) -> list[floa
         while at_left < lo:
             d, s = change(left, right, ws[at_left], -1)
             dot, sq_left, at_left = dot + d, sq_left + s, at_left + 1
-        sims.append(dot / sqrt(sq_left * sq_right) if sq_left > 0 and sq_right > 0 else 0.0)
+        sims.append(dot / sqrt(sq_left * sq_right) if sq_left > 1e-9 and sq_right > 1e-9 else 0.0)
     n = len(sims)
+    sims = [sum(sims[max(0, i - 1) : i + 2]) / len(sims[max(0, i - 1) : i + 2]) for i in range(n)]
     peak_left, peak_right = sims[:], sims[:]
     for i in range(1, n):  # hill climbing: as long as the similarity doesn't fall
         peak_left[i] = max(sims[i], peak_left[i - 1]) if sims[i - 1] >= sims[i] else sims[i]
