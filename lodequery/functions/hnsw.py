@@ -34,17 +34,17 @@ def draw_levels(n: int, m: int, seed: int) -> np.ndarray:
     return np.floor(-np.log(u) / math.log(m)).astype(np.int64)
 
 
-def select_diverse(to_node: np.ndarray, among: np.ndarray, m: int) -> np.ndarray:
+def select_diverse(to_node: np.ndarray, among: np.ndarray, m: int, sure: int = 1) -> np.ndarray:
     """Which candidates to link to, as a mask: the nearest first, each only if it is nearer to the node than to every one kept.
 
-    to_node [b, c]: similarity of candidates, in descending order, -inf for none; among [b, c, c]: between candidates.
+    The ``sure`` nearest are kept in any case: more than one holds groups of near copies together. to_node [b, c]: similarity of candidates, in descending order, -inf for none; among [b, c, c]: between candidates.
     """
     b, c = to_node.shape
     kept = np.zeros((b, c), bool)
     count = np.zeros(b, np.int64)
     for j in range(c):
         near = (kept[:, :j] & (among[:, j, :j] > to_node[:, j, None])).any(axis=1)
-        good = ~near & (count < m) & np.isfinite(to_node[:, j])
+        good = (~near | (j < sure)) & (count < m) & np.isfinite(to_node[:, j])
         kept[:, j] = good
         count += good
     return kept
@@ -60,6 +60,7 @@ class HNSW:
     m: int = 8
     ef_construction: int = 32
     diverse: bool = True
+    sure: int = 1
     seed: int = 0
     vectors: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))  # last row: padding
     nodes: list[np.ndarray] = field(default_factory=list)  # by layer
@@ -108,7 +109,7 @@ class HNSW:
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         if self.diverse:
             v = self.vectors.take(ids, axis=0)
-            kept = select_diverse(sims, v @ v.transpose(0, 2, 1), m)
+            kept = select_diverse(sims, v @ v.transpose(0, 2, 1), m, self.sure)
         else:
             kept = select_closest(sims, m)
         place = np.argsort(~kept, axis=1, kind="stable")[:, :m]

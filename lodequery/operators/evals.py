@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodequery.functions.text import claimed_outcome
+
 
 def recall_at_k(found: DataFrame, truth: DataFrame, query_id: str = "query_id", row_id: str = "row_id") -> DataFrame:
     """One row: hits, expected, recall (hits of all queries over all expected) and mean_recall (mean over queries)."""
@@ -93,3 +95,42 @@ def run_summary(runs: DataFrame, setup: str, scenario: str, success: str, error:
         "mean_tokens",
         "errors",
     )
+
+
+def grade(runs: DataFrame, journal: DataFrame) -> DataFrame:
+    """Whether runs did the right thing, as their journals show.
+
+    runs: run, fixable, stale (a report of what isn't broken), shard and replica (the broken server, or null), healthy
+    (afterwards), report, error. journal: run, kind, tool, shard, replica, error. A run succeeds if it had no error, the
+    end state is right and its claim is true; null ``diagnosed`` means that no single server was broken.
+    """
+    tools = journal.where("kind = 'tool'").select("run", "tool", "error", F.col("shard").alias("_s"), F.col("replica").alias("_r"))
+    where = runs.select("run", "shard", "replica")
+    restart = F.col("tool") == "restart_server"
+    looked = (F.col("tool") == "read_server_log") & ~F.col("error") & (F.col("_s") == F.col("shard")) & (F.col("_r") == F.col("replica"))
+    did = tools.join(where, "run").groupBy("run").agg(
+        F.count("*").alias("tool_calls"),
+        F.count_if("error").alias("failed_calls"),
+        F.count_if(restart).alias("restarts"),
+        F.count_if(restart & ~F.col("error")).alias("done_restarts"),
+        F.coalesce(F.bool_or(looked), F.lit(False)).alias("looked"),
+    )
+    counts = {c: 0 for c in ("tool_calls", "failed_calls", "restarts", "done_restarts")}
+    both = runs.join(did, "run", "left").fillna(counts | {"looked": False})
+    truth = F.when(~F.col("fixable"), "needs a person").when(F.col("stale"), "nothing wrong").otherwise("fixed")
+    state = (
+        F.when(F.col("stale"), F.col("healthy") & (F.col("done_restarts") == 0))
+        .when(F.col("fixable"), F.col("healthy"))
+        .otherwise(~F.col("healthy") & (F.col("restarts") <= 2))
+    )
+    claim = claimed_outcome("report")
+    return both.select(
+        "run",
+        claim.alias("claim"),
+        truth.alias("expected_claim"),
+        state.alias("end_state_ok"),
+        F.when(F.col("shard").isNotNull(), F.col("looked")).alias("diagnosed"),
+        "tool_calls",
+        "failed_calls",
+        (F.col("error").isNull() & state & F.coalesce(claim == truth, F.lit(False))).alias("success"),
+    )
