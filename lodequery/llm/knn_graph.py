@@ -217,7 +217,7 @@ def _pairs(shard: _Shard, q: np.ndarray, ids: np.ndarray, at: np.ndarray, entry:
     return pa.RecordBatch.from_arrays([pa.array(own[keep]), pa.array(other[keep]), pa.array(sim[keep])], names=["id", "neighbor", "similarity"])
 
 
-def _search_shards(dim: int, k: int, ef: int, m: int, ef_construction: int, least: float):
+def _search_shards(dim: int, k: int, ef: int, m: int, ef_construction: int, sure: int, least: float):
     def matrix(column: pa.Array) -> np.ndarray:
         """Without nulls, all values of dim floats: their bytes lie one after another."""
         _, offsets, data = column.buffers()
@@ -242,7 +242,7 @@ def _search_shards(dim: int, k: int, ef: int, m: int, ef_construction: int, leas
             rank = np.arange(values.size) - np.repeat(at[:-1], np.diff(at))
             few = rank <= k
             ends = np.searchsorted(np.repeat(np.arange(first.size), np.diff(at))[few], np.arange(first.size + 1))
-            graph = HNSW(m=m, ef_construction=ef_construction, seed=current).build(x)
+            graph = HNSW(m=m, ef_construction=ef_construction, sure=sure, seed=current).build(x)
             norm = np.sqrt(np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64)))
             shard = _Shard(x, norm, values[few], ends, graph)
             shard.own = (np.flatnonzero(asked), values, at)
@@ -306,6 +306,7 @@ def nearest_neighbors(
     ef: int = 24,
     m: int = 12,
     ef_construction: int = 32,
+    sure: int = 4,
     probes: int = 6,
     slack: float = 0.2,
     sample: int = SAMPLE,
@@ -350,7 +351,7 @@ def nearest_neighbors(
 
         routed = spread(one).mapInArrow(assign, _ROUTED)
         placed = routed.repartitionById(parts, F.col("part")).sortWithinPartitions("shard", "role").select("shard", "role", "ids", "vec")
-        found = found.unionByName(placed.mapInArrow(_search_shards(d, k, ef, m, ef_construction, least), schema))
+        found = found.unionByName(placed.mapInArrow(_search_shards(d, k, ef, m, ef_construction, sure, least), schema))
         if least <= 0:
             found = found.unionByName(_zero_vectors(one, ids, values, d, k))
     own = found.repartition("id").dropDuplicates(["id", "neighbor"])
