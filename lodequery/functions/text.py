@@ -7,6 +7,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,8 @@ STOPWORDS = (
     "a an and are as at be been but by can do does for from had has have how if in into is it its no not of on or so such than that the "
     "their then there these they this to was we were what when where which who why will with you your"
 ).split()
+_STOP = frozenset(STOPWORDS)
+_WORD = re.compile("[a-z0-9]+")
 
 
 def terms(text: Column | str) -> Column:
@@ -68,16 +71,23 @@ def hashed_vector(text: Column | str, dim: int = DIM) -> Column:
     return F.transform(dense, lambda x: F.when(length > 0, x / length).otherwise(x))
 
 
+@lru_cache(maxsize=200_000)
+def _bucket(word: str, dim: int) -> tuple[int, int] | None:
+    """Bucket and sign of a word; None for a stopword."""
+    if word in _STOP:
+        return None
+    if len(word) > 3 and word.endswith("s") and not word.endswith("ss"):
+        word = word[:-1]
+    crc = zlib.crc32(word.encode())
+    return crc % dim, 1 if crc >> 16 & 1 else -1
+
+
 def hash_embed(text: str | None, dim: int = DIM) -> list[float]:
     """The same vector on the driver, for a question."""
     counts = [0] * dim
-    for w in re.findall("[a-z0-9]+", (text or "").lower()):
-        if w in STOPWORDS:
-            continue
-        if len(w) > 3 and w.endswith("s") and not w.endswith("ss"):
-            w = w[:-1]
-        crc = zlib.crc32(w.encode())
-        counts[crc % dim] += 1 if crc >> 16 & 1 else -1
+    for w in _WORD.findall((text or "").lower()):
+        if (at := _bucket(w, dim)) is not None:
+            counts[at[0]] += at[1]
     v = [math.copysign(math.log1p(abs(n)), n) if n else 0.0 for n in counts]
     length = math.sqrt(sum(x * x for x in v))
     return [x / length for x in v] if length else v

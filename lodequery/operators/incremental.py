@@ -52,7 +52,12 @@ def _sane(intervals: DataFrame, stream: str, first: str, last: str) -> DataFrame
 
 
 def _union_runs(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping or touching intervals within equal keys as disjoint ones."""
+    """Overlapping or touching intervals within equal keys as disjoint ones.
+
+    Of intervals that begin at one number only the longest counts. That is found out before the shuffle, so a block has
+    no more rows than numbers, however often runs are repeated.
+    """
+    pieces = pieces.groupBy(*keys, "first").agg(F.max("last").alias("last"))
     by_first = Window.partitionBy(*keys).orderBy("first", "last")
     before = F.max("last").over(by_first.rowsBetween(Window.unboundedPreceding, -1))
     starts = pieces.withColumn("_new", F.when(before.isNull() | (F.col("first") > before + 1), 1).otherwise(0))
@@ -67,7 +72,8 @@ def merge_intervals(intervals: DataFrame, stream: str, first: str, last: str, bl
     gives an empty one. Merged block by block; only pieces that reach a block's edge (two a block at most) meet again
     in a second merge by stream.
     """
-    pieces = _union_runs(_in_blocks(_sane(intervals, stream, first, last), "stream", block), ["stream", "block"])
+    sane = _sane(intervals, stream, first, last).groupBy("stream", "first").agg(F.max("last").alias("last"))
+    pieces = _union_runs(_in_blocks(sane, "stream", block), ["stream", "block"])
     at_edge = (F.col("first") == F.col("block") * block) | (F.col("last") == (F.col("block") + 1) * block - 1)
     inner = pieces.where(~at_edge).select("stream", "first", "last")
     stitched = _union_runs(pieces.where(at_edge).select("stream", "first", "last"), ["stream"])
@@ -94,7 +100,8 @@ def subtract_intervals(
     spans = spans.join(bounds, spans["stream"] == bounds["_s"]).select(
         "stream", F.greatest("first", "_lo").alias("first"), F.least("last", "_hi").alias("last")
     )
-    spans = _in_blocks(spans.where("first <= last"), "stream", block).distinct()
+    spans = spans.where("first <= last").groupBy("stream", "first").agg(F.max("last").alias("last"))
+    spans = _in_blocks(spans, "stream", block).groupBy("stream", "block", "first").agg(F.max("last").alias("last"))
     points = points.withColumn("block", F.floor(F.col("at") / F.lit(block)).cast("long"))
     events = points.select("stream", "block", "at", F.lit(None).cast("long").alias("till")).unionByName(
         spans.select("stream", "block", F.col("first").alias("at"), F.col("last").alias("till"))

@@ -7,6 +7,8 @@ import zlib
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodequery.session import materialize
+
 
 def by_id(row_id: Column | str, shards: int) -> Column:
     """Round robin over dense ids: shard sizes differ by at most one."""
@@ -36,16 +38,27 @@ def shard_sizes(df: DataFrame, shard: Column) -> DataFrame:
     return df.groupBy(shard.alias("shard")).agg(F.count("*").alias("vectors"))
 
 
-def with_dense_ids(df: DataFrame, name: str, start: int, *order: str) -> DataFrame:
-    """Consecutive ids from ``start`` in the given order, without a single sorting task.
+def running_sum(df: DataFrame, value: Column, name: str, group: list[str], order: list[str]) -> DataFrame:
+    """The sum of ``value`` over the rows of the same group that come before, as column ``name``; 0 for the first.
 
-    Rows are range-partitioned; each partition's count is a row of a small table whose running sum says where the
-    partition's ids begin.
+    ``order`` must tell the rows of a group apart. Rows are range-partitioned by group and order, so a large group lies
+    in many partitions; sums run within each, and what a group has in the partitions before is added. The ranged rows
+    are written once: bounds drawn anew for a second reading could differ.
     """
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    ranked = parts.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))  # a row per partition
-    starts = counts.select(F.col("_p").alias("_q"), F.coalesce(before, F.lit(0)).alias("_before"))
-    joined = ranked.join(starts, F.col("_p") == F.col("_q"))
-    return joined.withColumn(name, F.lit(start) + F.col("_before") + F.col("_r") - 1).drop("_p", "_q", "_r", "_before")
+    ranged = df.repartitionByRange(*[F.col(c) for c in [*group, *order]]).withColumn("_p", F.spark_partition_id()).withColumn("_v", value)
+    parts = materialize(ranged, "ranged")
+    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    within = parts.withColumn("_w", F.coalesce(F.sum("_v").over(rows(Window.partitionBy("_p", *group).orderBy(*order))), F.lit(0)))
+    totals = parts.groupBy("_p", *group).agg(F.sum("_v").alias("_t"))  # rows: partitions plus groups
+    before = F.coalesce(F.sum("_t").over(rows(Window.partitionBy(*group).orderBy("_p"))), F.lit(0))
+    starts = totals.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], before.alias("_b"))
+    same = [F.col("_p") == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]]
+    joined = within.join(starts, same).withColumn(name, (F.col("_b") + F.col("_w")).cast("long"))
+    return joined.drop("_p", "_v", "_w", "_q", "_b", *[f"_g{i}" for i in range(len(group))])
+
+
+def with_dense_ids(df: DataFrame, name: str, start: int, *order: str) -> DataFrame:
+    """Consecutive ids from ``start`` in the given order, without a single sorting task; ties in arbitrary but fixed order."""
+    tie = "_tie"
+    told = running_sum(df.withColumn(tie, F.monotonically_increasing_id()), F.lit(1), name, [], [*order, tie])
+    return told.withColumn(name, F.col(name) + start).drop(tie)
