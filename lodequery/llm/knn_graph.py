@@ -27,6 +27,10 @@ from lodequery.session import materialize, spread
 
 #: Vectors that the centroids are fitted on, at most.
 SAMPLE = 32_768
+#: Vectors that the cells of a search should hold together, as the sample foretells them.
+ENOUGH = 200
+#: Ids of one vector that travel in a row, beyond the first ones.
+ID_ROWS = 4_096
 #: Vectors of a cell on average, of a shard at most, and queries of a shard at most (as the sample foretells them).
 CELL, SHARD, QUERIES = 3_000, 8_192, 65_536
 MOST_PARTITIONS = 20_000
@@ -34,9 +38,11 @@ MOST_PARTITIONS = 20_000
 
 @dataclass
 class Route:
-    """centroids [cells, dim]; of each cell the shards (parts, each built copies times) and the number of the first."""
+    """centroids [cells, dim]; of each cell the vectors that the sample foretells, its shards (parts, each built copies
+    times) and the number of the first."""
 
     centroids: np.ndarray
+    size: np.ndarray
     parts: np.ndarray
     copies: np.ndarray
     first: np.ndarray
@@ -58,7 +64,11 @@ class Route:
         near = np.take_along_axis(sims, best, 1)
         order = np.lexsort((best, -near), axis=1)
         best, near = np.take_along_axis(best, order, 1), np.take_along_axis(near, order, 1)
-        return best, near >= near[:, :1] - np.float32(self.slack)
+        go = near >= near[:, :1] - np.float32(self.slack)
+        if self.size.size:  # from a cell of few vectors, search on until there are enough to choose from
+            before = np.cumsum(self.size[best], axis=1) - self.size[best]
+            go |= before < ENOUGH
+        return best, go
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -83,16 +93,19 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 10, seed: int =
 
 def make_route(sample: np.ndarray, total: int, probes: int, slack: float, cell: int = CELL, shard: int = SHARD, queries: int = QUERIES) -> Route:
     """Cells and shards for ``total`` vectors, foretold from a sample of them."""
-    x = unit(sample)
-    x = np.unique(x[(x != 0).any(axis=1)], axis=0)
-    if not x.shape[0]:
-        x = np.eye(1, max(1, sample.shape[1]), dtype=np.float32)
-    route = Route(fit_centroids(x, min(-(-total // cell), max(1, x.shape[0] // 12))), *[np.empty(0)] * 3, probes, slack)
-    best, go = route.cells(x)
-    share = total / x.shape[0]
+    every = unit(sample)
+    every = every[(every != 0).any(axis=1)]
+    if not every.shape[0]:
+        every = np.eye(1, max(1, sample.shape[1]), dtype=np.float32)
+    x, often = np.unique(every, axis=0, return_counts=True)
+    route = Route(fit_centroids(x, min(-(-total // cell), max(1, x.shape[0] // 12))), *[np.empty(0)] * 4, probes, slack)
+    best, _ = route.cells(x)
+    share = total / every.shape[0]
     n = route.centroids.shape[0]
-    route.parts = np.maximum(1, np.ceil(np.bincount(best[:, 0], minlength=n) * share / shard)).astype(np.int64)
-    asked = np.bincount(best[go], minlength=n) * share
+    route.size = np.bincount(best[:, 0], minlength=n) * share
+    best, go = route.cells(x)
+    route.parts = np.maximum(1, np.ceil(route.size / shard)).astype(np.int64)
+    asked = np.bincount(best[go], np.repeat(often, go.sum(axis=1)), minlength=n) * share  # copies ask, too
     route.copies = np.maximum(1, np.ceil(asked / queries)).astype(np.int64)
     route.first = np.cumsum([0, *(route.parts * route.copies)])
     return route
@@ -150,21 +163,29 @@ def _valid(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
 _ROUTED = "part int, shard int, role int, ids array<bigint>, vec binary"
 
 
-def _route_rows(ids: np.ndarray, x: np.ndarray, route: Route, parts: int) -> Iterator[pa.RecordBatch]:
+def _route_rows(ids: np.ndarray, x: np.ndarray, route: Route, parts: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch for the shards: a vector with its first k + 1 ids as a member of its own shard, and as a query of
+    the others; further ids of the same vector come as queries of their own, ID_ROWS at a time."""
     first, group = _copies(x)
     x = x[first]
     values, at = _lists(ids, group, first.size)
     u, h = unit(x), _hash(x)
     best, go = route.cells(u)
+    more = np.maximum(0, -(-(np.diff(at) - k - 1) // ID_ROWS))
+    unit_of = np.repeat(np.arange(first.size), 1 + more)  # a unit: ids that travel in one row
+    nth = np.arange(unit_of.size) - np.repeat(np.cumsum(1 + more) - 1 - more, 1 + more)
+    begin = at[unit_of] + np.where(nth > 0, k + 1 + (nth - 1) * ID_ROWS, 0)
+    hash_of = h[unit_of] + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     shard, row, role = [], [], []
-    base_part = (h % route.parts[best[:, 0]].astype(np.uint64)).astype(np.int64)
+    own_cell = best[unit_of, 0]
+    base_part = (h[unit_of] % route.parts[own_cell].astype(np.uint64)).astype(np.int64)
     for rank in range(best.shape[1]):
-        some = np.flatnonzero(go[:, rank])
-        cell = best[some, rank]
+        some = np.flatnonzero(go[unit_of, rank])
+        cell = best[unit_of[some], rank]
         for p in range(int(route.parts[cell].max(initial=0))):
             r, c = some[route.parts[cell] > p], cell[route.parts[cell] > p]
-            mine = (base_part[r] == p) & (rank == 0)
-            chosen = ((h[r] >> np.uint64(20)) % route.copies[c].astype(np.uint64)).astype(np.int64)
+            mine = (base_part[r] == p) & (rank == 0) & (nth[r] == 0)
+            chosen = ((hash_of[r] >> np.uint64(20)) % route.copies[c].astype(np.uint64)).astype(np.int64)
             for copy in range(int(route.copies[c].max(initial=0))):
                 use = (route.copies[c] > copy) & (mine | (chosen == copy))
                 shard.append((route.first[c] + p * route.copies[c] + copy)[use])
@@ -175,14 +196,43 @@ def _route_rows(ids: np.ndarray, x: np.ndarray, route: Route, parts: int) -> Ite
     shard, row, role = np.concatenate(shard), np.concatenate(row), np.concatenate(role)
     flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), x.shape[0], [None, pa.py_buffer(np.ascontiguousarray(x))])
     blob = flat.cast(pa.binary())
-    own = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values))
+    own = pa.ListArray.from_arrays(pa.array(np.append(begin, values.size).astype(np.int32)), pa.array(values))
     for lo in range(0, row.size, 10_000):
         cut = slice(lo, lo + 10_000)
-        take = pa.array(row[cut])
-        columns = [pa.array((shard[cut] % parts).astype(np.int32)), pa.array(shard[cut].astype(np.int32)), pa.array(role[cut].astype(np.int32)), own.take(take), blob.take(take)]
+        columns = [
+            pa.array((shard[cut] % parts).astype(np.int32)), pa.array(shard[cut].astype(np.int32)), pa.array(role[cut].astype(np.int32)),
+            own.take(pa.array(row[cut])), blob.take(pa.array(unit_of[row[cut]])),
+        ]
         yield pa.RecordBatch.from_arrays(columns, names=["part", "shard", "role", "ids", "vec"])
 
 
+class _Base:
+    """The members of a shard as they come: distinct vectors, their ids, and whether this copy of the shard answers them.
+
+    A vector comes once for each batch of the log that holds it; they are folded together now and then."""
+
+    def __init__(self, dim: int):
+        self.x, self.asked = np.zeros((0, dim), np.float32), np.zeros(0, bool)
+        self.values, self.at = np.zeros(0, np.int64), np.zeros(1, np.int64)
+        self.new: list[tuple] = []
+        self.rows = 0
+
+    def add(self, x: np.ndarray, asked: np.ndarray, values: np.ndarray, sizes: np.ndarray) -> None:
+        self.new.append((x, asked, values, sizes))
+        self.rows += asked.size
+        if self.rows > 4 * SHARD + 2 * self.asked.size:
+            self.fold()
+
+    def fold(self) -> None:
+        parts = [(self.x, self.asked, self.values, np.diff(self.at)), *self.new]
+        x, asked, values, sizes = (np.concatenate(c) for c in zip(*parts, strict=True))
+        first, group = _copies(x)
+        self.values, self.at = _lists(values, np.repeat(group, sizes), first.size)
+        flags = np.zeros(first.size, bool)
+        flags[group[asked]] = True
+        self.x, self.asked, self.new, self.rows = x[first], flags, [], 0
+
+
 @dataclass
 class _Shard:
     x: np.ndarray
@@ -224,37 +274,24 @@ def _search_shards(dim: int, k: int, ef: int, m: int, ef_construction: int, sure
         first = np.frombuffer(offsets, np.int32)[column.offset]
         return np.frombuffer(data, np.uint8)[first : first + len(column) * 4 * dim].view(np.float32).reshape(-1, dim)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, base, built = -1, [], None
-
-        def build() -> _Shard | None:
-            if not base:
-                return None
-            rows = pa.Table.from_batches(base).combine_chunks()
-            column = lambda c: rows.column(c).chunk(0)
-            x, lists = matrix(column("vec")), column("ids")
-            first, group = _copies(x)
-            size = lists.value_lengths().to_numpy()
-            values, at = _lists(lists.flatten().to_numpy(), np.repeat(group, size), first.size)
-            asked = np.zeros(first.size, bool)
-            asked[group[column("role").to_numpy() == 0]] = True
-            x = x[first]
-            rank = np.arange(values.size) - np.repeat(at[:-1], np.diff(at))
-            few = rank <= k
-            ends = np.searchsorted(np.repeat(np.arange(first.size), np.diff(at))[few], np.arange(first.size + 1))
-            graph = HNSW(m=m, ef_construction=ef_construction, sure=sure, seed=current).build(x)
-            norm = np.sqrt(np.einsum("ij,ij->i", x.astype(np.float64), x.astype(np.float64)))
-            shard = _Shard(x, norm, values[few], ends, graph)
-            shard.own = (np.flatnonzero(asked), values, at)
-            return shard
-
-        def own(shard: _Shard) -> Iterator[pa.RecordBatch]:
-            nodes, values, at = shard.own
-            for lo in range(0, nodes.size, 4096):
-                n = nodes[lo : lo + 4096]
-                r, i = _expand(at, n)
-                yield _pairs(shard, shard.x[n], values[i], np.searchsorted(r, np.arange(n.size + 1)), n, k, ef, least)
+    def build(base: _Base, seed: int) -> _Shard:
+        base.fold()
+        rank = np.arange(base.values.size) - np.repeat(base.at[:-1], np.diff(base.at))
+        few = rank <= k
+        ends = np.searchsorted(np.repeat(np.arange(base.asked.size), np.diff(base.at))[few], np.arange(base.asked.size + 1))
+        graph = HNSW(m=m, ef_construction=ef_construction, sure=sure, seed=seed).build(base.x)
+        wide = base.x.astype(np.float64)
+        return _Shard(base.x, np.sqrt(np.einsum("ij,ij->i", wide, wide)), base.values[few], ends, graph)
+
+    def members(shard: _Shard, base: _Base) -> Iterator[pa.RecordBatch]:
+        asked = np.flatnonzero(base.asked)
+        for lo in range(0, asked.size, 4096):
+            n = asked[lo : lo + 4096]
+            r, i = _expand(base.at, n)
+            yield _pairs(shard, shard.x[n], base.values[i], np.searchsorted(r, np.arange(n.size + 1)), n, k, ef, least)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, base, built = -1, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -263,20 +300,22 @@ def _search_shards(dim: int, k: int, ef: int, m: int, ef_construction: int, sure
             for lo, hi in zip(cuts, cuts[1:], strict=False):
                 shard, query, part = int(key[lo]) // 2, int(key[lo]) % 2, batch.slice(lo, hi - lo)
                 if shard != current:
-                    if base and built is None and (last := build()):
-                        yield from own(last)
-                    current, base, built = shard, [], None
+                    if base and not built:
+                        yield from members(build(base, current), base)
+                    current, base, built = shard, None, None
+                lists = part.column("ids")
+                sizes, ids = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
                 if not query:
-                    base.append(part)
+                    base = base or _Base(dim)
+                    base.add(matrix(part.column("vec")), part.column("role").to_numpy() == 0, ids, sizes)
                     continue
-                if built is None and (built := build()):
-                    yield from own(built)
+                if base and not built:
+                    built = build(base, current)
+                    yield from members(built, base)
                 if built:
-                    lists = part.column("ids")
-                    at = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-                    yield _pairs(built, matrix(part.column("vec")), lists.flatten().to_numpy(), at, None, k, ef, least)
-        if base and built is None and (last := build()):
-            yield from own(last)
+                    yield _pairs(built, matrix(part.column("vec")), ids, np.concatenate([[0], np.cumsum(sizes)]), None, k, ef, least)
+        if base and not built:
+            yield from members(build(base, current), base)
 
     return run
 
@@ -347,7 +386,7 @@ def nearest_neighbors(
                     own, x = _valid(batch.slice(lo, 4096), d)
                     some = (x != 0).any(axis=1)
                     if some.any():
-                        yield from _route_rows(own[some], x[some], shared.value, parts)
+                        yield from _route_rows(own[some], x[some], shared.value, parts, k)
 
         routed = spread(one).mapInArrow(assign, _ROUTED)
         placed = routed.repartitionById(parts, F.col("part")).sortWithinPartitions("shard", "role").select("shard", "role", "ids", "vec")

@@ -16,9 +16,10 @@ from collections.abc import Iterator
 from math import log, sqrt
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodequery.operators.routing import running_sum
 from lodequery.session import materialize
 
 LIMIT, OVERLAP = 1000, 150
@@ -208,17 +209,11 @@ def split_passages(
     return wanted.select("passage_id", "source_key", "heading", "piece_no", "n_pieces", "start", "stop", "cut_rank", "oversize", "text", "chunk_index")
 
 
-def _first_index(pieces: DataFrame, width: int = 4096) -> DataFrame:
-    """(passage_id, first_index): pieces of the source before the passage. A running sum in two steps, over blocks of
-    indexes and within a block, so that one large source isn't one task."""
+def _first_index(pieces: DataFrame) -> DataFrame:
+    """(passage_id, first_index): pieces of the source before the passage; one large source is no single task."""
     counts = pieces.where("piece_no = 0").select("passage_id", "source_key", F.coalesce("chunk_index", F.lit(-1)).alias("old"), "n_pieces")
-    counts = counts.withColumn("block", F.floor(F.col("old") / width))
-    before = Window.partitionBy("source_key").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = counts.groupBy("source_key", "block").agg(F.sum("n_pieces").alias("n"))
-    blocks = blocks.select(F.col("source_key").alias("s"), F.col("block").alias("b"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"))
-    both = counts.join(blocks, F.col("source_key").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
-    within = Window.partitionBy("source_key", "block").orderBy("old", "passage_id").rowsBetween(Window.unboundedPreceding, -1)
-    return both.select("passage_id", (F.col("skip") + F.coalesce(F.sum("n_pieces").over(within), F.lit(0))).cast("int").alias("first_index"))
+    told = running_sum(counts, F.col("n_pieces"), "first_index", ["source_key"], ["old", "passage_id"])
+    return told.select("passage_id", F.col("first_index").cast("int").alias("first_index"))
 
 
 def cut_kinds(pieces: DataFrame) -> DataFrame:

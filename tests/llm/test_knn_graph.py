@@ -1,7 +1,7 @@
 import numpy as np
 import pytest
 
-from lodequery.llm.knn_graph import _copies, _hash, fit_centroids, make_route, nearest_neighbors
+from lodequery.llm.knn_graph import _Base, _copies, _hash, fit_centroids, make_route, nearest_neighbors
 
 SCHEMA = "shard int, seq bigint, global_ids array<bigint>, dim int, vec_values array<float>, part int, role int, id int, v int, pos int, h int"
 
@@ -92,3 +92,30 @@ def test_routes():
     assert np.allclose(np.sort(c.max(1)), 1)
     first, group = _copies(np.vstack([x[:3], x[:3]]))
     assert first.size == 3 and (group[:3] == group[3:]).all() and np.unique(_hash(x)).size == np.unique(x, axis=0).shape[0]
+
+
+def test_a_group_of_copies_that_holds_most_rows(spark):
+    rng = np.random.default_rng(4)
+    x = clusters(rng, 300, 8, 5)
+    ids = list(range(300)) + list(range(1000, 7000))
+    every = np.vstack([x, np.repeat(x[:1], 6000, axis=0)])
+    got = nearest_neighbors(log_of(spark, deliveries(every, ids, 50)), queries=1500).cache()
+    assert got.count() == 5 * len(ids)
+    hot = [0, 1000, 1001, 1002, 1003, 1004]
+    for g in (0, 1000, 1004, 1005, 3500, 6999):
+        own = [r["neighbor"] for r in got.where(f"id = {g}").orderBy("rank").collect()]
+        assert own == [h for h in hot if h != g][:5]
+
+
+def test_members_are_folded():
+    base = _Base(2)
+    a, b = np.array([[1, 0]], np.float32), np.array([[0, 1]], np.float32)
+    for i in range(50):
+        base.add(np.vstack([a, b]), np.array([True, False]), np.array([i, 7, i + 100]), np.array([2, 1]))
+        if i % 20 == 0:
+            base.fold()
+    base.fold()
+    first = int(np.flatnonzero((base.x == a).all(axis=1))[0])
+    assert base.x.shape[0] == 2 and base.asked[first] and not base.asked[1 - first]
+    assert base.values[base.at[first] : base.at[first + 1]].tolist() == list(range(50))
+    assert base.values[base.at[1 - first] : base.at[2 - first]].tolist() == list(range(100, 150))
