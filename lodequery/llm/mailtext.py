@@ -24,7 +24,7 @@ _WORD = re.compile(r"\w+")
 # HTML that is not shown: comments and the contents of these elements.
 _UNSEEN = re.compile(r"<!--.*?(?:-->|\Z)|<(style|script|head|title|template|noscript)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.I | re.S)
 _HIDDEN = re.compile(
-    r"""<(\w+)\b[^>]*?(?:\sstyle\s*=\s*(?:"[^"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|\shidden(?=[\s>=/]))[^>]*>""", re.I
+    r"""<(\w+)\b[^<>]*?(?:\sstyle\s*=\s*(?:"[^"]*|'[^']*)(?:display\s*:\s*none|visibility\s*:\s*hidden)|\shidden(?=[\s>=/]))[^<>]*>""", re.I
 )
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)(?:\s[^<>]*|/)?>|<[!?/][^<>]*>")
 # Elements that run within a line of text: their tags part no words.
