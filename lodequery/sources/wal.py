@@ -38,38 +38,50 @@ class Record:
         return FRAME.pack(len(whole), zlib.crc32(whole)) + whole
 
 
-def _decode(body: bytes) -> Record | None:
-    if len(body) < START.size:
-        return None
-    seq, count, dim = START.unpack_from(body)
-    at = START.size + 8 * count
-    end = at + 4 * count * dim
-    if end > len(body):
-        return None
-    ids = np.frombuffer(body, "<i8", count, START.size).tolist()
-    vectors = np.frombuffer(body, "<f4", count * dim, at).reshape(count, dim)
-    if end == len(body):
-        return Record(seq, ids, vectors, [""] * count)
-    texts = []
-    for _ in range(count):
-        if end + LENGTH.size > len(body):
-            return None
-        (size,) = LENGTH.unpack_from(body, end)
-        end += LENGTH.size
-        if end + size > len(body):
-            return None
-        texts.append(body[end : end + size].decode("utf-8"))
-        end += size
-    return Record(seq, ids, vectors, texts) if end == len(body) else None
+class _Torn(Exception):
+    """The bytes end before what they announce."""
+
+
+class _Cursor:
+    """Takes stretches off a body; asking for more than there is, or leaving some, means that the record is torn."""
+
+    def __init__(self, body: bytes):
+        self.rest = memoryview(body)
+
+    def take(self, size: int) -> memoryview:
+        if size > len(self.rest):
+            raise _Torn
+        part, self.rest = self.rest[:size], self.rest[size:]
+        return part
+
+    def numbers(self, layout: struct.Struct) -> tuple[int, ...]:
+        return layout.unpack(self.take(layout.size))
+
+    def array(self, kind: str, count: int) -> np.ndarray:
+        return np.frombuffer(self.take(np.dtype(kind).itemsize * count), kind)
+
+
+def _decode(body: bytes) -> Record:
+    cursor = _Cursor(body)
+    seq, rows, dim = cursor.numbers(START)
+    ids, vectors = cursor.array("<i8", rows).tolist(), cursor.array("<f4", rows * dim).reshape(rows, dim)
+    texts = [bytes(cursor.take(*cursor.numbers(LENGTH))).decode("utf-8") for _ in ids] if cursor.rest else [""] * rows
+    if cursor.rest:
+        raise _Torn
+    return Record(seq, ids, vectors, texts)
 
 
 def read_log(path: str) -> Iterator[Record]:
     """The intact records of a file, one at a time."""
     with open(path, "rb") as f:
-        while len(frame := f.read(FRAME.size)) == FRAME.size:
-            size, crc = FRAME.unpack(frame)
-            body = f.read(size)
-            if len(body) < size or zlib.crc32(body) != crc or (record := _decode(body)) is None:
+        while frame := f.read(FRAME.size):
+            try:
+                size, checksum = _Cursor(frame).numbers(FRAME)
+                body = bytes(_Cursor(f.read(size)).take(size))
+                if zlib.crc32(body) != checksum:
+                    return
+                record = _decode(body)
+            except _Torn:
                 return
             yield record
 
