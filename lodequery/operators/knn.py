@@ -30,15 +30,21 @@ def _unit64(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """Of each row of distances the positions of the k smallest, ties by id."""
-    out = []
-    for row in dist:
-        some = np.arange(row.size)
-        if row.size > k:
-            some = np.flatnonzero(row <= np.partition(row, k - 1)[k - 1])
-        out.append(some[np.lexsort((ids[some], row[some]))[:k]])
-    return out
+def _first_k(row: np.ndarray, ids: np.ndarray, dist: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the entries of each row the k of smallest distance, ties by id."""
+    order = np.lexsort((ids, dist, row))
+    row, ids, dist = row[order], ids[order], dist[order]
+    keep = np.arange(row.size) - np.searchsorted(row, row) < k
+    return row[keep], ids[keep], dist[keep]
+
+
+def _nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, id, distance) of each row's k smallest distances, ties at the last place included before they are decided."""
+    if dist.shape[1] > k:
+        row, col = np.nonzero(dist <= np.partition(dist, k - 1, axis=1)[:, k - 1 : k])
+    else:
+        row, col = (x.ravel() for x in np.indices(dist.shape))
+    return _first_k(row, ids[col], dist[row, col], k)
 
 
 def top_k_batch(
@@ -60,7 +66,7 @@ def top_k_batch(
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
-            best: list[tuple[np.ndarray, np.ndarray]] | None = None
+            best = None
             for batch in batches:
                 lists = batch.column(1)
                 good = np.array(lists.value_lengths()) == dim
@@ -70,18 +76,15 @@ def top_k_batch(
                 own = part.column(0).to_numpy(zero_copy_only=False)
                 x = _unit64(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
                 for lo in range(0, own.size, 4096):
-                    some = own[lo : lo + 4096]
-                    dist = 1.0 - np.round(q @ x[lo : lo + 4096].T, 12)
-                    new = [(some[p], dist[i][p]) for i, p in enumerate(_nearest(dist, some, k))]
-                    if best is not None:
-                        merged = [(np.concatenate([a, c]), np.concatenate([b, d])) for (a, b), (c, d) in zip(best, new, strict=True)]
-                        new = [(a[p], b[p]) for a, b in merged for p in [np.lexsort((a, b))[:k]]]
-                    best = new
-            if best is None:
-                return
-            size = [a.size for a, _ in best]
-            columns = [pa.array(np.repeat(qids, size)), pa.array(np.concatenate([a for a, _ in best])), pa.array(np.concatenate([b for _, b in best]))]
-            yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row_id", "distance"])
+                    found = [] if best is None else [best]
+                    for at in range(0, q.shape[0], 512):
+                        dist = 1.0 - np.round(q[at : at + 512] @ x[lo : lo + 4096].T, 12)
+                        row, hit, far = _nearest(dist, own[lo : lo + 4096], k)
+                        found.append((row + at, hit, far))
+                    best = _first_k(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+            if best is not None:
+                columns = [pa.array(qids[best[0]]), pa.array(best[1]), pa.array(best[2])]
+                yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row_id", "distance"])
 
         return rows.mapInArrow(run, schema)
 

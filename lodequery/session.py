@@ -23,6 +23,7 @@ DEFAULTS = {
 }
 
 _shipped: set[str] = set()
+_written: dict[str, list[str]] = {}
 
 
 def local_session(cores: int = 8, memory: str = "8g", partitions: int = 8) -> SparkSession:
@@ -74,13 +75,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, label: str = "cut") -> DataFrame:
-    """Write to the shared folder and read back: the lineage ends there, and the files survive lost executors."""
+    """Write to the shared folder and read back: the lineage ends there, and the files survive lost executors.
+
+    They stay until ``release``, as results that were not yet computed may read them.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Delete what ``materialize`` has written for this application, when its results have been taken; how many tables."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for p in paths:
+        where = jvm.org.apache.hadoop.fs.Path(p)
+        where.getFileSystem(conf).delete(where, True)
+    return len(paths)
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Redistribute a scan's rows by key only if it has fewer partitions than the cluster has cores.
 
