@@ -47,6 +47,42 @@ def _nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return _first_k(row, ids[col], dist[row, col], k)
 
 
+def _query_blocks(queries: DataFrame, query_id: str, query_vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the queries, in blocks of bounded size."""
+    ids: list[int] = []
+    vectors: list[list[float]] = []
+    dim = None
+    chosen = queries.select(F.col(query_id).cast("long").alias("i"), F.col(query_vec).cast("array<double>").alias("v"))
+    for row in chosen.where("i is not null and v is not null").toLocalIterator():
+        dim = dim or len(row["v"])
+        if len(row["v"]) != dim:
+            continue
+        ids.append(row["i"])
+        vectors.append(row["v"])
+        if len(vectors) * dim * 8 >= QUERY_BYTES:
+            yield np.array(ids), _unit64(np.array(vectors))
+            ids, vectors = [], []
+    if vectors:
+        yield np.array(ids), _unit64(np.array(vectors))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the rows of this length, at most 4,096 at once."""
+    for batch in batches:
+        part = batch.filter(pa.array(np.array(batch.column(1).value_lengths()) == dim))
+        if not part.num_rows:
+            continue
+        own = part.column(0).to_numpy(zero_copy_only=False)
+        x = _unit64(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+        for lo in range(0, own.size, 4096):
+            yield own[lo : lo + 4096], x[lo : lo + 4096]
+
+
+def _candidates(df: DataFrame, row_id: str, vec: str) -> tuple[DataFrame, str]:
+    rows = df.select(F.col(row_id).alias("row_id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null and row_id is not null")
+    return rows, f"query_id bigint, row_id {dict(df.dtypes)[row_id]}, distance double"
+
+
 def top_k_batch(
     df: DataFrame, queries: DataFrame, k: int, row_id: str, vec: str, query_id: str, query_vec: str, max_distance: float | None = None
 ) -> DataFrame:
@@ -57,8 +93,7 @@ def top_k_batch(
     with a null vector or of another length than the first query's are left out.
     """
     spark = df.sparkSession
-    schema = f"query_id bigint, row_id {dict(df.dtypes)[row_id]}, distance double"
-    rows = df.select(F.col(row_id).alias("row_id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null and row_id is not null")
+    rows, schema = _candidates(df, row_id, vec)
 
     def search(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
         shared = spark.sparkContext.broadcast((ids, matrix))
@@ -67,21 +102,13 @@ def top_k_batch(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
             best = None
-            for batch in batches:
-                lists = batch.column(1)
-                good = np.array(lists.value_lengths()) == dim
-                part = batch.filter(pa.array(good))
-                if not part.num_rows:
-                    continue
-                own = part.column(0).to_numpy(zero_copy_only=False)
-                x = _unit64(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-                for lo in range(0, own.size, 4096):
-                    found = [] if best is None else [best]
-                    for at in range(0, q.shape[0], 512):
-                        dist = 1.0 - np.round(q[at : at + 512] @ x[lo : lo + 4096].T, 12)
-                        row, hit, far = _nearest(dist, own[lo : lo + 4096], k)
-                        found.append((row + at, hit, far))
-                    best = _first_k(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
+            for own, x in _blocks(batches, dim):
+                found = [] if best is None else [best]
+                for at in range(0, q.shape[0], 512):
+                    dist = 1.0 - np.round(q[at : at + 512] @ x.T, 12)
+                    row, hit, far = _nearest(dist, own, k)
+                    found.append((row + at, hit, far))
+                best = _first_k(*(np.concatenate(c) for c in zip(*found, strict=True)), k)
             if best is not None:
                 columns = [pa.array(qids[best[0]]), pa.array(best[1]), pa.array(best[2])]
                 yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row_id", "distance"])
@@ -89,25 +116,44 @@ def top_k_batch(
         return rows.mapInArrow(run, schema)
 
     found = spark.createDataFrame([], schema)
-    ids: list[int] = []
-    vectors: list[list[float]] = []
-    chosen = queries.select(F.col(query_id).cast("long").alias("i"), F.col(query_vec).cast("array<double>").alias("v"))
-    for row in chosen.where("i is not null and v is not null").toLocalIterator():
-        if vectors and len(row["v"]) != len(vectors[0]):
-            continue
-        ids.append(row["i"])
-        vectors.append(row["v"])
-        if len(vectors) * len(vectors[0]) * 8 >= QUERY_BYTES:
-            found = found.unionByName(search(np.array(ids), _unit64(np.array(vectors))))
-            ids, vectors = [], []
-    if vectors:
-        found = found.unionByName(search(np.array(ids), _unit64(np.array(vectors))))
+    for ids, matrix in _query_blocks(queries, query_id, query_vec):
+        found = found.unionByName(search(ids, matrix))
     if max_distance is not None:
         found = found.where(F.col("distance") <= max_distance)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "row_id"))
     return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
+def within_batch(df: DataFrame, queries: DataFrame, max_distance: float, row_id: str, vec: str, query_id: str, query_vec: str) -> DataFrame:
+    """(query_id, row_id, distance) of all rows within the distance of every query, however many.
+
+    The queries travel to the vectors as in ``top_k_batch``; a task gives out what each product finds and keeps nothing.
+    """
+    spark = df.sparkSession
+    rows, schema = _candidates(df, row_id, vec)
+
+    def search(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((ids, matrix))
+        dim = matrix.shape[1]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, q = shared.value
+            for own, x in _blocks(batches, dim):
+                for at in range(0, q.shape[0], 512):
+                    dist = 1.0 - np.round(q[at : at + 512] @ x.T, 12)
+                    row, col = np.nonzero(dist <= max_distance)
+                    if row.size:
+                        columns = [pa.array(qids[row + at]), pa.array(own[col]), pa.array(dist[row, col])]
+                        yield pa.RecordBatch.from_arrays(columns, names=["query_id", "row_id", "distance"])
+
+        return rows.mapInArrow(run, schema)
+
+    found = spark.createDataFrame([], schema)
+    for ids, matrix in _query_blocks(queries, query_id, query_vec):
+        found = found.unionByName(search(ids, matrix))
+    return found
+
+
 def local_top_k(df: DataFrame, query: list[float], k: int, row_id: str, vec: str, shard: str) -> DataFrame:
     """Each shard's own k nearest: (shard, row_id, distance). A full k from each, or the merge would miss some."""
     rows = df.withColumn("distance", cosine_distance(F.col(vec), literal(query)))

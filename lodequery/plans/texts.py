@@ -11,9 +11,9 @@ from lodequery.functions import text as T
 from lodequery.operators import documents, evals, health, memory
 from lodequery.operators.chunking import chunk
 from lodequery.operators.incremental import clean_sha256, is_committed
-from lodequery.operators.knn import top_k_batch
+from lodequery.operators.knn import top_k_batch, within_batch
 from lodequery.plans.search import crc32_sql
-from lodequery.session import shared_dir, spread, table, utc_micros
+from lodequery.session import materialize, shared_dir, spread, table, utc_micros
 from lodequery.streaming.ingest import read_replayed, replay
 
 
@@ -38,12 +38,33 @@ def hash_embedding_knn(spark: SparkSession, d: str) -> DataFrame:
     return hits.select(F.col("query_id").alias("item_id"), F.col("row_id").alias("passage_id"), "rank", (F.round("distance", 5) + 0.0).alias("distance"))
 
 
+#: Copies of one text that a task joins with a query at once.
+_COPIES = 4_096
+
+
 def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Passages (every hundredth) and the passages of nearly the same words: similarity 0.97 or more."""
-    rows = _embedded(spark, d)
-    asked = rows.where("passage_id % 100 = 0").select(F.col("passage_id").alias("qid"), F.col("vec").alias("qvec"))
-    hits = top_k_batch(rows, asked, 20, "passage_id", "vec", "qid", "qvec", 0.03).where("row_id <> query_id")
-    return hits.select("query_id", F.col("row_id").alias("passage_id"), (F.round("distance", 5) + 0.0).alias("distance"))
+    """Passages (every hundredth) and all passages of nearly the same words: similarity 0.97 or more.
+
+    Passages of one text are one class, named by its smallest id: classes are searched, and each pair of them stands
+    for all pairs of their members. The members of a large class are joined in blocks.
+    """
+    texts = _passages(spark, d).where("passage_id is not null")
+    texts = texts.withColumn("full", T.embedding_text("heading", "text")).withColumn("digest", F.sha2("full", 256))
+    asks = F.col("passage_id") % 100 == 0
+    classes = texts.groupBy("digest").agg(
+        F.min("passage_id").alias("class"), F.any_value("full").alias("full"), F.max(asks).alias("asked"), F.count("*").alias("size")
+    )
+    classes = classes.withColumns({"blocks": F.ceil(F.col("size") / _COPIES), "vec": T.hash_embed_udf()("full")})
+    classes = materialize(classes.select("digest", "class", "asked", "blocks", "vec"), "classes")
+    block = F.pmod(F.xxhash64("passage_id"), "blocks").alias("block")
+    members = texts.select("digest", "passage_id").join(classes.select("digest", "class", "blocks"), "digest").select("class", "passage_id", block)
+    asked = classes.where("asked").select(F.col("class").alias("qclass"), F.col("vec").alias("qvec"))
+    pairs = within_batch(classes, asked, 0.03, "class", "vec", "qclass", "qvec").withColumnsRenamed({"query_id": "qclass", "row_id": "class"})
+    queries = members.where(asks).select(F.col("class").alias("qclass"), F.col("passage_id").alias("query_id"))
+    hits = pairs.join(queries, "qclass").join(classes.select("class", "blocks"), "class")
+    hits = hits.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    found = hits.join(members, ["class", "block"]).where("passage_id <> query_id")
+    return found.select("query_id", "passage_id", (F.round("distance", 5) + 0.0).alias("distance"))
 
 
 def retrieval_mrr(spark: SparkSession, d: str) -> DataFrame:

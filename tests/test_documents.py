@@ -2,6 +2,7 @@ import json
 import math
 import zlib
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from lodequery.functions import text as T
 from lodequery.operators import evals, health, memory
 from lodequery.operators.chunking import chunk, chunk_document, cut_hard
 from lodequery.operators.documents import find_passages, ingest_files, source_listing
+from lodequery.plans import texts
 from lodequery.sources import files
 from lodequery.sources.store import OutOfOrderWrite, VectorStore
 from lodequery.sources.wal import Record, WalDataSource, append_log, read_log
@@ -272,3 +274,17 @@ def test_stream_equals_batch_and_repeats_nothing(spark, tmp_path):
     spark.range(100, 120, 1, 1).write.mode("append").parquet(src)
     replay(spark, src, out, ck).awaitTermination()
     assert sorted(r["id"] for r in read_replayed(spark, out).collect()) == list(range(120))
+
+
+def test_near_duplicates_have_no_cap(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(texts, "_COPIES", 7)
+    words = " ".join(f"word{i}" for i in range(80))
+    rows = [(i, "a > b", words if i % 3 else f"{words} more{i}") for i in range(50, 201)]
+    rows += [(i, "other", f"text number {i} of its own {i * i}") for i in range(201, 301)] + [(400, None, None), (500, "x", "")]
+    spark.createDataFrame(rows, "passage_id bigint, heading string, text string").write.parquet(f"{tmp_path}/passages.parquet")
+    got = texts.near_duplicates(spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"create view passages as select * from read_parquet('{tmp_path}/passages.parquet/*.parquet')")
+    want = db.execute(texts.SQL["near_duplicates"]).fetchall()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert len([r for r in got if r["query_id"] == 100]) == 150 and len(want) >= 300
