@@ -2,8 +2,10 @@
 
 A text is read into nodes, each with the path of the marks it stands in, from the root to itself. For every path the
 length of its texts and their punctuation are added up and divided by its nodes; along the text the ratios are smoothed
-and fused, and paths below a threshold - link lists, image captions, references, templates - are left out. Nodes
-of plain prose and those that carry structure (headings, list items, code, formulas, tables) always stay.
+and fused, and paths below a threshold - link lists, navigation, image captions, references, templates - are left out. Lines
+outside of all elements, lines that hold a sentence and those that carry structure (headings, list items, quotes, code,
+formulas, tables) always stay, unless they stand in an element apart from the content (as nav or footer) or are list
+items that are nothing but links. Scripts and style sheets are no text.
 
 The clean text has one form for all families: "## Title" for headings, "- item" and "1. item" for lists, a fence of
 three backticks around code, backticks within a line, $...$ and $$...$$ around formulas, " | " between table cells.
@@ -134,11 +136,49 @@ class Node:
     path: str
     text: str
     structural: bool
+    inline: bool = False
+    prose: bool = False
+
+
+class Paths:
+    """Paths of elements from the root as numbers, 0 for the root itself: a tree, so that deep nesting takes linear room."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[int, str], int] = {}
+        self.apart = [False]
+
+    def below(self, path: int, name: str) -> int:
+        n = self.numbers.setdefault((path, name), len(self.apart))
+        if n == len(self.apart):
+            self.apart.append(self.apart[path] or name in _APART)
+        return n
+
+
+# Elements beside the content; what they hold stays only by its ratio.
+_APART = frozenset("nav footer aside menu form figcaption select button dialog".split())
 
 
 # Private-use marks that stand for finished parts while the rest is converted.
 _KEEP, _END = "\ue000", "\ue001"
 _KEPT = re.compile(f"{_KEEP}(\\d+){_END}")
+# A link's begin and end, and a line that gives the number of the path in which the next ones stand (base 64, no word characters).
+_LINKED, _UNLINKED, _QUOTED = "\ue004", "\ue005", "\ue008"
+_AT = re.compile("\ue006([\ue100-\ue13f]+)\ue007")
+_LINKS = re.compile(f"[{_LINKED}{_UNLINKED}]")
+
+
+def _at(path: int) -> str:
+    digits = chr(0xE100 + path % 64)
+    while path := path // 64:
+        digits = chr(0xE100 + path % 64) + digits
+    return f"\n\ue006{digits}\ue007"
+
+
+def _path_of(digits: str) -> int:
+    n = 0
+    for c in digits:
+        n = n * 64 + ord(c) - 0xE100
+    return n
 
 
 class _Store:
@@ -156,19 +196,57 @@ class _Store:
 
 
 _HTML_HEAD = re.compile(r"h([1-6])", re.I)
-_PARAGRAPHS = frozenset("p div section article blockquote table ul ol dl pre header footer main aside nav figure form hr address".split())
+_PARAGRAPHS = frozenset(
+    "p div section article blockquote table ul ol dl pre header footer main aside nav figure form hr address figcaption dt dd menu".split()
+)
+_EMPTY = frozenset("br hr img input meta link wbr col area base".split())
+#: What an opening element ends, if it is open within the nearest of the others.
+_ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "tr": ({"tr"}, {"table"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"})}
 
 
-def _from_html(text: str) -> str:
-    """Tags as line breaks and list or heading marks; a leading mark ``path`` notes the elements that a line stands in."""
+def _from_html(text: str, paths: Paths) -> str:
+    """Tags as line breaks and list or heading marks; marks of paths note the elements that the lines after them stand in."""
     out: list[str] = []
-    stack: list[str] = []
+    stack: list[tuple[str, int]] = []  # open elements, each with the path of the blocks up to it
+    missing: set[str] = set()
     at = 0
     for m in _TAG.finditer(text):
+        if m.start() < at:
+            continue
         out.append(text[at : m.start()])
         at = m.end()
         name, closing = m[2].lower(), bool(m[1])
+        if name in ("script", "style"):
+            if not closing and name not in missing:
+                end = re.compile(rf"</\s*{name}\s*>", re.I).search(text, at)
+                at = end.end() if end else at
+                if not end:
+                    missing.add(name)
+            continue
         head = _HTML_HEAD.fullmatch(name)
+        block = bool(head) or name in _PARAGRAPHS or name in ("li", "tr")
+        alone = name in _EMPTY or m[3].rstrip().endswith("/")
+        if closing:
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] == name:
+                    del stack[i:]
+                    break
+        elif block:
+            if stack and stack[-1][0] == "p":  # a paragraph ends where the next block begins
+                stack.pop()
+            ended, within = _ENDS.get(name, ((), ()))
+            for i in range(len(stack) - 1, -1, -1) if ended else ():
+                if stack[i][0] in within:
+                    break
+                if stack[i][0] in ended:
+                    del stack[i:]
+                    break
+        parent = stack[-1][1] if stack else 0
+        listed = [n for n, _ in stack[-2:]]
+        if not closing and not alone:
+            stack.append((name, paths.below(parent, name) if block or name in _APART else parent))
+        if block:
+            out.append(_at(stack[-1][1] if stack else 0))
         if name in ("br", "tr"):
             out.append("\n")
         elif name in ("td", "th"):
@@ -177,18 +255,15 @@ def _from_html(text: str) -> str:
         elif head:
             out.append("\n\n" if closing else f"\n\n{'#' * int(head[1])} ")
         elif name == "li":
-            out.append("\n" if closing else "\n1. " if "ol" in stack[-2:] else "\n- ")
+            out.append("\n" if closing else "\n1. " if "ol" in listed else "\n- ")
         elif name in _PARAGRAPHS:
             out.append("\n\n")
-        elif name == "code" and "pre" not in stack:
+        elif name == "code" and not any(n == "pre" for n, _ in stack):
             out.append("`")
+        elif name == "a" and not alone:
+            out.append(_UNLINKED if closing else _LINKED)
         elif name == "img" and (alt := re.search(r"alt\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", m[3], re.I)):
             out.append(f"\ue002image\ue003{alt[1] or alt[2] or ''}")
-        if closing:
-            if name in stack:
-                del stack[len(stack) - 1 - stack[::-1].index(name) :]
-        elif name not in ("br", "hr", "img", "input", "meta", "link", "wbr", "col", "area", "base") and not m[3].rstrip().endswith("/"):
-            stack.append(name)
     out.append(text[at:])
     return "".join(out)
 
@@ -247,13 +322,13 @@ def _from_wiki(text: str) -> str:
         parts = m[1].split("|")
         if re.match(r"\s*(?:File|Image|Category)\s*:", parts[0], re.I):
             return f"\ue002image\ue003{parts[-1] if len(parts) > 1 else ''}"
-        return parts[-1].strip(" ") or parts[0]
+        return _LINKED + (parts[-1].strip(" ") or parts[0]) + _UNLINKED
 
     for _ in range(4):
         text, n = _WIKI_LINK.subn(link, text)
         if not n:
             break
-    text = _WIKI_URL.sub(lambda m: m[2] or m[1], text)
+    text = _WIKI_URL.sub(lambda m: _LINKED + (m[2] or m[1]) + _UNLINKED, text)
     text = _WIKI_TEMPLATE.sub(lambda m: "\ue002template\ue003" + " ".join(p.split("=", 1)[-1].strip() for p in m[1].split("|")), text)
     return _WIKI_MAGIC.sub("", _WIKI_QUOTES.sub(r"\2", text))
 
@@ -264,16 +339,16 @@ def _from_markdown(text: str) -> str:
     text = re.sub(r"(?m)^[ \t]{0,3}(#{1,6})[ \t]+(\S[^\n]*?)[ \t]*#*[ \t]*$", r"\1 \2", text)
     text = _MD_DELIMITER.sub("", text)
     text = _MD_ROW.sub(lambda m: " | ".join(c.strip() for c in m[0].strip().strip("|").split("|")), text)
-    text = re.sub(r"(?m)^[ \t]{0,3}(?:>[ \t]?)+", "", text)
-    text = re.sub(r"(?m)^[ \t]{0,3}(?:(?:-[ \t]*){3,}|(?:\*[ \t]*){3,}|(?:_[ \t]*){3,})$", "", text)
+    text = re.sub(r"(?m)^[ \t]{0,3}(?:>[ \t]?)+([^\n]*)$", rf"\1{_QUOTED}", text)
+    text = re.sub(rf"(?m)^[ \t]{{0,3}}(?:(?:-[ \t]*){{3,}}|(?:\*[ \t]*){{3,}}|(?:_[ \t]*){{3,}}){_QUOTED}?$", "", text)
     text = re.sub(r"(?m)^([ \t]*)[*+](?=[ \t]+\S)", r"\1-", text)
     text = re.sub(r"(?m)^([ \t]*- )\[[ xX]\][ \t]+", r"\1", text)
     for _ in range(4):
-        text, n = _LINK.subn(lambda m: ("\ue002image\ue003" if m[1] else "") + m[2], text)
-        text, k = _REF_LINK.subn(lambda m: m[2], text)
+        text, n = _LINK.subn(lambda m: "\ue002image\ue003" + m[2] if m[1] else _LINKED + m[2] + _UNLINKED, text)
+        text, k = _REF_LINK.subn(lambda m: _LINKED + m[2] + _UNLINKED, text)
         if not n + k:
             break
-    text = _AUTOLINK.sub(r"\1", text)
+    text = _AUTOLINK.sub(_LINKED + r"\1" + _UNLINKED, text)
     for _ in range(4):
         text, n = _STARS.subn(lambda m: m[2], text)
         text, k = _BARS.subn(lambda m: m[2], text)
@@ -282,21 +357,56 @@ def _from_markdown(text: str) -> str:
     return _STRIKE.sub(lambda m: m[1], text)
 
 
+_BULLET = re.compile(r"[ \t]*(?:- |\d+\. )")
 _STRUCTURE = re.compile(rf"#{{1,6}} |[ \t]*- |[ \t]*\d+\. |{_KEEP}|[^\n]* \| ")
 _PUNCTUATION = re.compile(r"[.,;!?…](?=\s|$)|[。、！？]")  # that of sentences, not of addresses or names
 
 
-def _nodes(text: str) -> Iterator[Node]:
-    """Lines with the path of the mark they begin with; marked parts within a line are nodes of their own."""
+def _linked(line: str) -> bool:
+    """Whether a line holds links and nothing but links beside signs."""
+    if _LINKED not in line:
+        return False
+    depth, word = 0, False
+    for c in line:
+        depth = depth + 1 if c == _LINKED else max(0, depth - 1) if c == _UNLINKED else depth
+        if c.isalnum() and not depth:
+            return False
+        word = word or c.isalnum()
+    return word
+
+
+def _nodes(text: str, paths: Paths) -> Iterator[Node]:
+    """Lines with the path of the elements and marks they stand in; marked parts within a line are nodes of their own.
+
+    A list item that is nothing but links has "a" at the end of its path and is no structure; neither is anything in an
+    element apart from the content.
+    """
+    at = 0
     for line in text.split("\n"):
+        if "\ue006" in line:
+            at = [_path_of(d) for d in _AT.findall(line)][-1:] or [at]
+            at = at[0] if at[0] < len(paths.apart) else 0
+            line = _AT.sub("", line)
+            if not line:
+                continue
+        base, apart = f"root/{at}" if at else "root", paths.apart[at]
+        quoted = _QUOTED in line
+        line = line.replace(_QUOTED, "")
+        if quoted:
+            base += "/quote"
         if "\ue002" not in line:
+            bullet = _BULLET.match(line)
+            linked = bool(bullet) and _linked(line[bullet.end() :])
+            line = _LINKS.sub("", line)
             kind = _STRUCTURE.match(line)
-            yield Node(f"root/{(kind[0].strip() or 'item')[:2]}" if kind else "root", line, bool(kind))
+            depth = (len(line.expandtabs(4)) - len(line.expandtabs(4).lstrip())) // 2 if bullet else 0
+            path = f"{base}/{(kind[0].strip() or 'item')[:2]}{'-' * min(depth, 50)}" if kind else base
+            yield Node(path + "/a" * linked, line, (bool(kind) or quoted) and not linked and not apart, prose=not apart and not linked)
             continue
-        head, *marked = re.split("\ue002(\\w+)\ue003", line)
-        yield Node("root", head, bool(_STRUCTURE.match(head)))
+        head, *marked = re.split("\ue002(\\w+)\ue003", _LINKS.sub("", line))
+        yield Node(base, head, (bool(_STRUCTURE.match(head)) or quoted) and not apart, prose=not apart)
         for kind, rest in zip(marked[::2], marked[1::2], strict=True):
-            yield Node(f"root/{kind}", rest, False)
+            yield Node(f"{base}/{kind}", rest, False, inline=True)
 
 
 def path_scores(nodes: list[Node]) -> dict[str, float]:
@@ -325,7 +435,7 @@ def clean(text: str | None, threshold: float = THRESHOLD, found: set[str] | None
     found = families(text) if found is None else found
     if not text or not found:
         return text
-    store = _Store()
+    store, paths = _Store(), Paths()
 
     def block(m: re.Match) -> str:
         if m["comment"]:
@@ -337,27 +447,28 @@ def clean(text: str | None, threshold: float = THRESHOLD, found: set[str] | None
             code = html.unescape(_TAG.sub("", m["pretext"] or ""))
         return "\n\n" + store.keep("```\n" + code.strip("\n") + "\n```") + "\n\n"
 
-    text = _without_blocks(re.sub("[\ue000-\ue003]", "", text).replace("\r\n", "\n").replace("\r", "\n"), set(), block)
+    text = _without_blocks(re.sub("[\ue000-\ue008]", "", text).replace("\r\n", "\n").replace("\r", "\n"), set(), block)
     if "latex" in found:
         text = _DISPLAY.sub(lambda m: store.keep("$$" + (m[1] or m[2] or m[4]).strip() + "$$"), text)
         text = _INLINE_MATH.sub(lambda m: store.keep("$" + (m[1] or m[2]).strip() + "$"), text)
     if "markdown" in found:
         text = _CODE.sub(lambda m: store.keep(f"`{m[2].strip()}`"), text)
-    for family, convert in (("html", _from_html), ("wiki", _from_wiki), ("latex", _from_latex), ("markdown", _from_markdown)):
+    for family, convert in (("html", lambda t: _from_html(t, paths)), ("wiki", _from_wiki), ("latex", _from_latex), ("markdown", _from_markdown)):
         if family in found:
             text = convert(text)
-    nodes = list(_nodes(text))
+    nodes = list(_nodes(text, paths))
     score = path_scores(nodes)
     least = threshold * max(score.values(), default=0.0)
     lines: list[str] = []
     for n in nodes:
-        part = n.text if n.structural or n.path == "root" or score.get(n.path, 0.0) >= least else ""
-        if n.path.startswith("root/") and not n.structural and lines:
+        stays = n.structural or n.path == "root" or (n.prose and bool(_PUNCTUATION.search(n.text)))
+        part = n.text if stays or score.get(n.path, 0.0) >= least else ""
+        if n.inline and lines:
             lines[-1] += part
         else:
             lines.append(part)
     text = "\n".join(x.rstrip() for x in lines)
-    text = html.unescape(text) if "html" in found else text
+    text = _LINKS.sub("", html.unescape(text) if "html" in found else text)
     return store.back(re.sub(r"\n{3,}", "\n\n", text)).strip()
 
 

@@ -70,3 +70,20 @@ def test_table(spark):
     got = {tuple(r) for r in markup_found(clean_passages(df)).collect()}
     assert got == {(1, "text", "html"), (1, "heading", "markdown"), (4, "heading", "markdown")}
     assert markup_found(clean_passages(df.limit(0))).count() == 0
+
+
+def test_element_paths_leave_out_what_stands_beside_the_content():
+    prose = "A long sentence about the harbor, its ships, and the weather of the day. " * 4
+    links = "<li><a href='u'>Home</a></li><li><a href='v'>News</a> | <a href='w'>Shop</a></li>"
+    page = f"""<style>p {{ color: red }}</style><script>if (a < b) go("x");</script><nav>Menu<ul>{links}</ul></nav><article><h2>Ships</h2>
+<p>{prose}<p>See <a href='u'>the harbor
+page</a> too<ul><li>tugs</li><li>a <a href='v'>ferry</a></li></ul><blockquote>Short. But said</blockquote></article>
+<aside><h3>Related</h3><ul>{links}</ul></aside><footer><div>Imprint</div></footer>"""
+    got = clean(page)
+    for gone in ("color", "go(", "Menu", "Home", "News", "Shop", "Related", "Imprint"):
+        assert gone not in got, gone
+    for kept in ("## Ships", "weather", "the harbor\npage too", "- tugs", "- a ferry", "Short. But said"):
+        assert kept in got, kept
+    assert "Home" not in clean(f"{prose}\n\n- [Home](http://x.example)\n- [News](http://y.example)\n- **kept**\n\n> quoted")
+    assert clean("<script> is a tag, <b>bold</b>") == "is a tag, bold"
+    assert len(clean("<div>x" * 20_000)) >= 20_000
