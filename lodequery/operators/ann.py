@@ -10,17 +10,37 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodequery.functions.hnsw import HNSW
 from lodequery.functions.vectors import cosine_distance, literal, normalize
-from lodequery.operators.knn import top_k
+from lodequery.operators.knn import query_blocks, top_k
 
 #: Rows that cells are fitted on, at most.
 SAMPLE = 100_000
 
 
+def nearest_of(pairs: DataFrame, k: int) -> DataFrame:
+    """(query_id, row_id, distance, rank) of the k nearest of candidate pairs (query_id, q, row_id, vec)."""
+
+    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            q, x = (np.stack(batch[c].to_numpy()).astype(float) for c in ("q", "v"))
+            norms = np.sqrt(np.einsum("ij,ij->i", q, q) * np.einsum("ij,ij->i", x, x))
+            dots = np.einsum("ij,ij->i", q, x)
+            cos = np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+            far = batch[["query_id", "row_id"]].assign(distance=1.0 - np.round(cos, 12))
+            yield far.sort_values(["query_id", "distance", "row_id"]).groupby("query_id").head(k)
+
+    rows = pairs.where(F.size("q") == F.size("vec")).select("query_id", F.col("row_id").cast("long"), "q", F.col("vec").alias("v"))
+    far = rows.mapInPandas(measure, "query_id bigint, row_id bigint, distance double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "row_id"))
+    return far.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
 class IVF:
     """Vectors in cells around k-means centres; a search reads the ``probes`` nearest cells only."""
 
@@ -42,6 +62,24 @@ class IVF:
         near = np.argsort(((self.centres - q / (np.linalg.norm(q) or 1.0)) ** 2).sum(1), kind="stable")[:probes]
         return F.col("cell").isin(*[int(c) for c in near])
 
+    def search_batch(self, queries: DataFrame, k: int, probes: int, query_id: str, query_vec: str) -> DataFrame:
+        """(query_id, row_id, distance, rank): every query reads its own ``probes`` nearest cells."""
+        dim, centres = self.centres.shape[1], self.centres
+        cells = np.arange(len(centres))
+
+        def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                q = np.stack(batch["q"].to_numpy()).astype(float)
+                q /= np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None]
+                far = (centres**2).sum(1) - 2 * q @ centres.T
+                probed = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                part = batch.loc[batch.index.repeat(probed.shape[1])]
+                yield part.assign(cell=cells[probed.ravel()].astype(np.int32))
+
+        asked = queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).cast("array<double>").alias("q"))
+        asked = asked.where((F.size("q") == dim) & F.col("query_id").isNotNull()).mapInPandas(near, "query_id bigint, q array<double>, cell int")
+        return nearest_of(asked.join(self.rows.withColumnRenamed(self.row_id, "row_id"), "cell"), k)
+
     def search(self, query: list[float], k: int, probes: int, rows: DataFrame | None = None) -> DataFrame:
         return top_k(self.rows if rows is None else rows, query, k, self.row_id, "vec", self.probed(query, probes)).select(self.row_id, "distance")
 
@@ -61,6 +99,23 @@ def lsh_search(df: DataFrame, query: list[float], k: int, row_id: str, vec: str,
     return rows.where(some).withColumn("distance", cosine_distance("vec", literal(query))).orderBy("distance", row_id).limit(k).select(row_id, "distance")
 
 
+def lsh_search_batch(
+    df: DataFrame, queries: DataFrame, k: int, row_id: str, vec: str, query_id: str, query_vec: str, tables: int = 8, bucket: float = 1.0, seed: int = 1
+) -> DataFrame:
+    """(query_id, row_id, distance, rank) of rows that share a bucket of random projections with the query."""
+    unit = lambda d, i, v: d.select(i, v, array_to_vector(normalize(v)).alias("features")).where(F.col(v).isNotNull())
+    rows, asked = unit(df, row_id, vec), unit(queries, query_id, query_vec)
+    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed).fit(rows)
+
+    def hashed(d: DataFrame, i: str, name: str) -> DataFrame:
+        buckets = F.transform("hashes", lambda h: F.element_at(vector_to_array(h), 1))
+        return model.transform(d).select(F.col(i).cast("long").alias(name), F.posexplode(buckets).alias("place", "bucket"))
+
+    shared = hashed(asked, query_id, "query_id").join(hashed(rows, row_id, "row_id"), ["place", "bucket"]).select("query_id", "row_id").distinct()
+    vectors = rows.select(F.col(row_id).cast("long").alias("row_id"), F.col(vec).alias("vec"))
+    return nearest_of(shared.join(asked.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("q")), "query_id").join(vectors, "row_id"), k)
+
+
 def build_graphs(df: DataFrame, row_id: str, vec: str, shard: str, m: int = 16, ef_construction: int = 100, diverse: bool = True) -> DataFrame:
     """(shard, ids, graph): a graph of each shard in flat arrays. A shard is one task's work; choose them of bounded size."""
     rows = df.select(F.col(shard).cast("int").alias("shard"), F.col(row_id).cast("long").alias("row_id"), F.col(vec).cast("array<float>").alias("vec"))
@@ -92,6 +147,39 @@ def search_graphs(graphs: DataFrame, query: list[float], k: int, ef: int = 50, a
     return graphs.select("ids", "graph").mapInPandas(run, "row_id bigint, distance double").orderBy("distance", "row_id").limit(k)
 
 
+def search_graphs_batch(graphs: DataFrame, queries: DataFrame, k: int, query_id: str, query_vec: str, ef: int = 50) -> DataFrame:
+    """(query_id, row_id, distance, rank) of every query's k nearest: each shard's own best, merged.
+
+    The queries travel to the graphs in blocks, as in ``knn.top_k_batch``; each shard gives k rows a query.
+    """
+    spark, schema = graphs.sparkSession, "query_id bigint, row_id bigint, distance double"
+
+    def search(qids: np.ndarray, matrix: np.ndarray) -> DataFrame:
+        shared = spark.sparkContext.broadcast((qids, matrix.astype(np.float32)))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, q = shared.value
+            for batch in batches:
+                for ids, blob in zip(batch["ids"], batch["graph"], strict=True):
+                    state = pickle.loads(blob)
+                    graph = HNSW(m=state["m"], vectors=state["vectors"], nodes=state["nodes"], links=state["links"], entry=state["entry"])
+                    ids = np.append(np.asarray(ids), -1)
+                    for at in range(0, len(q), 4096):
+                        found, sims = (x[:, :k] for x in graph.search(q[at : at + 4096], max(ef, k)))
+                        row, place = np.nonzero(found < graph.size)
+                        yield pd.DataFrame(
+                            {"query_id": own[at + row], "row_id": ids[found[row, place]], "distance": 1.0 - sims[row, place].astype(float)}
+                        )
+
+        return graphs.select("ids", "graph").mapInPandas(run, schema)
+
+    found = spark.createDataFrame([], schema)
+    for qids, matrix in query_blocks(queries, query_id, query_vec):
+        found = found.unionByName(search(qids, matrix))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "row_id"))
+    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+
+
 def links_per_node(graph: HNSW) -> float:
     """Links of layer 0 for each vector."""
     return float((graph.links[0][: graph.size] < graph.size).sum() / max(1, graph.size))

@@ -47,7 +47,7 @@ def _nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return _first_k(row, ids[col], dist[row, col], k)
 
 
-def _query_blocks(queries: DataFrame, query_id: str, query_vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def query_blocks(queries: DataFrame, query_id: str, query_vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and unit vectors of the queries, in blocks of bounded size."""
     ids: list[int] = []
     vectors: list[list[float]] = []
@@ -116,7 +116,7 @@ def top_k_batch(
         return rows.mapInArrow(run, schema)
 
     found = spark.createDataFrame([], schema)
-    for ids, matrix in _query_blocks(queries, query_id, query_vec):
+    for ids, matrix in query_blocks(queries, query_id, query_vec):
         found = found.unionByName(search(ids, matrix))
     if max_distance is not None:
         found = found.where(F.col("distance") <= max_distance)
@@ -149,7 +149,7 @@ def within_batch(df: DataFrame, queries: DataFrame, max_distance: float, row_id:
         return rows.mapInArrow(run, schema)
 
     found = spark.createDataFrame([], schema)
-    for ids, matrix in _query_blocks(queries, query_id, query_vec):
+    for ids, matrix in query_blocks(queries, query_id, query_vec):
         found = found.unionByName(search(ids, matrix))
     return found
 

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodequery.functions.filters import lookup, matches, plan_query, postings
 from lodequery.functions.vectors import cosine_distance, norm, normalize
 from lodequery.operators import evals, knn, routing
-from lodequery.operators.ann import IVF, build_graphs, lsh_search, search_graphs
-from lodequery.session import table
+from lodequery.operators.ann import IVF, build_graphs, lsh_search_batch, search_graphs_batch
+from lodequery.session import materialize, table
 
 SHARDS, K = 4, 10
 
@@ -153,17 +153,24 @@ def latency_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return evals.percentiles(table(spark, d, "events"), "value", "event_type")
 
 
+def _approximate(hits: DataFrame) -> DataFrame:
+    return _rounded(hits.withColumnRenamed("row_id", "vec_id"), "query_id", "vec_id", "rank")
+
+
 def ivf_search(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(IVF(_vectors(spark, d), "vec_id", "embedding", 16).search(_query(spark, d), K, 8), "vec_id")
+    return _approximate(IVF(_vectors(spark, d), "vec_id", "embedding", 16).search_batch(_queries(spark, d), K, 12, "qid", "qvec"))
 
 
 def random_projection_search(spark: SparkSession, d: str) -> DataFrame:
-    return _rounded(lsh_search(_vectors(spark, d), _query(spark, d), K, "vec_id", "embedding"), "vec_id")
+    return _approximate(lsh_search_batch(_vectors(spark, d), _queries(spark, d), K, "vec_id", "embedding", "qid", "qvec"))
 
 
 def hnsw_search(spark: SparkSession, d: str) -> DataFrame:
-    rows = _vectors(spark, d).withColumn("shard", routing.by_id("vec_id", SHARDS))
-    return _rounded(search_graphs(build_graphs(rows, "vec_id", "embedding", "shard"), _query(spark, d), K, 100), "row_id")
+    """Shards of at most some 2,000 vectors, so that a walk finds as much in a large table as in a small one."""
+    shards = max(SHARDS, -(-_vectors(spark, d).count() // 2_000))
+    rows = _vectors(spark, d).withColumn("shard", routing.by_id("vec_id", shards))
+    graphs = materialize(build_graphs(rows, "vec_id", "embedding", "shard"), "graphs")
+    return _approximate(search_graphs_batch(graphs, _queries(spark, d), K, "qid", "qvec", 100))
 
 
 QUERIES = {

@@ -10,6 +10,7 @@ from lodequery.functions.hnsw import HNSW, draw_levels, select_closest, select_d
 from lodequery.functions.vectors import cosine_distance, norm, normalize
 from lodequery.operators import knn, routing
 from lodequery.operators.ann import IVF, build_graphs, links_per_node, lsh_search, megabytes, search_graphs
+from lodequery.plans import search
 
 
 def frame(spark, x, **more):
@@ -205,3 +206,16 @@ def test_approximate_searches(spark):
     graphs = build_graphs(df.withColumn("shard", routing.by_id("id", 4)), "id", "vec", "shard")
     assert len({r[0] for r in search_graphs(graphs, q, 10, 50).collect()} & want) >= 9
     assert {r[0] % 2 for r in search_graphs(graphs, q, 10, 50, set(range(0, 400, 2))).collect()} == {0}
+
+
+def test_registered_approximate_searches_ask_all_queries(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    centre = rng.standard_normal((8, 16))
+    x = (centre[np.arange(900) % 8] + 0.5 * rng.standard_normal((900, 16))).astype(np.float32)
+    rows = [(i, i % 5, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = {(r["query_id"], r["vec_id"]) for r in search.knn_batch(spark, str(tmp_path)).collect()}
+    assert len(want) == 90
+    for f in (search.hnsw_search, search.ivf_search, search.random_projection_search):
+        got = {(r["query_id"], r["vec_id"]) for r in f(spark, str(tmp_path)).collect()}
+        assert len(got & want) >= 81, f.__name__
