@@ -98,27 +98,33 @@ def _split_head(text: str) -> tuple[str, str]:
     return (text[: m.start()], text[m.end() :]) if m else (text, "")
 
 
-def _walk(text: str, out: list[str], depth: int, default: str = "text/plain") -> None:
-    head, body = _split_head(text)
-    kind = _TYPE.search(head) if head else None
-    full = kind[1] if kind else default
-    media = full.split(";", 1)[0].strip().lower() or default
-    found = _ENCODING.search(head) if head else None
-    encoding = found[1].lower() if found else "8bit"
-    if media.startswith("multipart/") and (b := _BOUNDARY.search(full)) and (mark := b[1] or b[2]) and depth < 30:
-        pieces = re.split(rf"^--{re.escape(mark)}(--)?[ \t]*$\n?", body, flags=re.M)
-        for closing, piece in zip(pieces[1::2], pieces[2::2], strict=True):
-            if closing:
-                break
-            _walk(piece, out, depth + 1, "message/rfc822" if media == "multipart/digest" else "text/plain")
-    elif media in ("message/rfc822", "message/global") and depth < 30:
-        if encoding in ("base64", "quoted-printable"):
-            body = _decoded(body, encoding, "utf-8").replace("\r\n", "\n")
-        _walk(body.lstrip("\n"), out, depth + 1)
-    elif media in ("text/plain", "text/html"):
-        charset = _CHARSET.search(full)
-        body = _decoded(body, encoding, charset and charset[1])
-        out.append(html_text(body) if media == "text/html" else body)
+def _walk(message: str, out: list[str]) -> None:
+    """The text parts in their order, at any depth: entities that are still to be read wait on a stack."""
+    waiting = [(message, "text/plain")]
+    while waiting:
+        text, default = waiting.pop()
+        head, body = _split_head(text)
+        kind = _TYPE.search(head) if head else None
+        full = kind[1] if kind else default
+        media = full.split(";", 1)[0].strip().lower() or default
+        found = _ENCODING.search(head) if head else None
+        encoding = found[1].lower() if found else "8bit"
+        if media.startswith("multipart/") and (b := _BOUNDARY.search(full)) and (mark := b[1] or b[2]):
+            pieces = re.split(rf"^--{re.escape(mark)}(--)?[ \t]*$\n?", body, flags=re.M)
+            parts = []
+            for closing, piece in zip(pieces[1::2], pieces[2::2], strict=True):
+                if closing:
+                    break
+                parts.append((piece, "message/rfc822" if media == "multipart/digest" else "text/plain"))
+            waiting.extend(reversed(parts))
+        elif media in ("message/rfc822", "message/global"):
+            if encoding in ("base64", "quoted-printable"):
+                body = _decoded(body, encoding, "utf-8").replace("\r\n", "\n")
+            waiting.append((body.lstrip("\n"), "text/plain"))
+        elif media in ("text/plain", "text/html"):
+            charset = _CHARSET.search(full)
+            body = _decoded(body, encoding, charset and charset[1])
+            out.append(html_text(body) if media == "text/html" else body)
 
 
 def readable_text(message: str | None) -> str:
@@ -129,7 +135,7 @@ def readable_text(message: str | None) -> str:
     if text.startswith("From "):
         text = text.partition("\n")[2]
     out: list[str] = []
-    _walk(text, out, 0)
+    _walk(text, out)
     return "\n".join(out)
 
 

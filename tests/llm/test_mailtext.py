@@ -48,3 +48,13 @@ def test_equals_the_standard_parser_on_plain_messages():
         parts = [p.get_content() for p in m.walk() if p.get_content_type() == "text/plain"]
         got = message_words(text)
         assert got[: len(words(parts[0]))] == words(parts[0]) and len(got) - len(words(parts[0])) in (0, 2)
+
+
+def test_parts_at_any_depth():
+    text = "Subject: x\n\nthe innermost words\n"
+    for i in range(200):
+        kind = f'multipart/mixed; boundary="b{i}"' if i % 2 else "message/rfc822"
+        body = f"--b{i}\n{text}\n--b{i}\n\nafter {i}\n--b{i}--\n" if i % 2 else text
+        text = f"Content-Type: {kind}\n\n{body}"
+    got = readable_text(text)
+    assert "the innermost words" in got and got.index("innermost") < got.index("after 1\n") < got.index("after 199")
