@@ -292,7 +292,7 @@ def _from_latex(text: str) -> str:
 
     text = re.sub(r"\\begin\{tabular\}(?:\[[^\]]*\])?\{[^}]*\}(.*?)(?:\\end\{tabular\}|\Z)", table, text, flags=re.S)
     text = re.sub(r"~(?=\\)", " ", text)
-    for _ in range(8):  # arguments may hold commands
+    while True:  # arguments may hold commands
         text, n = _ONE_ARG.subn(command, text)
         if not n:
             break
@@ -324,12 +324,14 @@ def _from_wiki(text: str) -> str:
             return f"\ue002image\ue003{parts[-1] if len(parts) > 1 else ''}"
         return _LINKED + (parts[-1].strip(" ") or parts[0]) + _UNLINKED
 
-    for _ in range(4):
+    while True:
         text, n = _WIKI_LINK.subn(link, text)
         if not n:
             break
     text = _WIKI_URL.sub(lambda m: _LINKED + (m[2] or m[1]) + _UNLINKED, text)
-    text = _WIKI_TEMPLATE.sub(lambda m: "\ue002template\ue003" + " ".join(p.split("=", 1)[-1].strip() for p in m[1].split("|")), text)
+    n = 1
+    while n:  # templates may hold templates
+        text, n = _WIKI_TEMPLATE.subn(lambda m: "\ue002template\ue003" + " ".join(p.split("=", 1)[-1].strip() for p in m[1].split("|")), text)
     return _WIKI_MAGIC.sub("", _WIKI_QUOTES.sub(r"\2", text))
 
 
@@ -343,13 +345,13 @@ def _from_markdown(text: str) -> str:
     text = re.sub(rf"(?m)^[ \t]{{0,3}}(?:(?:-[ \t]*){{3,}}|(?:\*[ \t]*){{3,}}|(?:_[ \t]*){{3,}}){_QUOTED}?$", "", text)
     text = re.sub(r"(?m)^([ \t]*)[*+](?=[ \t]+\S)", r"\1-", text)
     text = re.sub(r"(?m)^([ \t]*- )\[[ xX]\][ \t]+", r"\1", text)
-    for _ in range(4):
+    while True:
         text, n = _LINK.subn(lambda m: "\ue002image\ue003" + m[2] if m[1] else _LINKED + m[2] + _UNLINKED, text)
         text, k = _REF_LINK.subn(lambda m: _LINKED + m[2] + _UNLINKED, text)
         if not n + k:
             break
     text = _AUTOLINK.sub(_LINKED + r"\1" + _UNLINKED, text)
-    for _ in range(4):
+    while True:
         text, n = _STARS.subn(lambda m: m[2], text)
         text, k = _BARS.subn(lambda m: m[2], text)
         if not n + k:

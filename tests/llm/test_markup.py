@@ -87,3 +87,10 @@ page</a> too<ul><li>tugs</li><li>a <a href='v'>ferry</a></li></ul><blockquote>Sh
     assert "Home" not in clean(f"{prose}\n\n- [Home](http://x.example)\n- [News](http://y.example)\n- **kept**\n\n> quoted")
     assert clean("<script> is a tag, <b>bold</b>") == "is a tag, bold"
     assert len(clean("<div>x" * 20_000)) >= 20_000
+
+
+def test_nested_parts_are_taken_off_at_any_depth():
+    prose = "A long sentence about the harbor, its ships, and the weather of the day. " * 4
+    assert "{" not in clean(f"{prose}\n\n{{{{a|{{{{b}}}}}}}}\n\n{prose}") and clean("{{a|{{b|{{c}}}}}}") == "a b c"
+    assert clean("\\textbf{" * 20 + "deep" + "}" * 20) == "deep"
+    assert clean("[[File:a|" * 9 + "x" + "]]" * 9).strip("[]") == "x"
