@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from lodequery.functions import text as T
 from lodequery.operators import evals, health, memory
-from lodequery.operators.chunking import chunk, chunk_document, cut_hard
 from lodequery.operators.documents import find_passages, ingest_files, source_listing
 from lodequery.plans import texts
 from lodequery.sources import files
@@ -17,61 +16,13 @@ from lodequery.sources.store import OutOfOrderWrite, VectorStore
 from lodequery.sources.wal import Record, WalDataSource, append_log, read_log
 from lodequery.streaming.ingest import Watch, read_replayed, replay
 
-GUIDE = """Intro line.
-
-# Guide
-
-Text of the guide. It has two sentences.
-
-## Install
-
-```
-# not a heading
-pip
-```
-
-- one
-- two
-  more of two
-
-## Usage
-### Search ##
-Ask it!
-"""
+GUIDE = "Intro line.\n\n# Guide\n\nText of the guide.\n\n## Install\n\n```\n# not a heading\n```\n\n## Usage\n### Search ##\nAsk it!\n"
 
 
 def one(spark, value, expr, kind="string"):
     return spark.createDataFrame([(value,)], f"x {kind}").select(expr).first()[0]
 
 
-def test_heading_trails_and_code():
-    got = chunk_document(GUIDE)
-    assert [(i, h) for i, h, _ in got] == [(0, ""), (1, "Guide"), (2, "Guide > Install"), (3, "Guide > Usage > Search")]
-    assert "# not a heading" in got[2][2] and "two\n  more of two" in got[2][2] and got[3][2] == "Ask it!"
-    assert len(chunk_document(GUIDE, headings=False)) == 1
-
-
-@pytest.mark.parametrize(("limit", "overlap"), [(200, 0), (200, 60), (1000, 150), (80, 79)])
-def test_chunks_keep_everything_within_the_limit(limit, overlap):
-    prose = " ".join(f"Sentence number {i} tells a little about item {i * 7}." for i in range(120))
-    got = chunk_document(prose + "\n\n" + "x" * 2500, limit, overlap)
-    assert all(len(t) <= limit for _, _, t in got) and [i for i, _, _ in got] == list(range(len(got)))
-    joined = " ".join(t for _, _, t in got)
-    assert all(f"number {i} " in joined or limit < 100 for i in range(120)) and joined.count("x") >= 2500
-    if not overlap:
-        assert joined.split().count("Sentence") == 120
-
-
-def test_chunk_edges(spark):
-    assert chunk_document(None) == [] and chunk_document(" \n\n ") == []
-    for bad in ((10, 10), (10, -1)):
-        with pytest.raises(ValueError):
-            chunk_document("x", *bad)
-    assert cut_hard("a" * 25, 10) == ["a" * 10, "a" * 10, "a" * 5] and cut_hard("aa bb", 4) == ["aa", "bb"]
-    df = spark.createDataFrame([(1, GUIDE), (2, None), (3, "")], "id int, t string")
-    assert chunk(df, "id", "t").groupBy("row_id").count().collect() == [(1, 4)]
-
-
 def test_hashed_vectors_agree(spark):
     texts = ["The cats and the cat", "Glass classes, 42!", "the and of", "", None, "a" * 5000 + " word"]
     df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
