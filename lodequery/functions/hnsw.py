@@ -23,6 +23,25 @@ def unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0).astype(np.float32)
 
 
+#: A place of a beam that holds nothing.
+_NONE = np.int64(np.iinfo(np.int64).max)
+
+
+def _keys(similarity: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Similarity, node and an open mark in one number; smaller is nearer. The bits of a positive float rise with it."""
+    far = np.maximum(np.float32(2) - similarity.astype(np.float32), np.float32(0))
+    return far.view(np.int32).astype(np.int64) << 32 | ids.astype(np.int64) << 1 | 1
+
+
+def _ids(keys: np.ndarray, n: int) -> np.ndarray:
+    return np.where(keys == _NONE, n, (keys & 0xFFFFFFFF) >> 1)
+
+
+def _similarities(keys: np.ndarray) -> np.ndarray:
+    far = (keys >> 32).astype(np.int32).view(np.float32)
+    return np.where(keys == _NONE, np.float32(-np.inf), np.float32(2) - far)
+
+
 def _dots(x: np.ndarray, ids: np.ndarray, q: np.ndarray) -> np.ndarray:
     """[b, c]: products of each row of q with the c vectors named for it."""
     return np.matmul(x.take(ids, axis=0), q[:, :, None])[:, :, 0]
@@ -177,45 +196,40 @@ class HNSW:
         """(ids, similarities) [queries, ef] of each query's best nodes on a layer, nearest first; padding has -inf.
 
         The ``step`` best open nodes of a beam are expanded at once. With ``allowed`` the walk passes all nodes and the
-        result holds allowed ones only.
+        result holds allowed ones only. A place of a beam is one number, see ``_keys``, so a beam is kept by sorting.
         """
         n, links, x = self.size, self.links[lay], self.vectors
-        out_ids = np.full((q.shape[0], ef), n, np.int64)
-        out_sims = np.full((q.shape[0], ef), -np.inf, np.float32)
+        out = np.full((q.shape[0], ef), _NONE)
         block = max(64, _CELLS // (n + 1))
         for lo in range(0, q.shape[0], block):
             qs = q[lo : lo + block]
             slot = np.arange(qs.shape[0])  # of each beam that is still open: its row in the block
-            visited = np.zeros((slot.size, n + 1), bool)
-            visited[:, n] = True
-            ids = np.full((slot.size, ef), n, np.int64)
-            sims = np.full((slot.size, ef), -np.inf, np.float32)
-            open_ = np.zeros((slot.size, ef), bool)
-            ids[:, 0] = entry[lo : lo + block]
-            sims[:, 0] = np.einsum("ij,ij->i", x[ids[:, 0]], qs)
-            open_[:, 0] = True
-            visited[slot, ids[:, 0]] = True
-            kept_ids, kept_sims = ids, sims
-            if allowed is not None:
-                kept_ids, kept_sims = ids.copy(), np.where(allowed[ids], sims, np.float32(-np.inf))
+            visited = np.zeros(slot.size * (n + 1), bool)
+            visited[n :: n + 1] = True
+            row = slot * (n + 1)
+            at = entry[lo : lo + block].astype(np.int64)
+            visited[row + at] = True
+            beam = np.full((slot.size, ef), _NONE)
+            beam[:, 0] = _keys(np.einsum("ij,ij->i", x[at], qs), at)
+            kept = None if allowed is None else np.where(allowed[_ids(beam, n)], beam, _NONE)
             while slot.size:
+                open_ = (beam & 1).astype(bool) & (beam != _NONE)
                 going = open_.any(axis=1)
                 if going.sum() < 0.8 * slot.size or not going.any():  # closed beams leave together, now and then
-                    if allowed is None:
-                        kept_ids, kept_sims = ids, sims
-                    done = lo + slot[~going]
-                    out_ids[done], out_sims[done] = kept_ids[~going], kept_sims[~going]
-                    slot, qs, ids, sims, open_ = slot[going], qs[going], ids[going], sims[going], open_[going]
-                    if allowed is not None:
-                        kept_ids, kept_sims = kept_ids[going], kept_sims[going]
-                    continue
+                    out[lo + slot[~going]] = (beam if kept is None else kept)[~going]
+                    slot, qs, row, beam, open_ = slot[going], qs[going], row[going], beam[going], open_[going]
+                    if kept is not None:
+                        kept = kept[going]
+                    if not slot.size:
+                        break
                 # beams are sorted, so the first open places are the best ones
-                row = np.arange(slot.size)[:, None]
-                place = np.argsort(~open_, axis=1, kind="stable")[:, :step]
-                front = np.where(open_[row, place], ids[row, place], n)
-                open_[row, place] = False
-                cand = links.take(front.ravel(), axis=0).reshape(slot.size, -1).astype(np.int64)
-                seen = visited[slot[:, None], cand]
+                nth = np.cumsum(open_, axis=1, dtype=np.int16)
+                r, c = np.nonzero(open_ & (nth <= step))
+                front = np.full((slot.size, step), n, np.int64)
+                front[r, nth[r, c] - 1] = _ids(beam[r, c], n)
+                beam[r, c] -= 1
+                cand = links.take(front.ravel(), axis=0).reshape(slot.size, -1)
+                seen = visited.take(cand + row[:, None])
                 cand[seen] = n
                 cand.sort(axis=1)
                 width = cand.shape[1] - int(seen.sum(axis=1).min())
@@ -223,21 +237,17 @@ class HNSW:
                     continue
                 cand = cand[:, :width]
                 cand[:, 1:][cand[:, 1:] == cand[:, :-1]] = n
-                visited[slot[:, None], cand] = True
-                new = _dots(x, cand, qs)
-                new[cand == n] = -np.inf
-                all_sims = np.hstack([sims, new])
-                order = np.argsort(-all_sims, axis=1)[:, :ef] + row * all_sims.shape[1]
-                sims = all_sims.take(order)
-                ids = np.hstack([ids, cand]).take(order)
-                open_ = np.hstack([open_, cand < n]).take(order)
-                if allowed is not None:
-                    new[~allowed[cand]] = -np.inf
-                    all_sims = np.hstack([kept_sims, new])
-                    order = np.argsort(-all_sims, axis=1)[:, :ef] + row * all_sims.shape[1]
-                    kept_sims, kept_ids = all_sims.take(order), np.hstack([kept_ids, cand]).take(order)
-        out_ids[~np.isfinite(out_sims)] = n
-        return out_ids, out_sims
+                visited[cand + row[:, None]] = True
+                new = _keys(_dots(x, cand, qs), cand)
+                new[cand == n] = _NONE
+                every = np.concatenate([beam, new], axis=1)
+                every.sort(axis=1)
+                beam = every[:, :ef].copy()
+                if kept is not None:
+                    every = np.concatenate([kept, np.where(allowed[cand], new, _NONE)], axis=1)
+                    every.sort(axis=1)
+                    kept = every[:, :ef]
+        return _ids(out, n), _similarities(out)
 
     def search(
         self, queries: np.ndarray, ef: int = 50, allowed: np.ndarray | None = None, entry: np.ndarray | None = None
