@@ -1,10 +1,12 @@
 """The most similar vectors for every vector: an HNSW graph per shard, and the shards' results merged.
 
 Shards are cells around centroids, so a vector's neighbours lie in a few of them. Centroids are fitted on a bounded
-sample; every vector is indexed in the cell of its nearest centroid and searched for there and in the next cells, as
-long as their centroids are not ``slack`` further away. A cell that is too large for a worker is divided into several
-shards by hash, all of which are searched; a shard with too many queries is built several times, and each copy answers
-a part of them. Exact copies of a vector are one node; of its global ids the smallest k + 1 are enough for any result.
+sample, above FLAT of them in two levels; every vector is indexed in the cell of its nearest centroid and searched for
+there and in the next cells, as long as their centroids are not ``slack`` further away. The more cells there are, the
+more of them a neighbourhood lies in: ``cells_for`` and ``probes_for`` say how the numbers of cells and of probes follow
+the collection, and a larger shard gets a wider beam. A shard with too many queries is built several times, and each
+copy answers a part of them. Vectors of one direction are one node; of its ids the smallest k + 1 are enough for any
+result.
 
 Within a task the rows come sorted: first the shard's vectors, of which the graph is built - flat neighbour arrays, see
 ``functions.hnsw`` - then the queries, batch by batch, so a task holds one shard and one batch. What the graph finds is
@@ -25,14 +27,18 @@ from pyspark.sql import functions as F
 from lodequery.functions.hnsw import HNSW, unit
 from lodequery.session import materialize, spread
 
-#: Vectors that the centroids are fitted on, at most.
-SAMPLE = 32_768
+#: Vectors that the centroids are fitted on: at least, at most, and for each centroid.
+LEAST_SAMPLE, SAMPLE, SAMPLE_A_CELL = 12_288, 131_072, 12
+#: Centroids that are fitted in one level, at most.
+FLAT = 512
 #: Vectors that the cells of a search should hold together, as the sample foretells them.
 ENOUGH = 200
 #: Ids of one vector that travel in a row, beyond the first ones.
 ID_ROWS = 4_096
-#: Vectors of a cell on average, of a shard at most, and queries of a shard at most (as the sample foretells them).
-CELL, SHARD, QUERIES = 3_000, 8_192, 65_536
+#: Vectors of a cell on average: in small collections, and in those that would have more than MANY_CELLS of them.
+CELL, LARGE_CELL, MANY_CELLS = 3_000, 32_768, 250
+#: Vectors of a shard and queries of a shard at most (as the sample foretells them).
+SHARD, QUERIES = 131_072, 65_536
 MOST_PARTITIONS = 20_000
 
 
@@ -91,22 +97,51 @@ def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 10, seed: int =
     return c
 
 
-def make_route(sample: np.ndarray, total: int, probes: int, slack: float, cell: int = CELL, shard: int = SHARD, queries: int = QUERIES) -> Route:
+def fit_cells(sample: np.ndarray, cells: int) -> np.ndarray:
+    """Centroids in two levels if there are many: coarse ones, then for the sample of each its share of the cells."""
+    if cells <= FLAT:
+        return fit_centroids(sample, cells)
+    coarse = fit_centroids(sample, round(cells**0.5))
+    own = np.concatenate([(sample[lo : lo + 8192] @ coarse.T).argmax(axis=1) for lo in range(0, sample.shape[0], 8192)])
+    groups = [sample[own == g] for g in np.unique(own)]
+    return np.vstack([fit_centroids(x, max(1, round(cells * x.shape[0] / sample.shape[0]))) for x in groups])
+
+
+def cells_for(total: int, cell: int | None = None) -> int:
+    """Cells of ``cell`` vectors, if that is given. Otherwise of CELL, up to MANY_CELLS; then cells grow up to LARGE_CELL
+    before there are more of them: a walk in a large graph costs little more than in a small one, a probe costs a walk."""
+    if cell:
+        return max(1, -(-total // cell))
+    few = -(-total // CELL)
+    return max(1, few if few <= MANY_CELLS else max(MANY_CELLS, -(-total // LARGE_CELL)))
+
+
+def probes_for(cells: int) -> int:
+    """Cells that a vector is searched for in, at most: 6 of up to 50, 16 of 250, 63 of 2,500."""
+    return max(6, int(np.ceil(6 * (cells / 50) ** 0.6)))
+
+
+def make_route(
+    sample: np.ndarray, total: int, slack: float, cell: int | None = None, probes: int | None = None, shard: int = SHARD, queries: int = QUERIES
+) -> Route:
     """Cells and shards for ``total`` vectors, foretold from a sample of them."""
     every = unit(sample)
     every = every[(every != 0).any(axis=1)]
     if not every.shape[0]:
         every = np.eye(1, max(1, sample.shape[1]), dtype=np.float32)
     x, often = np.unique(every, axis=0, return_counts=True)
-    route = Route(fit_centroids(x, min(-(-total // cell), max(1, x.shape[0] // 12))), *[np.empty(0)] * 4, probes, slack)
-    best, _ = route.cells(x)
+    centroids = fit_cells(x, min(cells_for(total, cell), max(1, x.shape[0] // SAMPLE_A_CELL)))
+    n = centroids.shape[0]
+    route = Route(centroids, *[np.empty(0)] * 4, probes or probes_for(n), slack)
     share = total / every.shape[0]
-    n = route.centroids.shape[0]
-    route.size = np.bincount(best[:, 0], minlength=n) * share
-    best, go = route.cells(x)
+    blocks = [x[lo : lo + 4096] for lo in range(0, x.shape[0], 4096)]
+    route.size = sum(np.bincount(route.cells(b)[0][:, 0], minlength=n) for b in blocks) * share
     route.parts = np.maximum(1, np.ceil(route.size / shard)).astype(np.int64)
-    asked = np.bincount(best[go], np.repeat(often, go.sum(axis=1)), minlength=n) * share  # copies ask, too
-    route.copies = np.maximum(1, np.ceil(asked / queries)).astype(np.int64)
+    asked = np.zeros(n)
+    for b, times in zip(blocks, np.split(often, np.arange(4096, x.shape[0], 4096)), strict=True):
+        best, go = route.cells(b)
+        asked += np.bincount(best[go], np.repeat(times, go.sum(axis=1)), minlength=n)  # copies ask, too
+    route.copies = np.maximum(1, np.ceil(asked * share / queries)).astype(np.int64)
     route.first = np.cumsum([0, *(route.parts * route.copies)])
     return route
 
@@ -131,6 +166,16 @@ def _copies(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, group.ravel()
 
 
+def _directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for rows of equal direction, whatever their length: unit vectors that differ by no more than rounding."""
+    u = unit(x)
+    first, group = _copies(np.round(u * 8192))
+    apart = np.abs(u - u[first[group]]).max(axis=1, initial=0.0) > 1e-6
+    group = group.copy()
+    group[apart] = first.size + np.arange(apart.sum())
+    return np.concatenate([first, np.flatnonzero(apart)]), group
+
+
 def _lists(values: np.ndarray, group: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct values of each group in ascending order, as (values, offsets)."""
     order = np.lexsort((values, group))
@@ -237,16 +282,20 @@ class _Base:
 class _Shard:
     x: np.ndarray
     norm: np.ndarray
+    node: np.ndarray  # of each vector; those of one direction share a node
     members: np.ndarray  # the k + 1 smallest ids of each node
+    member_x: np.ndarray  # the vector of each of them
     member_at: np.ndarray
     graph: HNSW
+    ef: int
 
 
-def _pairs(shard: _Shard, q: np.ndarray, ids: np.ndarray, at: np.ndarray, entry: np.ndarray | None, k: int, ef: int, least: float) -> pa.RecordBatch:
+def _pairs(shard: _Shard, q: np.ndarray, ids: np.ndarray, at: np.ndarray, entry: np.ndarray | None, k: int, least: float) -> pa.RecordBatch:
     """(id, neighbour, similarity) of each query's ids, k or k + 1 each."""
-    near, rough = shard.graph.search(q, ef, entry=entry)
+    near, rough = shard.graph.search(q, shard.ef, entry=entry)
     row, col = np.nonzero(rough >= max(least - 1e-4, -2))
-    node = near[row, col]
+    pos, i = _expand(shard.member_at, near[row, col])
+    row, other, node = row[pos], shard.members[i], shard.member_x[i]
     norm = np.sqrt(np.einsum("ij,ij->i", q.astype(np.float64), q.astype(np.float64)))
     sim = np.empty(row.size)
     for lo in range(0, row.size, 50_000):
@@ -254,9 +303,7 @@ def _pairs(shard: _Shard, q: np.ndarray, ids: np.ndarray, at: np.ndarray, entry:
         sim[lo : lo + 50_000] = np.einsum("ij,ij->i", q[r].astype(np.float64), shard.x[c].astype(np.float64)) / (norm[r] * shard.norm[c])
     sim = np.round(np.clip(sim, -1, 1), 9)
     keep = sim >= least
-    row, node, sim = row[keep], node[keep], sim[keep]
-    pos, i = _expand(shard.member_at, node)
-    row, sim, other = row[pos], sim[pos], shard.members[i]
+    row, other, sim = row[keep], other[keep], sim[keep]
     order = np.lexsort((other, -sim, row))
     row, sim, other = row[order], sim[order], other[order]
     rank = np.arange(row.size) - np.searchsorted(row, row)
@@ -276,19 +323,25 @@ def _search_shards(dim: int, k: int, ef: int, m: int, ef_construction: int, sure
 
     def build(base: _Base, seed: int) -> _Shard:
         base.fold()
-        rank = np.arange(base.values.size) - np.repeat(base.at[:-1], np.diff(base.at))
-        few = rank <= k
-        ends = np.searchsorted(np.repeat(np.arange(base.asked.size), np.diff(base.at))[few], np.arange(base.asked.size + 1))
-        graph = HNSW(m=m, ef_construction=ef_construction, sure=sure, seed=seed).build(base.x)
-        wide = base.x.astype(np.float64)
-        return _Shard(base.x, np.sqrt(np.einsum("ij,ij->i", wide, wide)), base.values[few], ends, graph)
+        first, node = _directions(base.x)
+        of = np.repeat(np.arange(base.x.shape[0]), np.diff(base.at))  # vector of each id
+        order = np.lexsort((base.values, node[of]))
+        owner = node[of][order]
+        few = np.arange(order.size) - np.searchsorted(owner, owner) <= k
+        order, owner = order[few], owner[few]
+        wide = max(1.0, first.size / CELL)
+        graph = HNSW(m=m, ef_construction=round(ef_construction * wide**0.3), sure=sure, seed=seed).build(base.x[first])
+        x = base.x.astype(np.float64)
+        norm = np.sqrt(np.einsum("ij,ij->i", x, x))
+        ends = np.searchsorted(owner, np.arange(first.size + 1))
+        return _Shard(base.x, norm, node, base.values[order], of[order], ends, graph, round(ef * wide**0.6))
 
     def members(shard: _Shard, base: _Base) -> Iterator[pa.RecordBatch]:
         asked = np.flatnonzero(base.asked)
         for lo in range(0, asked.size, 4096):
             n = asked[lo : lo + 4096]
             r, i = _expand(base.at, n)
-            yield _pairs(shard, shard.x[n], base.values[i], np.searchsorted(r, np.arange(n.size + 1)), n, k, ef, least)
+            yield _pairs(shard, shard.x[n], base.values[i], np.searchsorted(r, np.arange(n.size + 1)), shard.node[n], k, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, base, built = -1, None, None
@@ -313,7 +366,7 @@ def _search_shards(dim: int, k: int, ef: int, m: int, ef_construction: int, sure
                     built = build(base, current)
                     yield from members(built, base)
                 if built:
-                    yield _pairs(built, matrix(part.column("vec")), ids, np.concatenate([[0], np.cumsum(sizes)]), None, k, ef, least)
+                    yield _pairs(built, matrix(part.column("vec")), ids, np.concatenate([[0], np.cumsum(sizes)]), None, k, least)
         if base and not built:
             yield from members(build(base, current), base)
 
@@ -343,13 +396,13 @@ def nearest_neighbors(
     dim: str = "dim",
     seq: str = "seq",
     ef: int = 24,
-    m: int = 12,
-    ef_construction: int = 32,
+    m: int = 16,
+    ef_construction: int = 24,
     sure: int = 4,
-    probes: int = 6,
+    probes: int | None = None,
     slack: float = 0.2,
     sample: int = SAMPLE,
-    cell: int = CELL,
+    cell: int | None = None,
     shard: int = SHARD,
     queries: int = QUERIES,
 ) -> DataFrame:
@@ -360,6 +413,9 @@ def nearest_neighbors(
     dim are no neighbours. A zero vector has similarity 0 to all: it is no vector's neighbour but its own are the
     smallest other ids. With ``min_similarity`` only neighbours of at least that similarity come out - those of them
     that are among the k nearest. Extra columns are ignored; an empty log gives no rows.
+
+    ``ef`` and ``ef_construction`` are those of a graph of CELL vectors, larger ones get more. ``sample`` bounds the
+    vectors that centroids are fitted on and the driver sees; ``cell`` and ``probes`` replace their rules.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -372,11 +428,12 @@ def nearest_neighbors(
     least = -2.0 if min_similarity is None else min_similarity
     for d, n in sorted(map(tuple, dims)):
         one = _settled(clean.where(F.col(dim) == d), ids, values, seq, d)
-        chosen = one if n <= sample else one.sample(0.95 * sample / n, seed=11)
+        most = min(sample, max(LEAST_SAMPLE, SAMPLE_A_CELL * cells_for(n, cell)))
+        chosen = one if n <= most else one.sample(0.95 * most / n, seed=11)
         vectors = [np.zeros((0, d), np.float32)]
         for batch in chosen.toArrow().to_batches():
             vectors.append(_valid(batch, d)[1])
-        route = make_route(np.vstack(vectors)[:sample], n, probes, slack, cell, shard, queries)
+        route = make_route(np.vstack(vectors)[:most], n, slack, cell, probes, shard, queries)
         shared = spark.sparkContext.broadcast(route)
         parts = min(MOST_PARTITIONS, max(route.shards, 1))
 

@@ -85,9 +85,9 @@ def test_empty_and_single(spark):
 def test_routes():
     rng = np.random.default_rng(3)
     x = clusters(rng, 2000, 8, 5)
-    route = make_route(x, 200_000, 6, 0.2, cell=3000, shard=1000, queries=5000)
+    route = make_route(x, 200_000, 0.2, cell=3000, shard=1000, queries=5000)
     assert route.parts.max() > 1 and route.copies.max() > 1 and route.shards == int((route.parts * route.copies).sum())
-    assert make_route(np.zeros((5, 8), np.float32), 5, 6, 0.2).shards == 1
+    assert make_route(np.zeros((5, 8), np.float32), 5, 0.2).shards == 1
     c = fit_centroids(np.repeat(np.eye(8, dtype=np.float32), 9, axis=0), 8)
     assert np.allclose(np.sort(c.max(1)), 1)
     first, group = _copies(np.vstack([x[:3], x[:3]]))
