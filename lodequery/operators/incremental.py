@@ -4,8 +4,9 @@ A log is a set of records (stream, seq). What has been processed is kept as disj
 A run subtracts them from what the log holds, processes the gaps - also those that fill up late, below intervals that
 are already processed - and publishes its output and the merged intervals in one step.
 
-Streams may be few and one may hold most records, so nothing is grouped by stream alone: seq is cut into blocks of
-``block`` numbers, intervals are clipped to the blocks they touch, and every sweep runs within one (stream, block).
+Streams may be few and one may hold most records, so no window runs over a whole stream: rows are range-partitioned by
+(stream, number), each partition is swept by itself, and what the others before it cover is carried over, see
+``routing.running``. Intervals are never spelled out as numbers, so a wild bound costs no more than any other.
 """
 
 from __future__ import annotations
@@ -14,13 +15,12 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodequery.operators.routing import running
 from lodequery.sources.manifest import ManifestFolder
 
-BLOCK = 65_536
-
 
 def is_committed(outcome: str) -> F.Column:
     """True where an outcome reads "committed" without regard to letter case and outer blanks; null counts as false."""
@@ -33,89 +33,64 @@ def clean_sha256(column: str) -> F.Column:
     return F.when(found != "", found)
 
 
-def _in_blocks(intervals: DataFrame, stream: str, block: int) -> DataFrame:
-    """Rows (stream, first, last) clipped to blocks, with the block's number."""
-    number = lambda c: F.floor(F.col(c) / F.lit(block)).cast("long")
-    cut = intervals.select(stream, "first", "last", F.explode(F.sequence(number("first"), number("last"))).alias("block"))
-    return cut.select(
-        stream,
-        "block",
-        F.greatest("first", F.col("block") * block).alias("first"),
-        F.least("last", (F.col("block") + 1) * block - 1).alias("last"),
-    )
-
-
 def _sane(intervals: DataFrame, stream: str, first: str, last: str) -> DataFrame:
-    return intervals.select(
-        F.col(stream).alias("stream"), F.col(first).cast("long").alias("first"), F.col(last).cast("long").alias("last")
-    ).where("stream is not null and first <= last")
+    """(stream, first, last) without rows that cover nothing; of those that begin at one number the longest, which is
+    found out before the shuffle, so repeated runs cost no more than one."""
+    named = intervals.select(F.col(stream).alias("stream"), F.col(first).cast("long").alias("first"), F.col(last).cast("long").alias("last"))
+    return named.where("stream is not null and first <= last").groupBy("stream", "first").agg(F.max("last").alias("last"))
 
 
-def _union_runs(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Overlapping or touching intervals within equal keys as disjoint ones.
+def merge_intervals(intervals: DataFrame, stream: str, first: str, last: str) -> DataFrame:
+    """Disjoint intervals (stream, first, last) that cover the same numbers as the given ones, as few as possible.
 
-    Of intervals that begin at one number only the longest counts. That is found out before the shuffle, so a block has
-    no more rows than numbers, however often runs are repeated.
+    Rows with a null or with first > last cover nothing. Repeated and overlapping rows are no problem; an empty table
+    gives an empty one. An interval that begins beyond all before it starts a new one; a started one ends where those
+    before the next start end.
     """
-    pieces = pieces.groupBy(*keys, "first").agg(F.max("last").alias("last"))
-    by_first = Window.partitionBy(*keys).orderBy("first", "last")
-    before = F.max("last").over(by_first.rowsBetween(Window.unboundedPreceding, -1))
-    starts = pieces.withColumn("_new", F.when(before.isNull() | (F.col("first") > before + 1), 1).otherwise(0))
-    runs = starts.withColumn("_run", F.sum("_new").over(by_first.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*keys, "_run").agg(F.min("first").alias("first"), F.max("last").alias("last")).drop("_run")
+    swept = running(_sane(intervals, stream, first, last), "max", F.col("last"), "before", ["stream"], ["first"])
+    apart = F.col("before").isNull() | F.coalesce(F.col("first") > F.try_add("before", F.lit(1)), F.lit(False))
+    starts = swept.where(apart).select("stream", "first", "before")
+    ended = running(starts, "min", F.struct("first", "before"), "next", ["stream"], ["first"], behind=True)
+    ends = _sane(intervals, stream, first, last).groupBy("stream").agg(F.max("last").alias("end"))
+    whole = ended.join(ends, "stream").select("stream", "first", F.coalesce("next.before", "end").alias("last"))
+    return whole.withColumnRenamed("stream", stream)
 
 
-def merge_intervals(intervals: DataFrame, stream: str, first: str, last: str, block: int = BLOCK) -> DataFrame:
-    """Disjoint intervals (stream, first, last) that cover the same numbers as the given ones, as few as possible.
+def _swept(log: DataFrame, done: DataFrame, stream: str, seq: str, first: str, last: str) -> DataFrame:
+    """The distinct (stream, seq) of ``log``, and whether an interval of ``done`` covers them.
 
-    Rows with a null or with first > last cover nothing. Repeated and overlapping rows are no problem; an empty table
-    gives an empty one. Merged block by block; only pieces that reach a block's edge (two a block at most) meet again
-    in a second merge by stream.
+    One sweep over points and intervals in order of their numbers: a point is covered if an interval that began before
+    it, or with it, ends at or after it.
     """
-    sane = _sane(intervals, stream, first, last).groupBy("stream", "first").agg(F.max("last").alias("last"))
-    pieces = _union_runs(_in_blocks(sane, "stream", block), ["stream", "block"])
-    at_edge = (F.col("first") == F.col("block") * block) | (F.col("last") == (F.col("block") + 1) * block - 1)
-    inner = pieces.where(~at_edge).select("stream", "first", "last")
-    stitched = _union_runs(pieces.where(at_edge).select("stream", "first", "last"), ["stream"])
-    return inner.unionByName(stitched).select(F.col("stream").alias(stream), "first", "last")
+    points = log.select(F.col(stream).alias("stream"), F.col(seq).cast("long").alias("at"))
+    points = points.where("stream is not null and at is not null").distinct()
+    spans = _sane(done, stream, first, last)
+    events = points.select("stream", "at", F.lit(None).cast("long").alias("till"), F.lit(1).alias("kind")).unionByName(
+        spans.select("stream", F.col("first").alias("at"), F.col("last").alias("till"), F.lit(0).alias("kind"))
+    )
+    swept = running(events, "max", F.col("till"), "reach", ["stream"], ["at", "kind"]).where("kind = 1")
+    return swept.select(F.col("stream").alias(stream), F.col("at").alias(seq), F.coalesce(F.col("reach") >= F.col("at"), F.lit(False)).alias("covered"))
 
 
-def subtract_intervals(
-    log: DataFrame, done: DataFrame, stream: str, seq: str, first: str, last: str, block: int = BLOCK
-) -> DataFrame:
+def subtract_intervals(log: DataFrame, done: DataFrame, stream: str, seq: str, first: str, last: str) -> DataFrame:
     """The distinct (stream, seq) of ``log`` that no interval of ``done`` covers.
 
     Records with a null stream or seq have no place in the log and are left out. Intervals with a null or with
     first > last cover nothing. Repeated records come out once. Other columns, whatever their names, are ignored.
-    One sweep per (stream, block) over points and clipped intervals in order of seq: a point is covered if an interval
-    that began before ends at or after it.
     """
-    points = (
-        log.select(F.col(stream).alias("stream"), F.col(seq).cast("long").alias("at"))
-        .where("stream is not null and at is not null")
-        .distinct()
-    )
-    bounds = points.groupBy(F.col("stream").alias("_s")).agg(F.min("at").alias("_lo"), F.max("at").alias("_hi"))
-    spans = _sane(done, stream, first, last)
-    spans = spans.join(bounds, spans["stream"] == bounds["_s"]).select(
-        "stream", F.greatest("first", "_lo").alias("first"), F.least("last", "_hi").alias("last")
-    )
-    spans = spans.where("first <= last").groupBy("stream", "first").agg(F.max("last").alias("last"))
-    spans = _in_blocks(spans, "stream", block).groupBy("stream", "block", "first").agg(F.max("last").alias("last"))
-    points = points.withColumn("block", F.floor(F.col("at") / F.lit(block)).cast("long"))
-    events = points.select("stream", "block", "at", F.lit(None).cast("long").alias("till")).unionByName(
-        spans.select("stream", "block", F.col("first").alias("at"), F.col("last").alias("till"))
-    )
-    sweep = Window.partitionBy("stream", "block").orderBy("at", F.col("till").isNull())
-    covered = F.max("till").over(sweep.rowsBetween(Window.unboundedPreceding, 0))
-    left = events.withColumn("_covered", covered).where("till is null and (_covered is null or _covered < at)")
-    return left.select(F.col("stream").alias(stream), F.col("at").alias(seq))
+    return _swept(log, done, stream, seq, first, last).where("not covered").drop("covered")
+
+
+def within_intervals(log: DataFrame, chosen: DataFrame, stream: str, seq: str, first: str, last: str) -> DataFrame:
+    """The rows of ``log``, whole and as often as they come, whose (stream, seq) an interval of ``chosen`` covers."""
+    inside = _swept(log, chosen, stream, seq, first, last).where("covered").drop("covered")
+    return log.join(inside, [stream, seq], "left_semi")
 
 
-def as_intervals(points: DataFrame, stream: str, seq: str, block: int = BLOCK) -> DataFrame:
+def as_intervals(points: DataFrame, stream: str, seq: str) -> DataFrame:
     """Disjoint intervals (stream, first, last) of the given (stream, seq)."""
     own = points.select(F.col(stream).alias("stream"), F.col(seq).alias("first"), F.col(seq).alias("last"))
-    return merge_intervals(own.distinct(), "stream", "first", "last", block).withColumnRenamed("stream", stream)
+    return merge_intervals(own, "stream", "first", "last").withColumnRenamed("stream", stream)
 
 
 def changed_files(
@@ -155,8 +130,8 @@ class IncrementalRun:
     a failed run leaves files that nothing refers to, and the next run takes the same records again.
     """
 
-    def __init__(self, spark: SparkSession, root: str, stream: str = "shard", seq: str = "seq", block: int = BLOCK):
-        self.spark, self.root, self.stream, self.seq, self.block = spark, root.rstrip("/"), stream, seq, block
+    def __init__(self, spark: SparkSession, root: str, stream: str = "shard", seq: str = "seq"):
+        self.spark, self.root, self.stream, self.seq = spark, root.rstrip("/"), stream, seq
         self.manifest = ManifestFolder(spark, f"{self.root}/manifest")
 
     def processed(self) -> DataFrame | None:
@@ -175,23 +150,20 @@ class IncrementalRun:
         if done is None:
             own = log.select(self.stream, F.col(self.seq).cast("long").alias(self.seq))
             return own.where(F.col(self.stream).isNotNull() & F.col(self.seq).isNotNull()).distinct()
-        return subtract_intervals(log, done, self.stream, self.seq, "first", "last", self.block)
+        return subtract_intervals(log, done, self.stream, self.seq, "first", "last")
 
     def run(self, log: DataFrame, process: Callable[[DataFrame], DataFrame]) -> bool:
         """Give the pending records' rows to ``process``, write its result and publish; False if nothing was pending."""
         version = (self.manifest.version() or 0) + 1
         folder = f"{self.root}/run-{version:08d}-{uuid.uuid4().hex[:8]}"
-        as_intervals(self.pending(log), self.stream, self.seq, self.block).write.parquet(f"{folder}/pending")
+        as_intervals(self.pending(log), self.stream, self.seq).write.parquet(f"{folder}/pending")
         gaps = self.spark.read.parquet(f"{folder}/pending")
         if gaps.isEmpty():
             return False
-        numbers = _in_blocks(gaps.withColumnRenamed(self.stream, "stream"), "stream", self.block).select(
-            F.col("stream").alias(self.stream), F.explode(F.sequence("first", "last")).alias(self.seq)
-        )
-        process(log.join(numbers, [self.stream, self.seq], "left_semi")).write.parquet(f"{folder}/output")
+        process(within_intervals(log, gaps, self.stream, self.seq, "first", "last")).write.parquet(f"{folder}/output")
         done = self.processed()
         every = gaps if done is None else gaps.unionByName(done)
-        merge_intervals(every, self.stream, "first", "last", self.block).write.parquet(f"{folder}/intervals")
+        merge_intervals(every, self.stream, "first", "last").write.parquet(f"{folder}/intervals")
         known = self.manifest.latest()
         outputs = (json.loads(known)["outputs"] if known else []) + [f"{folder}/output"]
         self.manifest.publish(version, json.dumps({"intervals": f"{folder}/intervals", "outputs": outputs}))

@@ -38,25 +38,41 @@ def shard_sizes(df: DataFrame, shard: Column) -> DataFrame:
     return df.groupBy(shard.alias("shard")).agg(F.count("*").alias("vectors"))
 
 
-def running_sum(df: DataFrame, value: Column, name: str, group: list[str], order: list[str]) -> DataFrame:
-    """The sum of ``value`` over the rows of the same group that come before, as column ``name``; 0 for the first.
+#: How two results of an aggregate make one; nulls don't count.
+_COMBINED = {
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+    "max": F.greatest,
+    "min": F.least,
+}
+
+
+def running(df: DataFrame, kind: str, value: Column, name: str, group: list[str], order: list[str], behind: bool = False) -> DataFrame:
+    """The sum, max or min of ``value`` over the rows of the same group that come before, as column ``name``; null if
+    there are none. With ``behind`` over the rows that come after.
 
     ``order`` must tell the rows of a group apart. Rows are range-partitioned by group and order, so a large group lies
-    in many partitions; sums run within each, and what a group has in the partitions before is added. The ranged rows
-    are written once: bounds drawn anew for a second reading could differ.
+    in many partitions; the aggregate runs within each, and what a group has in the other partitions is added. The
+    ranged rows are written once: bounds drawn anew for a second reading could differ.
     """
+    total, both = getattr(F, kind), _COMBINED[kind]
     ranged = df.repartitionByRange(*[F.col(c) for c in [*group, *order]]).withColumn("_p", F.spark_partition_id()).withColumn("_v", value)
     parts = materialize(ranged, "ranged")
-    rows = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    within = parts.withColumn("_w", F.coalesce(F.sum("_v").over(rows(Window.partitionBy("_p", *group).orderBy(*order))), F.lit(0)))
-    totals = parts.groupBy("_p", *group).agg(F.sum("_v").alias("_t"))  # rows: partitions plus groups
-    before = F.coalesce(F.sum("_t").over(rows(Window.partitionBy(*group).orderBy("_p"))), F.lit(0))
-    starts = totals.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], before.alias("_b"))
+    span = (1, Window.unboundedFollowing) if behind else (Window.unboundedPreceding, -1)
+    within = parts.withColumn("_w", total("_v").over(Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(*span)))
+    totals = parts.groupBy("_p", *group).agg(total("_v").alias("_t"))  # rows: partitions plus groups
+    others = total("_t").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(*span))
+    beside = totals.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], others.alias("_b"))
     same = [F.col("_p") == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]]
-    joined = within.join(starts, same).withColumn(name, (F.col("_b") + F.col("_w")).cast("long"))
+    joined = within.join(beside, same).withColumn(name, both(F.col("_b"), F.col("_w")))
     return joined.drop("_p", "_v", "_w", "_q", "_b", *[f"_g{i}" for i in range(len(group))])
 
 
+def running_sum(df: DataFrame, value: Column, name: str, group: list[str], order: list[str]) -> DataFrame:
+    """The sum of ``value`` over the rows of the same group that come before, as column ``name``; 0 for the first."""
+    told = running(df, "sum", value, name, group, order)
+    return told.withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
+
+
 def with_dense_ids(df: DataFrame, name: str, start: int, *order: str) -> DataFrame:
     """Consecutive ids from ``start`` in the given order, without a single sorting task; ties in arbitrary but fixed order."""
     tie = "_tie"

@@ -11,8 +11,7 @@ from lodequery.session import spread, table
 
 
 def _pending(spark: SparkSession, d: str) -> DataFrame:
-    runs = table(spark, d, "ingest_runs").where(is_committed("outcome"))
-    return subtract_intervals(table(spark, d, "vector_log"), runs, "shard", "seq", "first_seq", "last_seq")
+    return subtract_intervals(table(spark, d, "vector_log"), p1_processed(spark, d), "shard", "seq", "first_seq", "last_seq")
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:

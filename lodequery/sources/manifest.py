@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import re
+import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -13,10 +16,11 @@ class ConflictError(RuntimeError):
 
 class ManifestFolder:
     def __init__(self, spark: SparkSession, path: str):
-        jvm = spark.sparkContext._jvm
+        jvm, self._spark = spark.sparkContext._jvm, spark
         self._path = jvm.org.apache.hadoop.fs.Path
         self._jvm, self._root = jvm, self._path(path)
         self._fs = self._root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self._local = self._fs.getUri().getScheme() == "file"
 
     def _versions(self) -> list[int]:
         if not self._fs.exists(self._root):
@@ -40,13 +44,34 @@ class ManifestFolder:
             stream.close()
 
     def publish(self, version: int, text: str) -> None:
-        """Write under another name, then rename: readers see all of it or nothing."""
-        final, draft = self._path(self._root, f"v{version:012d}.json"), self._path(self._root, f".draft-v{version:012d}")
+        """Write a draft of its own, then give it the version's name, which fails if that is taken: readers see all of
+        it or nothing, and of two writers one wins. What is there afterwards is read again, as some object stores
+        replace what they should refuse; two writers must not publish the same text."""
+        final, draft = self._path(self._root, f"v{version:012d}.json"), self._path(self._root, f".draft-{uuid.uuid4().hex}")
         self._fs.mkdirs(self._root)
-        out = self._fs.create(draft, True)
+        out = self._fs.create(draft, False)
         try:
             out.write(bytearray(text.encode("utf-8")))
         finally:
             out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        try:
+            self._name(draft, final)
+        except (FileExistsError, Py4JJavaError) as e:
+            if not self._fs.exists(final):
+                raise
+            raise ConflictError(f"version {version} is published already") from e
+        finally:
+            self._fs.delete(draft, False)
+        if self.read(version) != text:
             raise ConflictError(f"version {version} is published already")
+
+    def _name(self, draft: object, final: object) -> None:
+        if self._local:  # renaming would replace a file there
+            os.link(draft.toUri().getPath(), final.toUri().getPath())
+            return
+        never = self._jvm.java.lang.Class.forName("org.apache.hadoop.fs.Options$Rename").getEnumConstants()[0]  # Rename.NONE
+        kind = getattr(self._jvm.org.apache.hadoop.fs, "Options$Rename")
+        options = self._spark.sparkContext._gateway.new_array(kind, 1)
+        options[0] = never
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._root.toUri(), self._spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(draft, final, options)

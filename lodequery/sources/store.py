@@ -31,7 +31,8 @@ class VectorStore:
     def __init__(self, spark: SparkSession, root: str, shards: int = 4):
         self.spark, self.root = spark, root.rstrip("/")
         self.manifest = ManifestFolder(spark, f"{self.root}/manifest")
-        known = self.manifest.latest()
+        self.version = self.manifest.version() or 0
+        known = self.manifest.read(self.version) if self.version else None
         self.state = json.loads(known) if known else {"shards": shards, "dim": None, "seq": 0, "base_seq": 0, "next_id": 0, "parts": [], "sources": {}}
 
     @property
@@ -39,12 +40,14 @@ class VectorStore:
         return self.state["shards"]
 
     def refresh(self) -> None:
-        if known := self.manifest.latest():
-            self.state = json.loads(known)
+        self.version = self.manifest.version() or 0
+        if self.version:
+            self.state = json.loads(self.manifest.read(self.version))
 
     def _publish(self, state: dict) -> None:
-        self.manifest.publish((self.manifest.version() or 0) + 1, json.dumps(state))
-        self.state = state
+        """The version after the one that was read: a writer that doesn't know the newest one is refused."""
+        self.manifest.publish(self.version + 1, json.dumps(state))
+        self.version, self.state = self.version + 1, state
 
     def rows(self) -> DataFrame:
         """Every row. The folders' shard column prunes partitions."""
