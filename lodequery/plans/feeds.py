@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodequery.operators.changefeed import ChangeFeed, memory_changes
 from lodequery.operators.incremental import as_intervals, changed_files, is_committed, merge_intervals, subtract_intervals
-from lodequery.session import spread, table
+from lodequery.session import shared_dir, spread, table
 
 
 def _pending(spark: SparkSession, d: str) -> DataFrame:
@@ -36,14 +38,27 @@ def p1_processed(spark: SparkSession, d: str) -> DataFrame:
     return merge_intervals(runs, "shard", "first_seq", "last_seq").withColumnsRenamed({"first": "first_seq", "last": "last_seq"})
 
 
+def _feed(spark: SparkSession) -> ChangeFeed:
+    return ChangeFeed(spark, f"{shared_dir(spark)}/feed-{uuid.uuid4().hex}")
+
+
+def _current(state: DataFrame) -> DataFrame:
+    return state.where("alive").select(F.col("owner").alias("mem_owner"), "memory_id", "seq")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    log = table(spark, d, "memory_log")
-    rows = log.select(F.sum(F.size("payloads"))).first()[0]
-    changes = memory_changes(spread(log, "delivery_id"))
-    return ChangeFeed(spark).apply(changes, 2 * (rows or 0)).where("alive").select(F.col("owner").alias("mem_owner"), "memory_id", "seq")
+    """The state that a feed of the whole log has published."""
+    return _current(_feed(spark).publish(memory_changes(spread(table(spark, d, "memory_log"), "delivery_id"))))
+
+
+def p2_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The same out of two publications: deliveries of odd numbers first, the others on top of them."""
+    feed, log = _feed(spark), spread(table(spark, d, "memory_log"), "delivery_id")
+    feed.publish(memory_changes(log.where("delivery_id % 2 = 1")))
+    return _current(feed.publish(memory_changes(log.where("delivery_id % 2 = 0"))))
 
 
-QUERIES = {"p1_found": p1_found, "p1_gaps": p1_gaps, "p1_processed": p1_processed, "p2_found": p2_found}
+QUERIES = {f.__name__: f for f in (p1_found, p1_gaps, p1_processed, p2_found, p2_batches)}
 
 _COMMITTED = "lower(trim(outcome)) = 'committed'"
 _SHA = "nullif(regexp_extract(lower(sha256), '(?:^|[^0-9a-f])([0-9a-f]{64})\\s*$', 1), '')"
@@ -78,3 +93,4 @@ effects as (
 last as (select mem_owner, memory_id, max((seq, place, alive)) as top from effects where memory_id is not null group by 1, 2)
 select mem_owner, memory_id, top[1]::bigint as seq from last where top[3]""",
 }
+SQL["p2_batches"] = SQL["p2_found"]

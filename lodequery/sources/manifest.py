@@ -43,6 +43,11 @@ class ManifestFolder:
         finally:
             stream.close()
 
+    def beside(self, path: str) -> list[str]:
+        """Names of what lies in a folder of the same file system."""
+        where = self._path(path)
+        return [s.getPath().getName() for s in self._fs.listStatus(where)] if self._fs.exists(where) else []
+
     def publish(self, version: int, text: str) -> None:
         """Write a draft of its own, then give it the version's name, which fails if that is taken: readers see all of
         it or nothing, and of two writers one wins. What is there afterwards is read again, as some object stores

@@ -3,7 +3,8 @@ import random
 
 import pytest
 
-from lodequery.operators.changefeed import ChangeFeed, memory_changes, payload_effects
+from lodequery.operators import changefeed
+from lodequery.operators.changefeed import ChangeFeed, memory_changes
 
 LOG = "mem_owner string, seq bigint, payloads array<string>, owner string, memory_id int, alive int"
 
@@ -16,6 +17,25 @@ def log_of(spark, rows):
     return spark.createDataFrame([(o, s, p, "x", 1, 2) for o, s, p in rows], LOG)
 
 
+def payload_effects(body):
+    """(memory_id, written) pairs of one payload, in plain Python."""
+    def refuse(text):
+        raise ValueError(text)
+
+    try:
+        fields = json.loads(body or "", parse_constant=refuse)
+    except (ValueError, RecursionError):
+        return []
+    if not isinstance(fields, dict):
+        return []
+    named = fields.get("replaces")
+    named = [named] if isinstance(named, str) else named if isinstance(named, list) else []
+    effects = {x: False for x in named if isinstance(x, str)}
+    if fields.get("type") == "memory" and isinstance(fields.get("memory_id"), str):
+        effects[fields["memory_id"]] = True
+    return list(effects.items())
+
+
 def brute(rows):
     best = {}
     for owner, seq, bodies in rows:
@@ -28,17 +48,22 @@ def brute(rows):
     return {(*k, v[0]) for k, v in best.items() if v[2]}
 
 
-def test_effects_of_one_payload():
-    assert payload_effects(payload()) == [("m1", True)]
-    assert payload_effects(payload(replaces=["a", "b", 3, None])) == [("a", False), ("b", False), ("m1", True)]
-    assert payload_effects(payload("forget", "f1", "a")) == [("a", False)]
-    assert payload_effects(payload("note", "n1", ["a"])) == [("a", False)]
-    assert payload_effects(payload(replaces=["m1"])) == [("m1", True)]
-    for bad in (None, "", "{", "[1]", "3", '{"type": "memory", "memory_id": NaN}', '{"type":"memory","memory_id":7}', "[" * 100_000):
-        assert payload_effects(bad) == []
+BODIES = [
+    payload(), payload(replaces=["a", "b", 3, None, ["c"], {"d": 1}]), payload("forget", "f1", "a"), payload("note", "n1", ["a"]), payload(replaces=["m1"]),
+    payload(own="\u00fc \u2028 \\ \" '"), payload(replaces={"a": 1}), payload(replaces=True), payload(own=""), payload(replaces=["a", "a"]),
+    None, "", " ", "{", "[1]", "3", '"memory"', '{"type": "memory", "memory_id": NaN}', '{"type":"memory","memory_id":7}', '{"type":["memory"],"memory_id":"x"}',
+    "[" * 100_000, payload() + "x", payload(text="y" * 300_000),
+]
+
+
+def test_effects_of_payloads(spark):
+    rows = memory_changes(log_of(spark, [(f"o{i}", i, [b]) for i, b in enumerate(BODIES)]), with_body=True).collect()
+    got = {(r["owner"], r["memory_id"], r["alive"]) for r in rows}
+    assert got == {(f"o{i}", m, w) for i, b in enumerate(BODIES) for m, w in payload_effects(b)} and len(rows) == len(got)
+    assert all(r["place"] == 0 and r["seq"] == int(r["owner"][1:]) and r["body"] == (BODIES[r["seq"]] if r["alive"] else None) for r in rows)
 
 
-def test_order_repetition_and_damage_do_not_matter(spark):
+def test_order_repetition_and_damage_do_not_matter(spark, tmp_path):
     rng = random.Random(5)
     rows = []
     for seq in range(1, 400):
@@ -51,12 +76,37 @@ def test_order_repetition_and_damage_do_not_matter(spark):
     for seed in range(2):
         random.Random(seed).shuffle(rows)
         df = log_of(spark, rows).repartition(5)
-        got = ChangeFeed(spark, buckets=3).apply(memory_changes(df)).where("alive").select("owner", "memory_id", "seq").collect()
+        got = ChangeFeed(spark, str(tmp_path / str(seed)), buckets=3).publish(memory_changes(df)).where("alive").select("owner", "memory_id", "seq").collect()
         assert {tuple(r) for r in got} == want and len(got) == len(want)
 
 
-def test_empty_log(spark):
-    assert ChangeFeed(spark, buckets=2).apply(memory_changes(log_of(spark, []))).count() == 0
+def test_empty_log(spark, tmp_path):
+    feed = ChangeFeed(spark, str(tmp_path / "feed"))
+    assert feed.publish(memory_changes(log_of(spark, []))).count() == 0
+    assert feed.publish(memory_changes(log_of(spark, [("o", 1, [payload()])]))).count() == 1
+    assert feed.publish(memory_changes(log_of(spark, []))).count() == 1
+
+
+def test_only_buckets_with_changes_are_written(spark, tmp_path):
+    feed = ChangeFeed(spark, str(tmp_path / "feed"), buckets=16)
+    feed.publish(memory_changes(log_of(spark, [("o", i, [payload(own=f"m{i}")]) for i in range(200)])))
+    first = json.loads(feed.manifest.latest())["folders"]
+    feed.publish(memory_changes(log_of(spark, [("o", 900, [payload(own="m7")])])))
+    second = json.loads(feed.manifest.latest())["folders"]
+    (old, kept), (new, own) = sorted(second.items())
+    assert len(own) == 1 and sorted(kept + own) == first[old] and feed.state().count() == 200
+    assert feed.state().where("seq = 900").select("memory_id").first()[0] == "m7" and len(list((tmp_path / "feed").glob(f"{new.rsplit('/', 1)[1]}/bucket=*"))) == 1
+
+
+def test_buckets_grow_with_the_keys(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changefeed, "KEYS_A_BUCKET", 10)
+    feed = ChangeFeed(spark, str(tmp_path / "feed"))
+    counts = []
+    for lo in (0, 30, 60, 200):
+        feed.publish(memory_changes(log_of(spark, [("o", i, [payload(own=f"m{i}")]) for i in range(lo, lo + 50)])))
+        counts.append(json.loads(feed.manifest.latest())["buckets"])
+    assert counts == [8, 16, 16, 16] and feed.state().count() == 160
+    assert feed.state().groupBy("owner", "memory_id").count().where("count > 1").count() == 0
 
 
 def test_later_batches_and_tombstones(spark, tmp_path):
@@ -80,5 +130,3 @@ def test_failed_publication_leaves_the_state(spark, tmp_path):
     with pytest.raises(Exception, match="lost"):
         feed.publish(broken.selectExpr("owner", "memory_id", "cast(seq as bigint) seq", "place", "alive", "body"))
     assert [r["memory_id"] for r in feed.state().collect()] == ["a"]
-    with pytest.raises(ValueError):
-        ChangeFeed(spark).publish(broken)
