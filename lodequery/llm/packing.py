@@ -3,8 +3,9 @@
 Sizes are tokens of a public tokenizer. Only a text that is larger than a container is split: into full containers and
 a rest. Items lie in queues, one for each source. In every round one container is filled: each source's deficit grows
 by its target share of the capacity, and the source of largest deficit puts in its largest item that still fits, as
-long as anything fits; in the last part of a container the item that fits best wins, of whatever source. Deficits are
-never reset, so windows of containers keep to the target proportions and what one lacks the next makes good.
+long as anything fits; in the last part of a container the item that fits best wins, of any source that isn't far ahead
+of its target. Deficits are never reset, so windows of containers keep to the target proportions and what one lacks the
+next makes good.
 
 Items are dealt to partitions by hash, each with the mixture of the whole. What a partition will serve of each source
 is known beforehand - all that it has - so the deficits that it inherits from the partitions before it are running sums,
@@ -15,11 +16,13 @@ from __future__ import annotations
 
 import base64
 from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,8 +36,12 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ITEMS = 60_000
 #: Containers of a window in which the mixture is reported.
 WINDOW = 64
-#: Below this part of the capacity the best fit among all sources is taken.
-LAST_PART = 0.5
+#: The last part of a container, in which the best fit is taken, and how far a source may be served beyond its target
+#: then, in containers.
+LAST_PART, AHEAD = 0.5, 0.25
+#: Tasks that pack; beyond that a task packs several partitions, one after another.
+MOST_TASKS = 20_000
+_NEVER = np.iinfo(np.int64).max
 _LONG = 100_000
 _MOST_LIMITS = 1_000
 
@@ -73,42 +80,85 @@ def token_counts(documents: DataFrame, doc_id: str, text: str, source: str, fold
     return spread(rows.where("doc_id is not null"), "doc_id").mapInArrow(run, "doc_id bigint, source string, n_tokens bigint")
 
 
-def fill_containers(sizes: list[list[int]], share: np.ndarray, deficit: np.ndarray, capacity: int) -> list[list[tuple[int, int]]]:
+class _Stock:
+    """Items that are left: of each source its sizes in ascending order, and of each size how many each source has.
+
+    The sizes that are left are the bits of one number, so the largest that fits is found without trying sources.
+    """
+
+    def __init__(self, sizes: list[np.ndarray]):
+        order = [np.lexsort((-np.arange(len(s)), s)) for s in sizes]
+        self.item = [o.tolist() for o in order]
+        self.queue = [np.asarray(s)[o].tolist() for s, o in zip(sizes, order, strict=True)]
+        self.least = np.array([q[0] if q else _NEVER for q in self.queue], np.int64)
+        self.left = sum(map(len, self.queue))
+        self.of_size: dict[int, Counter[int]] = {}
+        for s, q in enumerate(self.queue):
+            for size in q:
+                self.of_size.setdefault(size, Counter())[s] += 1
+        self.bits = sum(1 << size for size in self.of_size)
+
+    def largest(self, source: int, room: int) -> int:
+        return self.queue[source][bisect_right(self.queue[source], room) - 1]
+
+    def best(self, room: int, chosen: np.ndarray, owed: np.ndarray) -> tuple[int, int]:
+        """(source, size) of the largest item up to ``room`` among the chosen sources, one of which must have such an
+        item; of equal ones that of the source that is owed most."""
+        bits = self.bits & ((2 << room) - 1)
+        while True:
+            size = bits.bit_length() - 1
+            have = [s for s in self.of_size[size] if chosen[s]]
+            if have:
+                return max(have, key=lambda s: (owed[s], -s)), size
+            bits ^= 1 << size
+
+    def take(self, source: int, size: int) -> int:
+        at = bisect_right(self.queue[source], size) - 1
+        self.queue[source].pop(at)
+        self.left -= 1
+        self.least[source] = self.queue[source][0] if self.queue[source] else _NEVER
+        have = self.of_size[size]
+        have[source] -= 1
+        if not have[source]:
+            del have[source]
+            if not have:
+                self.bits ^= 1 << size
+                del self.of_size[size]
+        return self.item[source].pop(at)
+
+
+def fill_containers(sizes: list[np.ndarray], share: np.ndarray, deficit: np.ndarray, capacity: int) -> list[list[tuple[int, int]]]:
     """Containers as lists of (source, index in the source's sizes). Every item must be at most the capacity.
 
-    ``share`` is each source's target part of the tokens, ``deficit`` what it is owed from before.
+    ``share`` is each source's target part of the tokens, ``deficit`` what it is owed from before. Up to LAST_PART the
+    source of largest deficit puts in its largest item that fits. Then the item that fits best wins, of any source that
+    hasn't been served more than AHEAD of a container beyond its target - so what is served of a source never runs
+    away from its target -, and only if none of those has an item that fits, of any source at all. The targets of
+    sources that are used up fall to the others in proportion.
     """
-    order = [sorted(range(len(s)), key=lambda i, s=s: (s[i], -i)) for s in sizes]
-    queue = [[s[i] for i in o] for s, o in zip(sizes, order, strict=True)]
-    never = np.iinfo(np.int64).max
-    smallest = np.array([q[0] if q else never for q in queue], np.int64)
+    stock = _Stock(sizes)
     owed = np.array(deficit, np.float64)
-    quantum = np.asarray(share, np.float64) * capacity
-    left = sum(map(len, queue))
+    share = np.asarray(share, np.float64)
     containers: list[list[tuple[int, int]]] = []
-    while left:
-        owed += quantum
+    while stock.left:
+        there = np.where(stock.least < _NEVER, share, 0.0)
+        total = there.sum()
+        if total > 0:
+            owed += there * (capacity / total)
         room, content = capacity, []
         while True:
-            fits = np.flatnonzero(smallest <= room)
-            if not fits.size:
+            fits = stock.least <= room
+            if not fits.any():
                 break
-            if room > capacity * LAST_PART:
-                s = int(fits[owed[fits].argmax()])
+            if room > capacity * (1 - LAST_PART):
+                s = int(np.where(fits, owed, -np.inf).argmax())
+                size = stock.largest(s, room)
             else:
-                if fits.size > 64:  # of very many sources those that are owed most
-                    fits = fits[np.argpartition(-owed[fits], 64)[:64]]
-                s = max(fits.tolist(), key=lambda x: (queue[x][bisect_right(queue[x], room) - 1], owed[x]))
-            at = bisect_right(queue[s], room) - 1
-            size = queue[s].pop(at)
-            content.append((s, order[s].pop(at)))
+                due = fits & (owed > -AHEAD * capacity)
+                s, size = stock.best(room, due if due.any() else fits, owed)
+            content.append((s, stock.take(s, size)))
             room -= size
             owed[s] -= size
-            left -= 1
-            if not queue[s]:
-                smallest[s] = never
-            elif not at:
-                smallest[s] = queue[s][0]
         containers.append(content)
     return containers
 
@@ -119,36 +169,51 @@ _PACKED = (
 )
 
 
+def _pack_part(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """The containers of one partition of one limit, of its items (kind 1) and of what its sources are owed (kind 0)."""
+    name, capacity, part = (rows.column(c)[0].as_py() for c in ("limit_name", "capacity", "part"))
+    kind = rows.column("kind").to_numpy()
+    items, carried = rows.filter(pa.array(kind == 1)), rows.filter(pa.array(kind == 0))
+    if not items.num_rows:
+        return
+    items = items.sort_by([("source", "ascending"), ("doc_id", "ascending"), ("piece", "ascending"), ("size", "ascending")])
+    owed = {x["source"]: (x["share"], x["deficit"]) for x in carried.select(["source", "share", "deficit"]).to_pylist()}
+    code = pc.dictionary_encode(items.column("source").combine_chunks(), null_encoding="encode")
+    sources, at = code.dictionary.to_pylist(), code.indices.to_numpy()
+    ends = np.searchsorted(at, np.arange(len(sources) + 1))  # nulls come last, and so does their code
+    size = items.column("size").to_numpy()
+    known = np.array([owed.get(s, (0.0, 0.0)) for s in sources])
+    filled = fill_containers([size[a:b] for a, b in zip(ends, ends[1:], strict=False)], known[:, 0], known[:, 1], capacity)
+    count = np.array([len(c) for c in filled])
+    no = np.repeat(np.arange(count.size), count)
+    chosen = np.array([ends[s] + i for c in filled for s, i in c])
+    place = np.arange(chosen.size) - np.repeat(np.cumsum(count) - count, count)
+    took, n = items.take(pa.array(chosen)), chosen.size
+    piece = took.column("piece").combine_chunks()
+    columns = [
+        pa.array([name] * n, pa.string()), pa.array(np.full(n, capacity)), pa.array((part << 32) + no), pa.array((part << 32) + no // WINDOW),
+        pa.array(place.astype(np.int32)), took.column("doc_id"), took.column("source"), piece, pc.multiply(piece, capacity), took.column("size"),
+    ]
+    yield from pa.table(columns, names=[x.split()[0] for x in _PACKED.split(",")]).to_batches(20_000)
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    carry: dict[str | None, tuple[float, float]] = {}
-    items: dict[str | None, list[tuple[int, int, int]]] = {}
-    name, capacity, part = None, 0, 0
+    """Rows in order of their partition's number ``at``: one partition at a time."""
+    held: list[pa.RecordBatch] = []
+    current = None
     for batch in batches:
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            kind, name, capacity, part, source, doc, piece, size, share, deficit = row
-            if kind:
-                items.setdefault(source, []).append((doc, piece, size))
-            else:
-                carry[source] = (share, deficit)
-    if not items:
-        return
-    sources = sorted(items, key=lambda s: (s is not None, s))
-    for s in sources:
-        items[s].sort()
-    known = [carry.get(s, (0.0, 0.0)) for s in sources]
-    filled = fill_containers(
-        [[i[2] for i in items[s]] for s in sources], np.array([k[0] for k in known]), np.array([k[1] for k in known]), capacity
-    )
-    out: list[tuple] = []
-    for no, content in enumerate(filled):
-        for place, (s, i) in enumerate(content):
-            doc, piece, size = items[sources[s]][i]
-            out.append((name, capacity, (part << 32) + no, (part << 32) + no // WINDOW, place, doc, sources[s], piece, piece * capacity, size))
-    kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-    names = [x.split()[0] for x in _PACKED.split(",")]
-    for lo in range(0, len(out), 20_000):
-        columns = zip(*out[lo : lo + 20_000], strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        at = batch.column("at").to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), at.size]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi == lo:
+                continue
+            if held and at[lo] != current:
+                yield from _pack_part(pa.Table.from_batches(held))
+                held = []
+            current = at[lo]
+            held.append(batch.slice(lo, hi - lo))
+    if held:
+        yield from _pack_part(pa.Table.from_batches(held))
 
 
 def pack(
@@ -205,7 +270,9 @@ def pack(
     )
     none = F.lit(None).cast("double")
     packed = rows.select(F.lit(1).alias("kind"), "limit_name", "capacity", "first", "part", "source", "doc_id", "piece", "size", none.alias("share"), none.alias("deficit"))
-    placed = carried.unionByName(packed).repartitionById(int(first[-1]), (F.col("first") + F.col("part")).cast("int"))
+    numbered = carried.unionByName(packed).withColumn("at", F.col("first") + F.col("part"))
+    tasks = min(int(first[-1]), MOST_TASKS)
+    placed = numbered.repartitionById(tasks, F.pmod("at", F.lit(tasks)).cast("int")).sortWithinPartitions("at")
     return placed.drop("first").mapInArrow(_pack, _PACKED)
 
 
@@ -224,3 +291,25 @@ def room_left(packed: DataFrame) -> DataFrame:
     )
     room = F.col("containers") * F.col("capacity_tokens")
     return own.withColumn("empty_share", F.round(1 - F.col("tokens") / room, 6))
+
+
+def mixture(packed: DataFrame, targets: DataFrame) -> DataFrame:
+    """How far the windows of each limit are from the targets (source, share): windows, and over them the mean and the
+    95th percentile of the largest difference between a source's part of a window and its share."""
+    keys = ["limit_name", "window_no"]
+    own = packed.groupBy(*keys, "source").agg(F.sum("n_tokens").alias("t"))
+    total = own.groupBy(*keys).agg(F.sum("t").alias("all")).where(F.col("all") > 0)
+    part = own.join(total, keys).join(targets.select(F.col("source").alias("s"), "share"), F.col("source").eqNullSafe(F.col("s")), "left")
+    # a source that the window lacks is off by its share; the largest of those is at most the largest share
+    off = part.groupBy(*keys).agg(F.max(F.abs(F.col("t") / F.col("all") - F.coalesce("share", F.lit(0.0)))).alias("off"))
+    return off.groupBy("limit_name").agg(
+        F.count("*").alias("windows"), F.round(F.avg("off"), 6).alias("mean_off"), F.round(F.percentile("off", F.lit(0.95)), 6).alias("p95_off")
+    )
+
+
+def corpus_shares(packed: DataFrame) -> DataFrame:
+    """(source, share) of the packed tokens, which are the default targets. Any one limit holds all tokens."""
+    one = packed.where(F.col("capacity_tokens") == packed.agg(F.min("capacity_tokens")).first()[0])
+    sums = one.groupBy("source").agg(F.sum("n_tokens").alias("t"))
+    total = one.agg(F.sum("n_tokens").alias("all"))
+    return sums.join(F.broadcast(total)).select("source", (F.col("t") / F.greatest("all", F.lit(1))).alias("share"))  # one row

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodequery.llm.packing import PATTERN, TOKENIZERS, VOCABULARY, _encoding, fill_containers, pack, pack_documents, room_left, token_counts
+from lodequery.llm import packing
+from lodequery.llm.packing import PATTERN, TOKENIZERS, VOCABULARY, _encoding, corpus_shares, fill_containers, mixture, pack, pack_documents, room_left, token_counts
 
 SIZES, LIMITS = "doc_id bigint, source string, n_tokens bigint", "limit_name string, capacity_tokens bigint, part int"
 
@@ -34,6 +35,33 @@ def test_windows_keep_the_mixture():
     assert [s for c in owed[:2] for s, _ in c] == [0] * 20  # what is owed from before comes first
 
 
+def test_given_targets_hold_until_a_source_is_used_up():
+    rng = np.random.default_rng(1)
+    sizes = [np.minimum(2048, np.maximum(1, rng.lognormal(5.3, 1.1, n).astype(int))) for n in (9000, 5000, 4000)]
+    share = np.array([0.2, 0.2, 0.6])
+    got = fill_containers(sizes, share, np.zeros(3), 2048)
+    left = np.array([s.sum() for s in sizes], float)
+    assert len(got) <= 1.001 * left.sum() / 2048 + 1
+    windows = 0
+    for w in range(0, len(got), 64):
+        own = np.array([sum(int(sizes[s][i]) for c in got[w : w + 64] for s, i in c if s == k) for k in range(3)], float)
+        left -= own
+        if (left <= 0).any():
+            break
+        assert np.abs(own / own.sum() - share).max() < 0.02
+        windows += 1
+    assert windows > 10
+
+
+def test_the_best_fit_of_very_many_sources_is_found():
+    rng = random.Random(6)
+    sizes = [[rng.randrange(1, 300) for _ in range(3)] for _ in range(500)]
+    share = np.array([sum(s) for s in sizes], float) / sum(map(sum, sizes))
+    got = fill_containers(sizes, share, np.zeros(500), 512)
+    assert sorted(x for c in got for x in c) == [(s, i) for s in range(500) for i in range(3)]
+    assert len(got) <= 1.01 * sum(map(sum, sizes)) / 512 + 1
+
+
 def test_pieces_and_partitions(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice(["a", "a", "b", None]), rng.choice([0, 3, 40, 99, 100, 101, 250, 1000])) for i in range(3000)] + [(7, "a", 40)]
@@ -64,6 +92,19 @@ def test_targets(spark):
     assert {r["source"]: r["t"] for r in first}["a"] >= 850
 
 
+def test_partitions_share_tasks_and_windows_are_measured(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [(i, rng.choice(["a", "a", "b", None]), rng.randrange(1, 90)) for i in range(6000)]
+    sizes, limits = spark.createDataFrame(rows, SIZES), spark.createDataFrame([("x", 100, 0), ("y", 300, 0)], LIMITS)
+    many = pack(sizes, limits, items=400).orderBy("limit_name", "container_id", "place").collect()
+    monkeypatch.setattr(packing, "MOST_TASKS", 3)
+    out = pack(sizes, limits, items=400).cache()
+    assert out.orderBy("limit_name", "container_id", "place").collect() == many
+    whole = pack(sizes, limits).cache()  # one partition, so that no window but the last is short
+    got = {r["limit_name"]: r for r in mixture(whole, corpus_shares(whole)).collect()}
+    assert set(got) == {"x", "y"} and all(r["mean_off"] < 0.03 and r["windows"] > 10 for r in got.values()), got
+
+
 def test_tokens_of_whole_texts(spark):
     long = ("alpha beta " * 30_000) + "x" * 5000
     rows = [(1, "hello world", "s"), (2, None, None), (3, "", "s"), (4, long, "s"), (None, "x", "s"), (5, "😀 é\n\n  z", "s")]
