@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -63,21 +64,109 @@ _MD_LINE = re.compile(
 _SETEXT = re.compile(r"^(?=[^\n]*\w)([^\n]+)\n[ \t]{0,3}(={2,}|-{2,})[ \t]*$", re.M)
 _MD_DELIMITER = re.compile(r"^(?=[^\n]*\|)[ \t]*\|?(?:[ \t]*:?-+:?[ \t]*\|)+(?:[ \t]*:?-+:?)?[ \t]*$", re.M)
 _MD_ROW = re.compile(r"^[ \t]*\|[^\n]*\|[^\n]*\|[ \t]*$", re.M)
-_INSIDE = r"(?=[^\s{0}])((?:(?!\n\s*\n).){{1,4000}}?)(?<=[^\s{0}])"  # bounded, so that long runs of signs take linear time
-_STARS = re.compile(r"(?<![\w*\\])(\*{1,3})" + _INSIDE.format("*") + r"\1(?![\w*])", re.S)
-_BARS = re.compile(r"(?<![\w\\])(_{1,3})" + _INSIDE.format("_") + r"\1(?!\w)", re.S)
-_STRIKE = re.compile(r"(?<![~\\])~~" + _INSIDE.format("~") + r"~~(?!~)", re.S)
-_CODE = re.compile(r"(?<![`\\])(`{1,2})(?!`)((?:(?!\n\s*\n).){1,4000}?)(?<!`)\1(?!`)", re.S)
+
+
+class Delimited:
+    """Stretches between two equal runs of a sign, as emphasis has them; they take linear time, however long they are.
+
+    A run opens a stretch if its length is one of ``lengths`` and nothing of ``before`` stands before it, and closes one
+    if nothing of ``after`` follows it. With ``tight`` a stretch neither begins nor ends with white space. No stretch runs
+    over what ``stop`` finds. The next closing run of the same length ends a stretch.
+    """
+
+    def __init__(self, sign: str, lengths: tuple[int, ...], before: str, after: str = "", tight: bool = True, stop: str = r"\n\s*\n"):
+        self.lengths, self.tight, self.stop = lengths, tight, re.compile(stop)
+        self.sign, self.run = sign, re.compile(f"{re.escape(sign)}+")
+        self.before, self.after = re.compile(before), re.compile(after) if after else None
+
+    def _bounds(self, text: str, start: int, end: int) -> tuple[bool, bool]:
+        prev, follow = text[start - 1 : start], text[end : end + 1]
+        opens, closes = not (prev and self.before.match(prev)), bool(prev)
+        if self.tight:
+            opens, closes = opens and not follow.isspace(), closes and not prev.isspace()
+        return opens and bool(follow), closes and not (follow and self.after and self.after.match(follow))
+
+    def spans(self, text: str) -> Iterator[tuple[int, int, int, int]]:
+        """(begin of the opening run, its end, begin of the closing run, its end), without overlaps."""
+        if self.sign not in text:
+            return
+        runs = [m.span() for m in self.run.finditer(text) if m.end() - m.start() in self.lengths]
+        if len(runs) < 2:
+            return
+        opening = []
+        closing: dict[int, list[int]] = {n: [] for n in self.lengths}
+        for lo, hi in runs:
+            opens, closes = self._bounds(text, lo, hi)
+            if opens:
+                opening.append((lo, hi))
+            if closes:
+                closing[hi - lo].append(lo)
+        stops = [m.start() for m in self.stop.finditer(text)] if opening else []
+        at = 0
+        for lo, hi in opening:
+            ends = closing[hi - lo]
+            i = bisect_left(ends, hi)
+            if lo < at or i == len(ends) or bisect_left(stops, hi) < bisect_left(stops, ends[i]):
+                continue
+            at = ends[i] + hi - lo
+            yield lo, hi, ends[i], at
+
+    def search(self, text: str) -> bool:
+        return next(self.spans(text), None) is not None
+
+    def subn(self, put: Callable[[str], str], text: str) -> tuple[str, int]:
+        """The text with ``put`` of each stretch in place of it and its runs, and how many there were."""
+        out, at, n = [], 0, 0
+        for lo, hi, end, stop in self.spans(text):
+            out += [text[at:lo], put(text[hi:end])]
+            at, n = stop, n + 1
+        return "".join([*out, text[at:]]), n
+
+
+class WikiUrls:
+    """Links in single brackets, [address label]; their ends are looked for once."""
+
+    start = re.compile(r"(?<!\[)\[((?:https?|ftp)://[^\s\]]+)")
+
+    def spans(self, text: str) -> Iterator[tuple[int, int, str]]:
+        """(begin, end, label or address)."""
+        at = close = 0
+        for m in self.start.finditer(text):
+            if m.start() < at or close < 0:
+                continue
+            if close < m.end():
+                close = text.find("]", m.end())
+            labelled = text[m.end() : m.end() + 1] in (" ", "\t", "\n") and close > m.end() + 1
+            if close < 0 or not (labelled or close == m.end()) or text[close + 1 : close + 2] == "(":
+                continue
+            at = close + 1
+            yield m.start(), at, text[m.end() + 1 : close] if labelled else m[1]
+
+    def search(self, text: str) -> bool:
+        return "[" in text and next(self.spans(text), None) is not None
+
+    def sub(self, put: Callable[[str], str], text: str) -> str:
+        out, at = [], 0
+        for lo, hi, label in self.spans(text):
+            out += [text[at:lo], put(label)]
+            at = hi
+        return "".join([*out, text[at:]])
+
+
+_STARS = Delimited("*", (1, 2, 3), r"[\w\\]", r"\w")
+_BARS = Delimited("_", (1, 2, 3), r"[\w\\]", r"\w")
+_STRIKE = Delimited("~", (2,), r"\\")
+_CODE = Delimited("`", (1, 2), r"\\", tight=False)
+_WIKI_QUOTES = Delimited("'", (2, 3, 5), r"\w", stop=r"\n")
+_WIKI_URL = WikiUrls()
 _LINK = re.compile(r"(!?)\[((?:[^\[\]]|\[[^\[\]]*\])*?)\]\(\s*<?([^\s()<>]+(?:\([^\s()]*\))?)>?(?:\s+(?:\"[^\"]*\"|'[^']*'))?\s*\)")
-_REF_LINK = re.compile(r"(?<![\w\]])(!?)\[((?:[^\[\]\n]|\n(?!\n)){1,4000})\]\[([^\[\]\n]*)\]")
+_REF_LINK = re.compile(r"(?<![\w\]])(!?)\[((?:[^\[\]\n]|\n(?!\n))+)\]\[([^\[\]\n]*)\]")
 _REF_DEF = re.compile(r"^[ \t]{0,3}\[[^\]\n]+\]:[ \t]+\S+[^\n]*$", re.M)
 _AUTOLINK = re.compile(r"<((?:https?|ftp|mailto):[^\s<>]+)>")
 _WIKI_HEAD = re.compile(r"^(={1,6})[ \t]*([^=\s](?:[^\n]*?[^=\s])?)[ \t]*\1[ \t]*$", re.M)
-_WIKI_LINK = re.compile(r"\[\[([^\[\]]{1,4000})\]\]")
-_WIKI_URL = re.compile(r"(?<!\[)\[((?:https?|ftp)://[^\s\]]+)(?:[ \t\n]([^\]]{1,4000}))?\](?!\()")
+_WIKI_LINK = re.compile(r"\[\[([^\[\]]+)\]\]")
 _WIKI_TEMPLATE = re.compile(r"\{\{([^{}]+)\}\}")
 _WIKI_TABLE = re.compile(r"^[ \t]*\{\|.*?(?:^[ \t]*\|\}|\Z)", re.M | re.S)
-_WIKI_QUOTES = re.compile(r"(?<![\w'])('{5}|'{3}|'{2})(?=[^\s'])((?:(?!\n).){1,4000}?)(?<=[^\s'])\1(?!')")
 _WIKI_REDIRECT = re.compile(r"^[ \t]*#REDIRECT\b:?[ \t]*", re.M | re.I)
 _WIKI_MAGIC = re.compile(r"(?<!\w)__[A-Z]{3,}__(?!\w)")
 
@@ -328,11 +417,11 @@ def _from_wiki(text: str) -> str:
         text, n = _WIKI_LINK.subn(link, text)
         if not n:
             break
-    text = _WIKI_URL.sub(lambda m: _LINKED + (m[2] or m[1]) + _UNLINKED, text)
+    text = _WIKI_URL.sub(lambda label: _LINKED + label + _UNLINKED, text)
     n = 1
     while n:  # templates may hold templates
         text, n = _WIKI_TEMPLATE.subn(lambda m: "\ue002template\ue003" + " ".join(p.split("=", 1)[-1].strip() for p in m[1].split("|")), text)
-    return _WIKI_MAGIC.sub("", _WIKI_QUOTES.sub(r"\2", text))
+    return _WIKI_MAGIC.sub("", _WIKI_QUOTES.subn(str, text)[0])
 
 
 def _from_markdown(text: str) -> str:
@@ -352,11 +441,11 @@ def _from_markdown(text: str) -> str:
             break
     text = _AUTOLINK.sub(_LINKED + r"\1" + _UNLINKED, text)
     while True:
-        text, n = _STARS.subn(lambda m: m[2], text)
-        text, k = _BARS.subn(lambda m: m[2], text)
+        text, n = _STARS.subn(str, text)
+        text, k = _BARS.subn(str, text)
         if not n + k:
             break
-    return _STRIKE.sub(lambda m: m[1], text)
+    return _STRIKE.subn(str, text)[0]
 
 
 _BULLET = re.compile(r"[ \t]*(?:- |\d+\. )")
@@ -454,7 +543,7 @@ def clean(text: str | None, threshold: float = THRESHOLD, found: set[str] | None
         text = _DISPLAY.sub(lambda m: store.keep("$$" + (m[1] or m[2] or m[4]).strip() + "$$"), text)
         text = _INLINE_MATH.sub(lambda m: store.keep("$" + (m[1] or m[2]).strip() + "$"), text)
     if "markdown" in found:
-        text = _CODE.sub(lambda m: store.keep(f"`{m[2].strip()}`"), text)
+        text, _ = _CODE.subn(lambda x: store.keep(f"`{x.strip()}`"), text)
     for family, convert in (("html", lambda t: _from_html(t, paths)), ("wiki", _from_wiki), ("latex", _from_latex), ("markdown", _from_markdown)):
         if family in found:
             text = convert(text)

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from lodequery.llm.markup import clean, clean_heading, clean_passages, families, heading_families, markup_found
@@ -94,3 +96,19 @@ def test_nested_parts_are_taken_off_at_any_depth():
     assert "{" not in clean(f"{prose}\n\n{{{{a|{{{{b}}}}}}}}\n\n{prose}") and clean("{{a|{{b|{{c}}}}}}") == "a b c"
     assert clean("\\textbf{" * 20 + "deep" + "}" * 20) == "deep"
     assert clean("[[File:a|" * 9 + "x" + "]]" * 9).strip("[]") == "x"
+
+
+@pytest.mark.parametrize(("opening", "closing", "family"), [("**", "**", "markdown"), ("_", "_", "markdown"), ("~~", "~~", "markdown"), ("`", "`", "markdown"), ("''", "''", "wiki"), ("[[", "]]", "wiki"), ("[http://x.example ", "]", "wiki"), ("[", "][ref]", "markdown")])
+def test_stretches_of_any_length(opening, closing, family):
+    for n in (1, 4_500, 200_000):
+        text = f"see {opening}{'x' * n}{closing} end"
+        assert families(text) == {family}
+        kept = "`" if opening == "`" else ""
+        assert clean(text) == f"see {kept}{'x' * n}{kept} end"
+
+
+@pytest.mark.parametrize("part", ["* ", "**a ", "_a", "`a ", "~~a ", "''a ", "[[a ", "[http://x y ", "[a][", "$a ", "\\textbf{"])
+def test_long_runs_of_open_signs_take_linear_time(part):
+    began = time.perf_counter()
+    clean(part * (200_000 // len(part)))
+    assert time.perf_counter() - began < 20
