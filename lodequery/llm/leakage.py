@@ -10,8 +10,10 @@ stretches that overlap by ``span - 1`` words, so that none of them holds up the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from lodequery.llm.mailtext import message_words, words
 from lodequery.session import materialize, spread
 
 SPAN = 12
-#: Patterns that one matcher holds; with more, the documents are searched once for each block of patterns.
+#: Patterns that one matcher holds; with more, the words of the documents are searched once for each block of patterns.
 PATTERNS_A_PASS = 400_000
 _STRETCH = 192
 
@@ -120,19 +122,21 @@ def leaked_items(matcher: Matcher, documents: list[list[str]]) -> list[tuple[int
 
 
 def _blocks(items: DataFrame, item_id: str, question: str, span: int, most: int) -> Iterator[Matcher]:
-    """Matchers over all items, each of about ``most`` patterns; the items pass the driver one after another."""
+    """Matchers over all items, each of ``most`` patterns at most; the items pass the driver one after another, and a
+    long one is divided between matchers."""
     own: list[tuple[int, list[str]]] = []
-    size = 0
+    room = most
     chosen = items.select(F.col(item_id).alias("i"), F.col(question).alias("q")).where("i is not null and q is not null")
     for row in chosen.toLocalIterator(prefetchPartitions=True):
         ws = words(row["q"])
-        if len(ws) < span:
-            continue
-        own.append((row["i"], ws))
-        size += len(ws) - span + 1
-        if size >= most:
-            yield build_matcher(own, span)
-            own, size = [], 0
+        at, last = 0, len(ws) - span + 1  # patterns begin at [at, last)
+        while at < last:
+            n = min(room, last - at)
+            own.append((row["i"], ws[at : at + n + span - 1]))
+            at, room = at + n, room - n
+            if not room:
+                yield build_matcher(own, span)
+                own, room = [], most
     if own:
         yield build_matcher(own, span)
 
@@ -150,15 +154,21 @@ def find_leaks(
     """Distinct (doc_id, item_id): the message's readable text has ``span`` words in a row that stand so in the item.
 
     Null ids, texts and questions match nothing, nor do questions of fewer words; equal questions of several items
-    match all of them; extra columns are ignored; without documents or items the result is empty. The matcher is
-    broadcast: it holds ``most`` patterns and those of one further item at most. More items are searched in blocks,
-    each written to the shared folder before the next is built.
+    match all of them; extra columns are ignored; without documents or items the result is empty. The matcher that is
+    broadcast holds ``most`` patterns at most. More of them are searched in blocks: then the messages are decoded once
+    into a written table of words, which each block reads.
     """
     spark = documents.sparkSession
-    texts = spread(documents.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null"), "d")
     schema = "doc_id bigint, item_id bigint"
+    texts = spread(documents.select(F.col(doc_id).cast("long").alias("d"), F.col(text).alias("t")).where("d is not null and t is not null"), "d")
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([" ".join(message_words(x.as_py())) for x in part.column(1)], pa.string())], names=["d", "t"])
 
-    def scan(matcher: Matcher) -> DataFrame:
+    def scan(matcher: Matcher, read: Callable[[str], list[str]], texts: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast(matcher)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +176,7 @@ def find_leaks(
                 ids = batch.column(0).to_pylist()
                 hits: list[tuple[int, int]] = []
                 for at in range(0, len(ids), 1000):
-                    part = [message_words(x.as_py()) for x in batch.column(1).slice(at, 1000)]
+                    part = [read(x.as_py()) for x in batch.column(1).slice(at, 1000)]
                     hits += [(ids[at + d], item) for d, item in leaked_items(shared.value, part)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([h[0] for h in hits], pa.int64()), pa.array([h[1] for h in hits], pa.int64())], names=["doc_id", "item_id"]
@@ -174,12 +184,12 @@ def find_leaks(
 
         return texts.mapInArrow(run, schema)
 
-    found: DataFrame | None = None
     blocks = _blocks(items, item_id, question, span, most)
-    ahead = next(blocks, None)
-    while ahead is not None:
-        part, ahead = scan(ahead), next(blocks, None)
-        if ahead is not None or found is not None:
-            part = materialize(part, "leaks")
-        found = part if found is None else found.unionByName(part)
-    return spark.createDataFrame([], schema) if found is None else found.distinct()
+    first, second = next(blocks, None), next(blocks, None)
+    if first is None:
+        return spark.createDataFrame([], schema)
+    if second is None:
+        return scan(first, message_words, texts).distinct()
+    decoded = materialize(texts.mapInArrow(decode, "d bigint, t string"), "words")
+    found = [materialize(scan(m, str.split, decoded), "leaks") for m in chain([first, second], blocks)]
+    return reduce(DataFrame.unionByName, found).distinct()
