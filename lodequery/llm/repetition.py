@@ -3,8 +3,9 @@
 ``measure_repetition`` gives each document's share of words that lie in a run of ``span`` words which stood earlier in
 the same text. ``find_repetitive`` needs only the documents above a threshold and gets there by a cascade: each rule is
 a condition that such a document can't fail, so a document leaves at the first rule that it fails, and only the rest is
-measured. How long the rules take and how many documents they reject is estimated on a bounded sample, and they are
-put in order of documents rejected per second - the order changes the time only, never the result.
+measured. How long the rules take and how many documents they reject is estimated in the task, on documents drawn at
+random from each Arrow batch, and they are put in order of documents rejected per second. So the order follows the
+documents and the machine at hand; it changes the time only, never the result, and no document visits the driver.
 """
 
 from __future__ import annotations
@@ -23,8 +24,8 @@ from lodequery.session import spread
 
 SPAN = 8
 THRESHOLD = 0.3
-#: Documents on which cost and selectivity of the rules are estimated.
-SAMPLE = 400
+#: Documents of a batch on which cost and selectivity of the rules are estimated.
+SAMPLE = 128
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -154,20 +155,22 @@ def find_repetitive(
 ) -> DataFrame:
     """Distinct (doc_id, share) of the documents whose share of repeated words is at least ``threshold``.
 
-    The result is that of ``measure_repetition`` with a filter. ``sample`` bounds the documents that the driver sees
-    to put the rules in order; an empty table leaves them in their own order.
+    The result is that of ``measure_repetition`` with a filter. ``sample`` documents of each batch put the rules in
+    order; without any, the rules stay in their own order.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be above 0 and at most 1")
-    few = documents.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).limit(sample)
-    order = rule_order([numbered(message_words(r["t"])) for r in few.collect()], span, threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rules = [RULES[name] for name in order]
+        draw = np.random.default_rng(11)
         for batch in batches:
             ids, shares = [], []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                n = numbered(message_words(t.as_py()))
+            texts = batch.column(1)
+            chosen = set(draw.choice(batch.num_rows, min(sample, batch.num_rows), replace=False).tolist())
+            known = {i: numbered(message_words(texts[i].as_py())) for i in chosen}
+            rules = [RULES[name] for name in rule_order(list(known.values()), span, threshold)]
+            for i, d in enumerate(batch.column(0).to_pylist()):
+                n = known.pop(i) if i in known else numbered(message_words(texts[i].as_py()))
                 if all(rule(n, span, threshold) for rule in rules):
                     again = repeated_words(n, span)
                     if again >= _least(n.size, threshold):
