@@ -1,5 +1,6 @@
 import json
 import math
+import zlib
 
 import numpy as np
 import pytest
@@ -23,11 +24,14 @@ def exact(x, q, k):
     return np.lexsort((np.arange(len(x)), np.round(d, 6)))[:k].tolist()
 
 
-def test_hand_checked_neighbours(spark):
-    axes = frame(spark, np.eye(3))
-    assert [r["id"] for r in knn.top_k(axes, [0, 1, 0], 1, "id", "vec").collect()] == [1]
-    fan = frame(spark, [[1, 0], [0.9, 0.1], [0, 1]])
-    assert [r["id"] for r in knn.top_k(fan, [1, 0], 2, "id", "vec").collect()] == [0, 1]
+def test_nearest_directions(spark):
+    degrees = [0, 35, 80, 170, 300]
+    compass = frame(spark, [[7 * math.cos(math.radians(a)), 7 * math.sin(math.radians(a))] for a in degrees])
+    for at in (60, 190, 320):
+        far = [min(abs(at - a), 360 - abs(at - a)) for a in degrees]
+        got = knn.top_k(compass, [math.cos(math.radians(at)), math.sin(math.radians(at))], 3, "id", "vec").collect()
+        assert [r["id"] for r in got] == sorted(range(5), key=lambda i, far=far: far[i])[:3]
+        assert all(math.isclose(r["distance"], 1 - math.cos(math.radians(far[r["id"]])), abs_tol=1e-6) for r in got)
 
 
 def test_zero_vectors_ties_and_nulls(spark):
@@ -44,18 +48,22 @@ def test_zero_vectors_ties_and_nulls(spark):
 
 
 def test_batch_equals_single_and_shards_equal_whole(spark):
-    rng = np.random.default_rng(1)
-    x = rng.standard_normal((400, 16)).astype(np.float32)
-    x[0:40:4] = x[399] + 0.01 * rng.standard_normal((10, 16))  # ten nearest in one shard
-    df = frame(spark, x).withColumn("shard", routing.by_id("id", 4))
-    q = [float(v) for v in x[399]]
-    whole = [r["id"] for r in knn.top_k(df, q, 10, "id", "vec").collect()]
-    assert whole == exact(x, x[399], 10)
-    lists = knn.local_top_k(df, q, 10, "id", "vec", "shard")
-    assert [r["id"] for r in knn.merge_top_k(lists, 10, "id").collect()] == whole
-    queries = frame(spark, x[395:]).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    rng = np.random.default_rng(12)
+    x = rng.standard_normal((520, 12)).astype(np.float32)
+    asked = 77
+    best = exact(x, x[asked], 15)
+    shard = rng.integers(0, 6, 520)
+    shard[best] = 4  # the whole answer lies in one shard, which must give all of it
+    df = spark.createDataFrame([(i, [float(v) for v in r], int(h)) for i, (r, h) in enumerate(zip(x, shard, strict=True))], "id bigint, vec array<float>, shard int")
+    q = [float(v) for v in x[asked]]
+    assert [r["id"] for r in knn.top_k(df, q, 15, "id", "vec").collect()] == best
+    lists = knn.local_top_k(df, q, 15, "id", "vec", "shard").cache()
+    assert lists.groupBy("shard").count().where("count <> 15").count() == 0
+    assert [r["id"] for r in knn.merge_top_k(lists, 15, "id").collect()] == best
+    chosen = [3, 77, 260, 519]
+    queries = df.where(F.col("id").isin(chosen)).select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
     many = knn.top_k_batch(df.repartition(3), queries, 5, "id", "vec", "qid", "qvec").orderBy("query_id", "rank").collect()
-    assert [r["row_id"] for r in many] == [i for j in range(395, 400) for i in exact(x, x[j], 5)]
+    assert [r["row_id"] for r in many] == [i for j in chosen for i in exact(x, x[j], 5)]
     small = knn.QUERY_BYTES
     try:
         knn.QUERY_BYTES = 200  # several passes
@@ -63,17 +71,19 @@ def test_batch_equals_single_and_shards_equal_whole(spark):
     finally:
         knn.QUERY_BYTES = small
     assert [r["row_id"] for r in again] == [r["row_id"] for r in many]
-    down = spark.createDataFrame([(1,), (3,)], "shard int")
-    part = knn.partial_top_k(df, down, q, 10, "id", "vec", "shard").collect()
-    assert all(r["id"] % 4 not in (1, 3) and r["missing"] == "1,3" for r in part) and len(part) == 10
+    down = spark.createDataFrame([(4,), (0,)], "shard int")
+    left = [i for i in exact(x, x[asked], 520) if shard[i] not in (0, 4)][:15]
+    part = knn.partial_top_k(df, down, q, 15, "id", "vec", "shard").collect()
+    assert sorted(r["id"] for r in part) == sorted(left) and {r["missing"] for r in part} == {"0,4"}
 
 
 def test_routing(spark):
-    names = spark.createDataFrame([("alice",), ("bob",), ("eve",)], "n string").select("n", routing.by_namespace("n", 4)).collect()
-    assert [tuple(r) for r in names] == [("alice", 3), ("bob", 0), ("eve", 2)]
-    assert [routing.namespace_shard_of(n, 4) for n in ("alice", "bob", "eve")] == [3, 0, 2]
-    sizes = [r["vectors"] for r in routing.shard_sizes(spark.range(103), routing.by_id("id", 4)).collect()]
-    assert sum(sizes) == 103 and max(sizes) - min(sizes) <= 1
+    words = ["", "a", "Zürich", "tenant-17", "日本", "x" * 128]
+    for shards in (1, 4, 13):
+        got = spark.createDataFrame([(w,) for w in words], "n string").select("n", routing.by_namespace("n", shards).alias("s")).collect()
+        assert all(r["s"] == zlib.crc32(r["n"].encode()) % shards == routing.namespace_shard_of(r["n"], shards) for r in got)
+    sizes = [r["vectors"] for r in routing.shard_sizes(spark.range(1001), routing.by_id("id", 7)).collect()]
+    assert sorted(sizes) == [143] * 7 and {r["vectors"] for r in routing.shard_sizes(spark.range(30), routing.by_id("id", 7)).collect()} == {4, 5}
     assert routing.next_id(spark.range(3, 9), "id").first()[0] == 9 and routing.next_id(spark.range(0), "id").first()[0] == 0
     ids = routing.with_dense_ids(spark.range(0, 1000, 1, 7).withColumn("k", -F.col("id")), "new", 50, "k").orderBy("k").select("new").collect()
     assert [r[0] for r in ids] == list(range(50, 1050))
@@ -152,17 +162,21 @@ def test_filter_strategy(spark):
     assert [r[0] for r in rows.select(knn.prefers_exact(F.col("m"), F.col("n"), 50)).collect()] == [True, False, True]
 
 
-def test_neighbour_selection():
-    def pick(angles, m, diverse):
-        v = np.array([[math.cos(math.radians(a)), math.sin(math.radians(a))] for a in angles])
-        base = np.array([1.0, 0.0])
-        order = np.argsort(-(v @ base), kind="stable")
-        near = (v @ base)[order][None, :]
-        kept = select_diverse(near, (v[order] @ v[order].T)[None], m) if diverse else select_closest(near, m)
-        return sorted((order[kept[0]] + 1).tolist())
-
-    assert pick((10, 12, -40), 2, False) == [1, 2] and pick((10, 12, -40), 2, True) == [1, 3]
-    assert pick((10, 12, 14, -40), 3, True) == [1, 4]
+@pytest.mark.parametrize(("m", "sure"), [(1, 1), (4, 1), (6, 3), (30, 2)])
+def test_neighbour_selection(m, sure):
+    rng = np.random.default_rng(m)
+    for _ in range(30):
+        v = unit(rng.standard_normal((25, 6)))
+        node = unit(rng.standard_normal((1, 6)))[0]
+        v = v[np.argsort(-(v @ node), kind="stable")]
+        near, among = v @ node, v @ v.T
+        kept = select_diverse(near[None], among[None], m, sure)[0]
+        for j in range(25):
+            crowded = any(kept[i] and among[j, i] > near[j] for i in range(j))
+            assert kept[j] == ((j < sure or not crowded) and kept[:j].sum() < m)
+        assert np.flatnonzero(select_closest(near[None], m)[0]).tolist() == list(range(min(m, 25)))
+    padded = np.array([[0.9, 0.5, -np.inf]])
+    assert select_closest(padded, 3)[0].tolist() == [True, True, False] and not select_diverse(padded, np.zeros((1, 3, 3)), 3)[0, 2]
 
 
 def test_levels_fall_off():
@@ -172,16 +186,20 @@ def test_levels_fall_off():
 
 @pytest.mark.parametrize("diverse", [True, False])
 def test_graph_recall(diverse):
-    x = np.random.default_rng(0).standard_normal((300, 32)).astype(np.float32)
-    q = np.random.default_rng(9).standard_normal((50, 32)).astype(np.float32)
-    g = HNSW(m=8, ef_construction=64, diverse=diverse, seed=1).build(x)
-    ids, sims = g.search(q, 32)
-    hits = sum(len(set(exact(x, v, 10)) & set(i[:10].tolist())) for v, i in zip(q, ids, strict=True))
-    assert hits / 500 > 0.85 and (np.diff(sims, axis=1) <= 0).all()
-    allowed = np.arange(300) % 5 == 0
-    ids, sims = g.search(q, 32, allowed)
-    assert all(allowed[i[i < 300]].all() for i in ids)
-    assert 0 < links_per_node(g) <= 16 and megabytes(g) > 0
+    x = np.random.default_rng(21).standard_normal((700, 20)).astype(np.float32)
+    q = np.random.default_rng(22).standard_normal((60, 20)).astype(np.float32)
+    g = HNSW(m=10, ef_construction=50, diverse=diverse, seed=5).build(x)
+    ids, sims = g.search(q, 60)
+    hits = sum(len(set(exact(x, v, 6)) & set(i[:6].tolist())) for v, i in zip(q, ids, strict=True))
+    assert hits / 360 > 0.9 and (np.diff(sims, axis=1) <= 0).all()
+    true = unit(q) @ unit(x).T
+    assert np.allclose(np.take_along_axis(true, ids, 1), sims, atol=1e-5)
+    allowed = np.arange(700) % 9 == 4
+    ids, sims = g.search(q, 60, allowed)
+    assert all(allowed[i[i < 700]].all() for i in ids)
+    want = [set(np.argsort(-np.where(allowed, t, -9))[:6].tolist()) for t in true]
+    assert sum(len(w & set(i[:6].tolist())) for w, i in zip(want, ids, strict=True)) / 360 > 0.9
+    assert 0 < links_per_node(g) <= 20 and megabytes(g) > 0
 
 
 def test_graph_of_none_one_and_copies():
