@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 
 from lodequery.functions.hnsw import HNSW
 from lodequery.functions.vectors import cosine_distance, literal, normalize
-from lodequery.operators.knn import query_blocks, top_k
+from lodequery.operators.knn import merge_ranked, query_blocks, top_k
 
 #: Rows that cells are fitted on, at most.
 SAMPLE = 100_000
@@ -116,68 +118,66 @@ def lsh_search_batch(
     return nearest_of(shared.join(asked.select(F.col(query_id).cast("long").alias("query_id"), F.col(query_vec).alias("q")), "query_id").join(vectors, "row_id"), k)
 
 
-def build_graphs(df: DataFrame, row_id: str, vec: str, shard: str, m: int = 16, ef_construction: int = 100, diverse: bool = True) -> DataFrame:
-    """(shard, ids, graph): a graph of each shard in flat arrays. A shard is one task's work; choose them of bounded size."""
-    rows = df.select(F.col(shard).cast("int").alias("shard"), F.col(row_id).cast("long").alias("row_id"), F.col(vec).cast("array<float>").alias("vec"))
+def build_graphs(
+    df: DataFrame, row_id: str, vec: str, shard: str | list[str], m: int = 16, ef_construction: int = 100, diverse: bool = True
+) -> DataFrame:
+    """(the keys of the shards, ids, graph): a graph of each shard in flat arrays. A shard is one task's work and one
+    row; choose them of bounded size."""
+    keys = [shard] if isinstance(shard, str) else shard
+    kinds = {k: t for k, t in df.dtypes if k in keys}
+    rows = df.select(*keys, F.col(row_id).cast("long").alias("row_id"), F.col(vec).cast("array<float>").alias("vec"))
 
-    def build(part: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("row_id")
-        graph = HNSW(m=m, ef_construction=ef_construction, diverse=diverse, seed=int(part["shard"].iloc[0])).build(np.stack(part["vec"].to_numpy()))
+        seed = zlib.crc32(repr(key).encode())
+        graph = HNSW(m=m, ef_construction=ef_construction, diverse=diverse, seed=seed).build(np.stack(part["vec"].to_numpy()))
         state = {"m": m, "vectors": graph.vectors, "nodes": graph.nodes, "links": graph.links, "entry": graph.entry}
-        return pd.DataFrame({"shard": [part["shard"].iloc[0]], "ids": [part["row_id"].to_numpy()], "graph": [pickle.dumps(state, 5)]})
-
-    return rows.where("vec is not null").groupBy("shard").applyInPandas(build, "shard int, ids array<bigint>, graph binary")
+        own = {name: [value] for name, value in zip(keys, key, strict=True)}
+        return pd.DataFrame({**own, "ids": [part["row_id"].to_numpy()], "graph": [pickle.dumps(state, 5)]})
 
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    return rows.where("vec is not null").groupBy(*keys).applyInPandas(build, f"{schema}, ids array<bigint>, graph binary")
 
-def search_graphs(graphs: DataFrame, query: list[float], k: int, ef: int = 50, allowed: set[int] | None = None) -> DataFrame:
-    """(row_id, distance) of the k nearest: every shard's own best, merged. A shard finds ``max(ef, k)`` rows."""
-    q = np.asarray(query, np.float32)[None, :]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for ids, blob in zip(batch["ids"], batch["graph"], strict=True):
-                state = pickle.loads(blob)
-                graph = HNSW(m=state["m"], vectors=state["vectors"], nodes=state["nodes"], links=state["links"], entry=state["entry"])
-                ids = np.asarray(ids)
-                mask = None if allowed is None else np.isin(ids, list(allowed))
-                found, sims = graph.search(q, max(ef, k), mask)
-                good = found[0] < graph.size
-                yield pd.DataFrame({"row_id": ids[found[0][good]], "distance": 1.0 - sims[0][good].astype(float)})
+def search_graphs(graphs: DataFrame, query: list[float], k: int, ef: int = 50) -> DataFrame:
+    """(row_id, distance) of the k nearest to one query."""
+    one = graphs.sparkSession.createDataFrame([(0, [float(x) for x in query])], "query_id long, q array<double>")
+    return search_graphs_batch(graphs, one, k, "query_id", "q", ef).orderBy("distance", "row_id").select("row_id", "distance")
 
-    return graphs.select("ids", "graph").mapInPandas(run, "row_id bigint, distance double").orderBy("distance", "row_id").limit(k)
 
-
-def search_graphs_batch(graphs: DataFrame, queries: DataFrame, k: int, query_id: str, query_vec: str, ef: int = 50) -> DataFrame:
+def search_graphs_batch(graphs: DataFrame, queries: DataFrame, k: int, query_id: str, query_vec: str, ef: int = 50, allowed: str | None = None) -> DataFrame:
     """(query_id, row_id, distance, rank) of every query's k nearest: each shard's own best, merged.
 
-    The queries travel to the graphs in blocks, as in ``knn.top_k_batch``; each shard gives k rows a query.
+    The queries travel to the graphs in blocks, as in ``knn.top_k_batch``; each shard walks with a beam of ``max(ef, k)``
+    and gives k rows a query. ``allowed`` names a column of ``graphs`` with the ids that a result may hold.
     """
     spark, schema = graphs.sparkSession, "query_id bigint, row_id bigint, distance double"
+    wanted = graphs.select("ids", "graph", F.col(allowed).alias("allowed") if allowed else F.lit(None).cast("array<bigint>").alias("allowed"))
 
     def search(qids: np.ndarray, matrix: np.ndarray) -> DataFrame:
         shared = spark.sparkContext.broadcast((qids, matrix.astype(np.float32)))
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own, q = shared.value
             for batch in batches:
-                for ids, blob in zip(batch["ids"], batch["graph"], strict=True):
-                    state = pickle.loads(blob)
+                for i in range(batch.num_rows):
+                    ids, blob, chosen = (batch.column(c)[i] for c in ("ids", "graph", "allowed"))
+                    state = pickle.loads(blob.as_py())
                     graph = HNSW(m=state["m"], vectors=state["vectors"], nodes=state["nodes"], links=state["links"], entry=state["entry"])
-                    ids = np.append(np.asarray(ids), -1)
+                    ids = np.append(ids.values.to_numpy(zero_copy_only=False), -1)
+                    mask = None if not chosen.is_valid else np.isin(ids[:-1], chosen.values.to_numpy(zero_copy_only=False))
                     for at in range(0, len(q), 4096):
-                        found, sims = (x[:, :k] for x in graph.search(q[at : at + 4096], max(ef, k)))
+                        found, sims = (x[:, :k] for x in graph.search(q[at : at + 4096], max(ef, k), mask))
                         row, place = np.nonzero(found < graph.size)
-                        yield pd.DataFrame(
-                            {"query_id": own[at + row], "row_id": ids[found[row, place]], "distance": 1.0 - sims[row, place].astype(float)}
-                        )
+                        columns = [own[at + row], ids[found[row, place]], 1.0 - sims[row, place].astype(float)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["query_id", "row_id", "distance"])
 
-        return graphs.select("ids", "graph").mapInPandas(run, schema)
+        return wanted.mapInArrow(run, schema)
 
     found = spark.createDataFrame([], schema)
     for qids, matrix in query_blocks(queries, query_id, query_vec):
         found = found.unionByName(search(qids, matrix))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "row_id"))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return merge_ranked(found, k)
 
 
 def links_per_node(graph: HNSW) -> float:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodequery.operators.incremental import as_intervals
+from lodequery.operators.routing import running
 
 
 def find_problems(servers: DataFrame) -> DataFrame:
@@ -68,9 +69,15 @@ def restarts(journal: DataFrame) -> DataFrame:
     return done.groupBy("shard", "replica").agg(F.count("*").alias("restarts"))
 
 
+def interval_gaps(intervals: DataFrame, shard: str, first: str = "first", last: str = "last") -> DataFrame:
+    """(shard, after_seq, next_seq) between disjoint intervals, and before the first, as a log begins at 1."""
+    own = intervals.select(F.col(shard).alias("shard"), F.col(first).alias("first"), F.col(last).alias("last"))
+    before = running(own, "max", F.col("last"), "before", ["shard"], ["first"])
+    gaps = before.select("shard", F.coalesce("before", F.lit(0).cast("long")).alias("after_seq"), F.col("first").alias("next_seq"))
+    return gaps.where("next_seq <> after_seq + 1")
+
+
 def sequence_gaps(log: DataFrame, shard: str, seq: str) -> DataFrame:
     """(shard, after_seq, next_seq) wherever a log skips numbers; a log begins at 1. Repeated records are one."""
     points = log.select(F.col(shard).alias("shard"), F.col(seq).cast("long").alias("seq")).where("shard is not null and seq is not null")
-    runs = as_intervals(points, "shard", "seq")  # block by block; what is left to order by shard is a row for each gap
-    before = F.coalesce(F.lag("last").over(Window.partitionBy("shard").orderBy("first")), F.lit(0).cast("long"))
-    return runs.select("shard", before.alias("after_seq"), F.col("first").alias("next_seq")).where("next_seq <> after_seq + 1")
+    return interval_gaps(as_intervals(points, "shard", "seq"), "shard")

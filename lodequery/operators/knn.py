@@ -120,8 +120,13 @@ def top_k_batch(
         found = found.unionByName(search(ids, matrix))
     if max_distance is not None:
         found = found.where(F.col("distance") <= max_distance)
+    return merge_ranked(found, k)
+
+
+def merge_ranked(found: DataFrame, k: int) -> DataFrame:
+    """Of (query_id, row_id, distance) from several searches the k nearest of each query, with their rank."""
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "row_id"))
-    return found.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    return found.select("query_id", "row_id", "distance").withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def within_batch(df: DataFrame, queries: DataFrame, max_distance: float, row_id: str, vec: str, query_id: str, query_vec: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,7 +11,8 @@ from lodequery.functions.filters import lookup, matches, plan_query, postings
 from lodequery.functions.vectors import cosine_distance, norm, normalize
 from lodequery.operators import evals, knn, routing
 from lodequery.operators.ann import IVF, build_graphs, lsh_search_batch, search_graphs_batch
-from lodequery.session import materialize, table
+from lodequery.session import materialize, shared_dir, table
+from lodequery.sources.store import VectorStore
 
 SHARDS, K = 4, 10
 
@@ -173,13 +176,35 @@ def hnsw_search(spark: SparkSession, d: str) -> DataFrame:
     return _approximate(search_graphs_batch(graphs, _queries(spark, d), K, "qid", "qvec", 100))
 
 
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Do the approximate searches find nine tenths of what the exact one finds?"""
+    best = materialize(knn_batch(spark, d).select("query_id", "vec_id"), "best")
+    rows = None
+    for name, f in (("graphs", hnsw_search), ("cells", ivf_search), ("projections", random_projection_search)):
+        hit = f(spark, d).select("query_id", "vec_id", F.lit(1).alias("hit"))
+        one = best.join(hit, ["query_id", "vec_id"], "left").agg(F.count("*").alias("expected"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+        one = one.select(F.lit(name).alias("index"), "expected", "enough")
+        rows = one if rows is None else rows.unionByName(one)
+    return rows
+
+
+def store_search(spark: SparkSession, d: str) -> DataFrame:
+    """A store with graphs, in two writes, asked with a filter: segments with few matches are measured, not walked."""
+    store = VectorStore(spark, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", SHARDS, graph_rows=256)
+    for part in (0, 1):
+        store.add(_payloads(spark, d).where(F.col("vec_id") % 2 == part), "embedding", "payload", order="vec_id")
+    store.index()
+    hits = store.search_batch(_queries(spark, d), K, {"label": [1, 3], "tags": "all"}, query_id="qid", query_vec="qvec")
+    return _rounded(hits, "query_id", "rank")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         vector_norm, vector_normalize, cosine_distance_pairs, knn_single, knn_exclude_self, knn_batch, knn_filtered_label_in, knn_filtered_and,
         knn_namespace, scatter_gather_topk, partial_results, filter_strategy_choice, shard_balance, namespace_routing, next_id, dense_ids,
         payload_postings, payload_filter_typed, payload_lookup, recall_at_k, post_filter_recall, latency_percentiles, ivf_search,
-        random_projection_search, hnsw_search,
+        random_projection_search, hnsw_search, ann_recall, store_search,
     )
 }
 
@@ -234,6 +259,9 @@ select sum(h)::bigint as hits, sum(n)::bigint as expected, round(sum(h) / sum(n)
 f as (select vec_id from (select vec_id, label from dist order by d, vec_id limit 10) where label = 1),
 j as (select count(f.vec_id) as h, count(*) as n from t left join f using (vec_id))
 select h as hits, n as expected, round(h / n, 6) as recall, round(h / n, 6) as mean_recall from j""",
+    "ann_recall": """select i as index, 10 * (select count(*) from embeddings where vec_id % 100 = 0) as expected, true as enough
+from (values ('graphs'), ('cells'), ('projections')) t(i)""",
+    "store_search": f"with {_E}, b as ({_batch('b.label in (1, 3)')}) select query_id, rank, {_TOP} from b",
     "latency_percentiles": """select event_type, round(quantile_cont(value, 0.5), 6) as p50, round(quantile_cont(value, 0.99), 6) as p99,
   round(avg(value), 6) as mean, count(value) as n from events group by event_type""",
 }

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lodequery.functions import text as T
 from lodequery.operators import documents, evals, health, memory
 from lodequery.operators.chunking import chunk
-from lodequery.operators.incremental import clean_sha256, is_committed
+from lodequery.operators.incremental import clean_sha256, is_committed, merge_intervals
 from lodequery.operators.knn import top_k_batch, within_batch
 from lodequery.plans.search import crc32_sql
 from lodequery.session import materialize, shared_dir, spread, table, utc_micros
@@ -95,6 +95,18 @@ def passage_chunks(spark: SparkSession, d: str) -> DataFrame:
     return made.select(F.col("row_id").alias("doc_id"), "index", "heading", F.length("text").alias("n_chars"))
 
 
+def passages_kept(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document the distinct words of at most 1,000 characters that its passages hold, whether all passages keep
+    the limit, and whether they are numbered from 0 on."""
+    made = materialize(chunk(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text"), "passages")
+    words = made.select("row_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("w"))
+    kept = words.where(F.length("w") <= 1000).groupBy("row_id").agg(F.countDistinct("w").alias("words"))
+    form = made.groupBy("row_id").agg(
+        (F.max(F.length("text")) <= 1000).alias("short"), ((F.max("index") == F.count("*") - 1) & (F.countDistinct("index") == F.count("*"))).alias("dense")
+    )
+    return form.join(kept, "row_id", "left").select(F.col("row_id").alias("doc_id"), F.coalesce("words", F.lit(0)).alias("words"), "short", "dense")
+
+
 def embedding_text(spark: SparkSession, d: str) -> DataFrame:
     return _passages(spark, d).select("passage_id", F.sha2(T.embedding_text("heading", "text"), 256).alias("digest"))
 
@@ -162,12 +174,15 @@ def memory_recall(spark: SparkSession, d: str) -> DataFrame:
     own = _records(spark, d).where((F.col("owner") == owner) & F.col("text").isNotNull()).dropDuplicates(["memory_id", "text"])
     rows = own.withColumn("vec", T.hash_embed_udf()("text"))
     gone = _records(spark, d).where(F.col("owner") == owner).where("text is null").withColumn("vec", F.lit(None).cast("array<double>"))
-    hits = memory.recall(rows.unionByName(gone), owner, T.hash_embed("their furnace and the plain shard"), 1.8e9, 5)
+    hits = memory.recall(rows.unionByName(gone), owner, T.hash_embed(_QUESTION), 1.8e9, 5)
     return hits.select("memory_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
 def sequence_gaps(spark: SparkSession, d: str) -> DataFrame:
-    return health.sequence_gaps(table(spark, d, "vector_log"), "shard", "seq")
+    """What the committed runs skip, and what the log itself skips."""
+    runs = table(spark, d, "ingest_runs").where(is_committed("outcome"))
+    skipped = health.interval_gaps(merge_intervals(runs, "shard", "first_seq", "last_seq"), "shard").withColumn("of", F.lit("runs"))
+    return skipped.unionByName(health.sequence_gaps(table(spark, d, "vector_log"), "shard", "seq").withColumn("of", F.lit("log")))
 
 
 def log_after(spark: SparkSession, d: str) -> DataFrame:
@@ -232,7 +247,7 @@ def stream_ingest_replay(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hash_embedding_sparse, hash_embedding_knn, near_duplicates, retrieval_mrr, answerable, sentence_split, passage_chunks, embedding_text,
+        hash_embedding_sparse, hash_embedding_knn, near_duplicates, retrieval_mrr, answerable, sentence_split, passage_chunks, passages_kept, embedding_text,
         snippet, describe_age, claimed_outcome, doc_fingerprint, ingest_dedup, source_listing, memory_live, memory_tombstones, memory_tags,
         memory_recency, memory_recall, sequence_gaps, log_after, replay_state, health_problems, repair_plan, server_totals, ops_summary,
         stream_ingest_replay,
@@ -256,6 +271,7 @@ def _weights(name: str, row_id: str, text: str, source: str) -> str:
 
 
 _SEARCH = f"""dist as (select q.id as query_id, p.id as row_id, 1 - sum(q.weight * p.weight) as d from q join pw p using (bucket) group by 1, 2)"""
+_QUESTION = "their furnace and the plain shard"
 _RECORDS = """raw as (select mem_owner as owner, seq, unnest(payloads) as body, unnest(range(len(payloads))) as place from memory_log),
 good as (select owner, seq, place, any_value(body::json) as j from raw where json_valid(body) group by 1, 2, 3),
 gone as (select distinct owner, memory_id from (
@@ -283,6 +299,8 @@ select coalesce(kind, 'all') as kind, count(*) as questions, round(avg(case when
 from f group by grouping sets ((kind), ())""",
     "answerable": "select item_id, section from eval_items where section is not null and section not in (select heading from passages where heading is not null)",
     "sentence_split": """select doc_id, len(string_split(regexp_replace(text, '([.!?])[\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]+([A-Z0-9"''(\\[`*_])', '\\1' || chr(1) || '\\2', 'g'), chr(1))) as sentences from documents""",
+    "passages_kept": """select doc_id, (select count(distinct w) from (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as w) where length(w) <= 1000)
+  as words, true as short, true as dense from documents where regexp_matches(text, '[^\\s\\x{0B}\\x{1C}-\\x{1F}\\x{85}\\p{Z}]')""",
     "embedding_text": f"with {_PASSAGES} select passage_id, sha256(full_text) as digest from p",
     "snippet": """with o as (select doc_id, trim(regexp_replace(text, '[ \\t\\n\\x{0B}\\f\\r]+', ' ', 'g')) as t from documents)
 select doc_id, case when length(t) <= 240 then t else regexp_replace(substring(t, 1, 240), '\\s\\S*$', '') || ' ...' end as snippet from o""",
@@ -306,9 +324,22 @@ select owner, memory_id from m anti join gone using (owner, memory_id)""",
 from good where j->>'type' = 'memory' and json_type(j, '$.tags') = 'ARRAY'""",
     "memory_recency": f"""with {_RECORDS}, m as (select distinct owner, j->>'memory_id' as memory_id, (j->>'created')::double as created from good where j->>'type' = 'memory' and j->>'created' is not null)
 select owner, memory_id, round(0.03::double * pow(0.5::double, greatest((select max(created) from m) - created, 0) / 86400 / 30), 9) as bonus from m""",
-    "sequence_gaps": """with o as (select distinct shard, seq from vector_log),
-g as (select shard, coalesce(lag(seq) over (partition by shard order by seq), 0)::bigint as after_seq, seq as next_seq from o)
-select shard, after_seq, next_seq from g where next_seq <> after_seq + 1""",
+    "memory_recall": f"""with {_RECORDS},
+o as (select mem_owner as owner from memory_log group by 1 order by count(*) desc, 1 limit 1),
+m as (select row_number() over (order by memory_id, text) as id, * from (
+  select j->>'memory_id' as memory_id, j->>'text' as text, max((j->>'created')::double) as created
+  from good join o using (owner) where j->>'type' = 'memory' and j->>'text' is not null group by 1, 2)),
+{_weights('pw', 'id', 'text', 'm')}, {_weights('q', 'id', 'question', "(select 0 as id, '" + _QUESTION + "' as question)")}, {_SEARCH},
+n as (select m.memory_id, m.created, coalesce(1 - d, 0.0) as s from m left join dist on row_id = m.id order by round(s, 12) desc, memory_id limit 20),
+r as (select *, s + 0.03::double * pow(0.5::double, greatest(1.8e9::double - created, 0) / 86400 / 30) as score from n
+  where memory_id not in (select memory_id from gone join o using (owner)))
+select memory_id, round(s, 6) as similarity, round(score, 6) as score from r order by r.score desc, s desc, memory_id limit 5""",
+    "sequence_gaps": f"""with o as (
+  select distinct 'log' as of, shard, seq from vector_log
+  union
+  select 'runs', shard, unnest(range(first_seq, last_seq + 1)) from ingest_runs where {_COMMITTED}),
+g as (select of, shard, coalesce(lag(seq) over (partition by of, shard order by seq), 0)::bigint as after_seq, seq as next_seq from o)
+select of, shard, after_seq, next_seq from g where next_seq <> after_seq + 1""",
     "log_after": f"""with m as (select shard, max(last_seq) as done from ingest_runs where {_COMMITTED} group by 1)
 select distinct v.shard, v.seq from vector_log v left join m using (shard) where done is null or seq > done""",
     "replay_state": """with o as (select shard, seq, max(len(global_ids)) as n from vector_log where len(vec_values) = len(global_ids) * dim group by 1, 2)

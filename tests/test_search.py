@@ -10,8 +10,10 @@ from lodequery.functions.filters import decode_filter, encode_filter, lookup, ma
 from lodequery.functions.hnsw import HNSW, draw_levels, select_closest, select_diverse, unit
 from lodequery.functions.vectors import cosine_distance, norm, normalize
 from lodequery.operators import knn, routing
-from lodequery.operators.ann import IVF, build_graphs, links_per_node, lsh_search, megabytes, search_graphs
+from lodequery.operators.ann import IVF, build_graphs, links_per_node, lsh_search, megabytes, search_graphs, search_graphs_batch
 from lodequery.plans import search
+from lodequery.sources import store as store_module
+from lodequery.sources.store import VectorStore
 
 
 def frame(spark, x, **more):
@@ -223,7 +225,9 @@ def test_approximate_searches(spark):
     assert len({r[0] for r in lsh_search(df, q, 10, "id", "vec").collect()} & want) >= 8
     graphs = build_graphs(df.withColumn("shard", routing.by_id("id", 4)), "id", "vec", "shard")
     assert len({r[0] for r in search_graphs(graphs, q, 10, 50).collect()} & want) >= 9
-    assert {r[0] % 2 for r in search_graphs(graphs, q, 10, 50, set(range(0, 400, 2))).collect()} == {0}
+    even = graphs.withColumn("even", F.filter("ids", lambda i: i % 2 == 0))
+    one = spark.createDataFrame([(7, q)], "query_id bigint, q array<double>")
+    assert {r["row_id"] % 2 for r in search_graphs_batch(even, one, 10, "query_id", "q", 50, "even").collect()} == {0}
 
 
 def test_registered_approximate_searches_ask_all_queries(spark, tmp_path):
@@ -237,3 +241,39 @@ def test_registered_approximate_searches_ask_all_queries(spark, tmp_path):
     for f in (search.hnsw_search, search.ivf_search, search.random_projection_search):
         got = {(r["query_id"], r["vec_id"]) for r in f(spark, str(tmp_path)).collect()}
         assert len(got & want) >= 81, f.__name__
+
+
+def test_a_store_walks_graphs_or_measures_by_selectivity(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(31)
+    x = rng.standard_normal((1300, 10)).astype(np.float32)
+    body = [json.dumps({"half": ["left", "right"][i % 2], "rare": i % 60, "word": f"w{i}"}) for i in range(1300)]
+    df = spark.createDataFrame([(i, [float(v) for v in r], b) for i, (r, b) in enumerate(zip(x, body, strict=True))], "n int, vec array<double>, payload string")
+    store = VectorStore(spark, str(tmp_path / "s"), shards=2, graph_rows=500)
+    assert store.index() == 0
+    store.add(df.where("n < 700"), "vec", "payload", order="n")
+    assert store.index() == 500
+    built = store.state["graphs"]
+    store.add(df.where("n >= 700"), "vec", "payload", order="n")
+    assert store.index() == 1000 and store.state["graphs"][:1] == built and store.index() == 1000
+    again = VectorStore(spark, str(tmp_path / "s"))
+    assert again.state["graph_rows"] == 500 and again.graphs().select(F.sum(F.size("ids"))).first()[0] == 1000
+    queries = df.where("n % 130 = 0").select(F.col("n").cast("long").alias("query_id"), "vec")
+    walked = []
+    real = store_module.search_graphs_batch
+    monkeypatch.setattr(store_module, "search_graphs_batch", lambda graphs, *a: walked.append(graphs.count()) or real(graphs, *a))
+    for factor, segments in ((100, 0), (1, 2)):  # few matches in small segments are measured; at a lower price of a walk it is taken
+        monkeypatch.setattr(store_module, "prefers_exact", lambda m, n, ef, f=factor: knn.prefers_exact(m, n, ef, f))
+        for where, fits in (({"half": "left"}, lambda i: i % 2 == 0), ({"rare": [3, 4], "half": "right"}, lambda i: i % 60 == 3)):
+            got = again.search_batch(queries, 8, where).collect()
+            expected = segments if where == {"half": "left"} else 0
+            assert walked.pop() == expected and all(fits(r["row_id"]) for r in got) and len(got) == 80
+            ids = [i for i in range(1300) if fits(i)]
+            hits = sum(r["row_id"] in {ids[j] for j in exact(x[ids], x[r["query_id"]], 8)} for r in got)
+            assert hits >= (72 if expected else 80)
+    free = again.search_batch(queries, 8).collect()
+    assert walked.pop() == 4 and sum(r["row_id"] in set(exact(x, x[r["query_id"]], 8)) for r in free) >= 72
+    one = again.search([float(v) for v in x[1299]], 3, {"half": "right"}).collect()
+    assert one[0]["id"] == 1299 and json.loads(one[0]["payload"])["word"] == "w1299" and len(one) == 3
+    again.export(str(tmp_path / "copy"))
+    again.install(str(tmp_path / "copy"), 9)
+    assert again.state["indexed"] == 0 and again.search([float(v) for v in x[5]], 1).first()["id"] == 5
