@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import math
 import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIM = 512
@@ -42,8 +43,8 @@ def hashed_weights(df: DataFrame, row_id: str, text: str, dim: int = DIM) -> Dat
     sign = F.when(F.shiftright(crc, 16).bitwiseAND(F.lit(1).cast("long")) == 1, 1).otherwise(-1)
     counts = term.groupBy("row_id", (crc % dim).cast("int").alias("bucket")).agg(F.sum(sign).alias("n"))
     damped = counts.where("n <> 0").withColumn("w", F.signum("n") * F.log1p(F.abs("n").cast("double")))
-    lengths = damped.groupBy("row_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    return damped.join(lengths, "row_id").select("row_id", "bucket", (F.col("w") / F.col("len")).alias("weight"))
+    length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("row_id")))  # a row has ``dim`` buckets at most
+    return damped.select("row_id", "bucket", (F.col("w") / length).alias("weight"))
 
 
 def hashed_vector(text: Column | str, dim: int = DIM) -> Column:
@@ -82,15 +83,25 @@ def _bucket(word: str, dim: int) -> tuple[int, int] | None:
     return crc % dim, 1 if crc >> 16 & 1 else -1
 
 
+def hash_matrix(texts: list[str | None], dim: int = DIM) -> np.ndarray:
+    """The same vectors as the rows of a matrix; a text without terms has a zero row."""
+    counts = np.zeros((len(texts), dim))
+    at: list[int] = []
+    signs: list[int] = []
+    for i, text in enumerate(texts):
+        for w, n in Counter(_WORD.findall((text or "").lower())).items():
+            if (found := _bucket(w, dim)) is not None:
+                at.append(i * dim + found[0])
+                signs.append(n * found[1])
+    np.add.at(counts.ravel(), at, signs)
+    v = np.copysign(np.log1p(np.abs(counts)), counts)
+    length = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    return np.divide(v, length, out=np.zeros_like(v), where=length > 0)
+
+
 def hash_embed(text: str | None, dim: int = DIM) -> list[float]:
     """The same vector on the driver, for a question."""
-    counts = [0] * dim
-    for w in _WORD.findall((text or "").lower()):
-        if (at := _bucket(w, dim)) is not None:
-            counts[at[0]] += at[1]
-    v = [math.copysign(math.log1p(abs(n)), n) if n else 0.0 for n in counts]
-    length = math.sqrt(sum(x * x for x in v))
-    return [x / length for x in v] if length else v
+    return hash_matrix([text], dim)[0].tolist()
 
 
 def hash_embed_udf(dim: int = DIM):
@@ -98,7 +109,7 @@ def hash_embed_udf(dim: int = DIM):
 
     @F.pandas_udf("array<double>")
     def embed(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: hash_embed(t, dim))
+        return pd.Series(list(hash_matrix(texts.tolist(), dim)))
 
     return embed
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,53 +47,61 @@ def _nearest(dist: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return _first_k(row, ids[col], dist[row, col], k)
 
 
-def query_blocks(queries: DataFrame, query_id: str, query_vec: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Ids and unit vectors of the queries, in blocks of bounded size."""
+#: Turns texts into a matrix with a row for each.
+Embed = Callable[[list], np.ndarray]
+
+
+def query_blocks(queries: DataFrame, query_id: str, query_vec: str, embed: Embed | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and unit vectors of the queries, in blocks of bounded size; of texts if ``embed`` is given."""
     ids: list[int] = []
-    vectors: list[list[float]] = []
-    dim = None
-    chosen = queries.select(F.col(query_id).cast("long").alias("i"), F.col(query_vec).cast("array<double>").alias("v"))
-    for row in chosen.where("i is not null and v is not null").toLocalIterator():
+    vectors: list = []
+    dim, size = None, 0
+    value = F.col(query_vec) if embed else F.col(query_vec).cast("array<double>")
+    chosen = queries.select(F.col(query_id).cast("long").alias("i"), value.alias("v"))
+    matrix = lambda: _unit64(embed(vectors) if embed else np.array(vectors))
+    for row in chosen.where("i is not null and v is not null").toLocalIterator(prefetchPartitions=True):
         dim = dim or len(row["v"])
-        if len(row["v"]) != dim:
+        if not embed and len(row["v"]) != dim:
             continue
         ids.append(row["i"])
         vectors.append(row["v"])
-        if len(vectors) * dim * 8 >= QUERY_BYTES:
-            yield np.array(ids), _unit64(np.array(vectors))
-            ids, vectors = [], []
+        size += max(4096, len(row["v"])) if embed else dim * 8
+        if size >= QUERY_BYTES:
+            yield np.array(ids), matrix()
+            ids, vectors, size = [], [], 0
     if vectors:
-        yield np.array(ids), _unit64(np.array(vectors))
+        yield np.array(ids), matrix()
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch], dim: int, embed: Embed | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Ids and unit vectors of the rows of this length, at most 4,096 at once."""
     for batch in batches:
-        part = batch.filter(pa.array(np.array(batch.column(1).value_lengths()) == dim))
-        if not part.num_rows:
-            continue
-        own = part.column(0).to_numpy(zero_copy_only=False)
-        x = _unit64(part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-        for lo in range(0, own.size, 4096):
-            yield own[lo : lo + 4096], x[lo : lo + 4096]
+        part = batch if embed else batch.filter(pa.array(np.array(batch.column(1).value_lengths()) == dim))
+        for lo in range(0, part.num_rows, 4096):
+            cut = part.slice(lo, 4096)
+            own, values = cut.column(0).to_numpy(zero_copy_only=False), cut.column(1)
+            yield own, _unit64(embed(values.to_pylist()) if embed else values.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
 
 
-def _candidates(df: DataFrame, row_id: str, vec: str) -> tuple[DataFrame, str]:
-    rows = df.select(F.col(row_id).alias("row_id"), F.col(vec).cast("array<double>").alias("v")).where("v is not null and row_id is not null")
+def _candidates(df: DataFrame, row_id: str, vec: str, embed: Embed | None) -> tuple[DataFrame, str]:
+    value = F.col(vec) if embed else F.col(vec).cast("array<double>")
+    rows = df.select(F.col(row_id).alias("row_id"), value.alias("v")).where("v is not null and row_id is not null")
     return rows, f"query_id bigint, row_id {dict(df.dtypes)[row_id]}, distance double"
 
 
 def top_k_batch(
-    df: DataFrame, queries: DataFrame, k: int, row_id: str, vec: str, query_id: str, query_vec: str, max_distance: float | None = None
+    df: DataFrame, queries: DataFrame, k: int, row_id: str, vec: str, query_id: str, query_vec: str, max_distance: float | None = None,
+    embed: Embed | None = None,
 ) -> DataFrame:
     """(query_id, row_id, distance, rank) of the k nearest rows of every query.
 
     The queries travel to the vectors, as a matrix, in blocks of bounded size that are read one after another; each
     task multiplies its batches with it and keeps k rows a query; ranks are given after the merge. Rows and queries
-    with a null vector or of another length than the first query's are left out.
+    with a null vector or of another length than the first query's are left out. With ``embed`` both columns are texts,
+    which the tasks turn into vectors where they need them.
     """
     spark = df.sparkSession
-    rows, schema = _candidates(df, row_id, vec)
+    rows, schema = _candidates(df, row_id, vec, embed)
 
     def search(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
         shared = spark.sparkContext.broadcast((ids, matrix))
@@ -102,7 +110,7 @@ def top_k_batch(
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
             best = None
-            for own, x in _blocks(batches, dim):
+            for own, x in _blocks(batches, dim, embed):
                 found = [] if best is None else [best]
                 for at in range(0, q.shape[0], 512):
                     dist = 1.0 - np.round(q[at : at + 512] @ x.T, 12)
@@ -116,7 +124,7 @@ def top_k_batch(
         return rows.mapInArrow(run, schema)
 
     found = spark.createDataFrame([], schema)
-    for ids, matrix in query_blocks(queries, query_id, query_vec):
+    for ids, matrix in query_blocks(queries, query_id, query_vec, embed):
         found = found.unionByName(search(ids, matrix))
     if max_distance is not None:
         found = found.where(F.col("distance") <= max_distance)
@@ -129,13 +137,15 @@ def merge_ranked(found: DataFrame, k: int) -> DataFrame:
     return found.select("query_id", "row_id", "distance").withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
-def within_batch(df: DataFrame, queries: DataFrame, max_distance: float, row_id: str, vec: str, query_id: str, query_vec: str) -> DataFrame:
+def within_batch(
+    df: DataFrame, queries: DataFrame, max_distance: float, row_id: str, vec: str, query_id: str, query_vec: str, embed: Embed | None = None
+) -> DataFrame:
     """(query_id, row_id, distance) of all rows within the distance of every query, however many.
 
     The queries travel to the vectors as in ``top_k_batch``; a task gives out what each product finds and keeps nothing.
     """
     spark = df.sparkSession
-    rows, schema = _candidates(df, row_id, vec)
+    rows, schema = _candidates(df, row_id, vec, embed)
 
     def search(ids: np.ndarray, matrix: np.ndarray) -> DataFrame:
         shared = spark.sparkContext.broadcast((ids, matrix))
@@ -143,7 +153,7 @@ def within_batch(df: DataFrame, queries: DataFrame, max_distance: float, row_id:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, q = shared.value
-            for own, x in _blocks(batches, dim):
+            for own, x in _blocks(batches, dim, embed):
                 for at in range(0, q.shape[0], 512):
                     dist = 1.0 - np.round(q[at : at + 512] @ x.T, 12)
                     row, col = np.nonzero(dist <= max_distance)
@@ -154,7 +164,7 @@ def within_batch(df: DataFrame, queries: DataFrame, max_distance: float, row_id:
         return rows.mapInArrow(run, schema)
 
     found = spark.createDataFrame([], schema)
-    for ids, matrix in query_blocks(queries, query_id, query_vec):
+    for ids, matrix in query_blocks(queries, query_id, query_vec, embed):
         found = found.unionByName(search(ids, matrix))
     return found
 

@@ -25,18 +25,36 @@ SAME = 0.97
 RECENT_WEIGHT, HALF_LIFE_DAYS = 0.03, 30
 CANDIDATES = 4
 
-_PAYLOAD = "type string, memory_id string, text string, tags array<string>, created double, replaces variant, _namespace string"
+_FIELDS = {"type": "string", "memory_id": "string", "text": "string", "tags": "array<string>", "created": "double"}
 
 
-def from_payloads(log: DataFrame, owner: str, seq: str, payloads: str) -> DataFrame:
-    """Records out of JSON payloads, each (owner, seq, place) once; broken JSON gives none. ``replaces`` may be a list,
-    one text, null or missing."""
+def from_payloads(log: DataFrame, owner: str, seq: str, payloads: str, once: bool = True) -> DataFrame:
+    """Records out of JSON payloads; broken JSON gives none. ``replaces`` may be a list, one text, null or missing.
+
+    With ``once`` each (owner, seq, place) comes once; of different bodies that of the larger hash. Columns that aren't
+    asked for are neither read nor shuffled.
+    """
     each = log.select(F.col(owner).alias("owner"), F.col(seq).alias("seq"), F.posexplode(payloads).alias("place", "body"))
-    whole = each.where(F.try_parse_json("body").isNotNull()).dropDuplicates(["owner", "seq", "place"])
-    r = whole.withColumn("r", F.from_json("body", _PAYLOAD)).withColumn("named", F.col("r.replaces"))
-    many = F.try_variant_get("named", "$", "array<string>")
-    one = F.when(F.schema_of_variant("named") == "STRING", F.array(F.try_variant_get("named", "$", "string")))
-    return r.select("owner", "seq", "place", "r.type", "r.memory_id", "r.text", "r.tags", "r.created", F.coalesce(many, one, F.array().cast("array<string>")).alias("replaces"))
+    parsed = each.withColumn("v", F.try_parse_json("body")).where(F.col("v").isNotNull())
+    fields = [F.try_variant_get("v", f"$.{name}", kind).alias(name) for name, kind in _FIELDS.items()]
+    named = F.try_variant_get("v", "$.replaces", "variant")
+    many = F.try_variant_get("v", "$.replaces", "array<string>")
+    one = F.when(F.schema_of_variant(named) == "STRING", F.array(F.try_variant_get("v", "$.replaces", "string")))
+    names = F.coalesce(many, one, F.array().cast("array<string>")).alias("replaces")
+    rows = parsed.select("owner", "seq", "place", *fields, names, F.xxhash64("body").alias("_h"))
+    if not once:
+        return rows.drop("_h")
+    columns = [*_FIELDS, "replaces"]
+    return rows.groupBy("owner", "seq", "place").agg(*[F.max_by(c, "_h").alias(c) for c in columns])
+
+
+def live_ids(records: DataFrame) -> DataFrame:
+    """(owner, memory_id) of the memories that no record names, in one pass; repeated records don't matter."""
+    written = F.when((F.col("type") == "memory") & F.col("memory_id").isNotNull(), F.array(F.struct(F.col("memory_id").alias("id"), F.lit(True).alias("written"))))
+    none = F.array().cast("array<struct<id:string,written:boolean>>")
+    named = F.transform(F.filter("replaces", lambda x: x.isNotNull()), lambda x: F.struct(x.alias("id"), F.lit(False).alias("written")))
+    effects = records.select("owner", F.explode(F.concat(F.coalesce(written, none), named)).alias("e")).select("owner", F.col("e.id").alias("memory_id"), "e.written")
+    return effects.groupBy("owner", "memory_id").agg(F.min("written").alias("alive")).where("alive").select("owner", "memory_id")
 
 
 def replaced(records: DataFrame) -> DataFrame:

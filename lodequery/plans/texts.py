@@ -18,7 +18,7 @@ from lodequery.streaming.ingest import read_replayed, replay
 
 
 def hash_embedding_sparse(spark: SparkSession, d: str) -> DataFrame:
-    weights = T.hashed_weights(table(spark, d, "documents"), "doc_id", "text")
+    weights = T.hashed_weights(spread(table(spark, d, "documents").select("doc_id", "text"), "doc_id"), "doc_id", "text")
     return weights.select(F.col("row_id").alias("doc_id"), "bucket", F.round("weight", 6).alias("weight"))
 
 
@@ -26,15 +26,14 @@ def _passages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "passages").select("passage_id", "heading", "text").distinct()
 
 
-def _embedded(spark: SparkSession, d: str) -> DataFrame:
-    texts = _passages(spark, d).withColumn("full", T.embedding_text("heading", "text"))
-    return texts.withColumn("vec", T.hash_embed_udf()("full"))
+def _embeddable(spark: SparkSession, d: str) -> DataFrame:
+    return _passages(spark, d).withColumn("full", T.embedding_text("heading", "text"))
 
 
 def hash_embedding_knn(spark: SparkSession, d: str) -> DataFrame:
     """Questions (every hundredth) against all passages."""
-    asked = table(spark, d, "eval_items").where("item_id % 100 = 0").withColumn("qvec", T.hash_embed_udf()("question"))
-    hits = top_k_batch(_embedded(spark, d), asked, 5, "passage_id", "vec", "item_id", "qvec")
+    asked = table(spark, d, "eval_items").where("item_id % 100 = 0")
+    hits = top_k_batch(_embeddable(spark, d), asked, 5, "passage_id", "full", "item_id", "question", embed=T.hash_matrix)
     return hits.select(F.col("query_id").alias("item_id"), F.col("row_id").alias("passage_id"), "rank", (F.round("distance", 5) + 0.0).alias("distance"))
 
 
@@ -42,7 +41,7 @@ def hash_embedding_knn(spark: SparkSession, d: str) -> DataFrame:
 _COPIES = 4_096
 
 
-def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
+def near_duplicates(spark: SparkSession, d: str, within: float = 0.03) -> DataFrame:
     """Passages (every hundredth) and all passages of nearly the same words: similarity 0.97 or more.
 
     Passages of one text are one class, named by its smallest id: classes are searched, and each pair of them stands
@@ -54,12 +53,12 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     classes = texts.groupBy("digest").agg(
         F.min("passage_id").alias("class"), F.any_value("full").alias("full"), F.max(asks).alias("asked"), F.count("*").alias("size")
     )
-    classes = classes.withColumns({"blocks": F.ceil(F.col("size") / _COPIES), "vec": T.hash_embed_udf()("full")})
-    classes = materialize(classes.select("digest", "class", "asked", "blocks", "vec"), "classes")
+    classes = classes.withColumn("blocks", F.ceil(F.col("size") / _COPIES))
+    classes = materialize(classes.select("digest", "class", "asked", "blocks", "full"), "classes")
     block = F.pmod(F.xxhash64("passage_id"), "blocks").alias("block")
     members = texts.select("digest", "passage_id").join(classes.select("digest", "class", "blocks"), "digest").select("class", "passage_id", block)
-    asked = classes.where("asked").select(F.col("class").alias("qclass"), F.col("vec").alias("qvec"))
-    pairs = within_batch(classes, asked, 0.03, "class", "vec", "qclass", "qvec").withColumnsRenamed({"query_id": "qclass", "row_id": "class"})
+    asked = classes.where("asked").select(F.col("class").alias("qclass"), F.col("full").alias("question"))
+    pairs = within_batch(classes, asked, within, "class", "full", "qclass", "question", T.hash_matrix).withColumnsRenamed({"query_id": "qclass", "row_id": "class"})
     queries = members.where(asks).select(F.col("class").alias("qclass"), F.col("passage_id").alias("query_id"))
     hits = pairs.join(queries, "qclass").join(classes.select("class", "blocks"), "class")
     hits = hits.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
@@ -67,12 +66,16 @@ def near_duplicates(spark: SparkSession, d: str) -> DataFrame:
     return found.select("query_id", "passage_id", (F.round("distance", 5) + 0.0).alias("distance"))
 
 
+def related_passages(spark: SparkSession, d: str) -> DataFrame:
+    """The same for passages that share many words only: similarity 0.5 or more."""
+    return near_duplicates(spark, d, 0.5)
+
+
 def retrieval_mrr(spark: SparkSession, d: str) -> DataFrame:
     """All questions against all passages: does the section that a question is about come first?"""
     items = table(spark, d, "eval_items").where("section is not null")
-    asked = items.withColumn("qvec", T.hash_embed_udf()("question"))
-    rows = _embedded(spark, d)
-    hits = top_k_batch(rows, asked, 10, "passage_id", "vec", "item_id", "qvec")
+    rows = _embeddable(spark, d)
+    hits = top_k_batch(rows, items, 10, "passage_id", "full", "item_id", "question", embed=T.hash_matrix)
     headed = hits.join(rows.select(F.col("passage_id").alias("row_id"), "heading"), "row_id").withColumnRenamed("query_id", "item_id")
     firsts = evals.first_correct(headed, items.select("item_id", "kind", "section"), "item_id", "rank", "heading", "section")
     kinds = items.select("item_id", F.col("kind").alias("k"))
@@ -144,13 +147,13 @@ def source_listing(spark: SparkSession, d: str) -> DataFrame:
     return documents.source_listing(taken.select("source_key", "l.*"), "space_name", "passages")
 
 
-def _records(spark: SparkSession, d: str) -> DataFrame:
-    return memory.from_payloads(table(spark, d, "memory_log"), "mem_owner", "seq", "payloads")
+def _records(spark: SparkSession, d: str, once: bool = False) -> DataFrame:
+    return memory.from_payloads(spread(table(spark, d, "memory_log"), "delivery_id"), "mem_owner", "seq", "payloads", once)
 
 
 def memory_live(spark: SparkSession, d: str) -> DataFrame:
     """Memories that no record names, whatever the order."""
-    return memory.live(_records(spark, d)).select("owner", "memory_id").distinct()
+    return memory.live_ids(_records(spark, d))
 
 
 def memory_tombstones(spark: SparkSession, d: str) -> DataFrame:
@@ -171,10 +174,10 @@ def memory_recency(spark: SparkSession, d: str) -> DataFrame:
 def memory_recall(spark: SparkSession, d: str) -> DataFrame:
     """One owner's memories for a question; all owners' rows are read, the owner's searched."""
     owner = table(spark, d, "memory_log").groupBy("mem_owner").count().orderBy(F.desc("count"), "mem_owner").first()[0]
-    own = _records(spark, d).where((F.col("owner") == owner) & F.col("text").isNotNull()).dropDuplicates(["memory_id", "text"])
-    rows = own.withColumn("vec", T.hash_embed_udf()("text"))
-    gone = _records(spark, d).where(F.col("owner") == owner).where("text is null").withColumn("vec", F.lit(None).cast("array<double>"))
-    hits = memory.recall(rows.unionByName(gone), owner, T.hash_embed(_QUESTION), 1.8e9, 5)
+    own = _records(spark, d, True).where(F.col("owner") == owner)
+    own = own.withColumn("_first", F.coalesce(F.col("text"), F.concat("seq", F.lit("/"), "place"))).groupBy("owner", "type", "memory_id", "_first")
+    rows = own.agg(F.first("text").alias("text"), F.first("tags").alias("tags"), F.max("created").alias("created"), F.flatten(F.collect_list("replaces")).alias("replaces"))
+    hits = memory.recall(rows.withColumn("vec", T.hash_embed_udf()("text")), owner, T.hash_embed(_QUESTION), 1.8e9, 5)
     return hits.select("memory_id", F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
 
 
@@ -247,7 +250,7 @@ def stream_ingest_replay(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        hash_embedding_sparse, hash_embedding_knn, near_duplicates, retrieval_mrr, answerable, sentence_split, passage_chunks, passages_kept, embedding_text,
+        hash_embedding_sparse, hash_embedding_knn, near_duplicates, related_passages, retrieval_mrr, answerable, sentence_split, passage_chunks, passages_kept, embedding_text,
         snippet, describe_age, claimed_outcome, doc_fingerprint, ingest_dedup, source_listing, memory_live, memory_tombstones, memory_tags,
         memory_recency, memory_recall, sequence_gaps, log_after, replay_state, health_problems, repair_plan, server_totals, ops_summary,
         stream_ingest_replay,
@@ -367,3 +370,4 @@ select setup, scenario, runs, successes, round(p, 6) as rate,
   median_turns, mean_tokens, errors from w""",
     "stream_ingest_replay": "select shard, count(*) as deliveries, count(distinct delivery_id) as distinct_deliveries from vector_log where shard is not null group by 1",
 }
+SQL["related_passages"] = SQL["near_duplicates"].replace("d <= 0.03", "d <= 0.5")
