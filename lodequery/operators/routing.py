@@ -57,10 +57,11 @@ def running(df: DataFrame, kind: str, value: Column, name: str, group: list[str]
     total, both = getattr(F, kind), _COMBINED[kind]
     ranged = df.repartitionByRange(*[F.col(c) for c in [*group, *order]]).withColumn("_p", F.spark_partition_id()).withColumn("_v", value)
     parts = materialize(ranged, "ranged")
-    span = (1, Window.unboundedFollowing) if behind else (Window.unboundedPreceding, -1)
-    within = parts.withColumn("_w", total("_v").over(Window.partitionBy("_p", *group).orderBy(*order).rowsBetween(*span)))
+    way = F.desc if behind else F.asc  # backwards for what comes after: a frame that ends at the last row would take quadratic time
+    before = lambda *keys: Window.partitionBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    within = parts.withColumn("_w", total("_v").over(before("_p", *group).orderBy(*map(way, order))))
     totals = parts.groupBy("_p", *group).agg(total("_v").alias("_t"))  # rows: partitions plus groups
-    others = total("_t").over(Window.partitionBy(*group).orderBy("_p").rowsBetween(*span))
+    others = total("_t").over(before(*group).orderBy(way("_p")))
     beside = totals.select(F.col("_p").alias("_q"), *[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], others.alias("_b"))
     same = [F.col("_p") == F.col("_q"), *[F.col(c).eqNullSafe(F.col(f"_g{i}")) for i, c in enumerate(group)]]
     joined = within.join(beside, same).withColumn(name, both(F.col("_b"), F.col("_w")))
