@@ -8,7 +8,9 @@ import sys
 from lodequery import __version__
 from lodequery.functions.filters import parse_where
 from lodequery.functions.text import hash_embed
+from lodequery.operations import Journal, Operations, run_runbook
 from lodequery.operators.memory import MemoryStore
+from lodequery.operators.replicas import Replicas
 from lodequery.service import Session, document_tools, memory_tools
 from lodequery.session import local_session
 from lodequery.sources.files import read_word_vectors
@@ -41,6 +43,11 @@ def parser() -> argparse.ArgumentParser:
     serve = c.add_parser("serve", help="JSON-RPC on standard input and output")
     serve.add_argument("--read-only", action="store_true")
     serve.add_argument("--owner", help="serve this owner's memory instead of documents")
+    repair = c.add_parser("repair", help="bring copies of shards in the home folder up to date")
+    ops = c.add_parser("ops", help="look after copies of shards in the home folder")
+    ops.add_argument("action", choices=["check", "fix"])
+    for x in (repair, ops):
+        x.add_argument("--dry-run", action="store_true")
     memory = c.add_parser("memory")
     memory.add_argument("--owner", required=True)
     m = memory.add_subparsers(dest="action", required=True)
@@ -76,6 +83,16 @@ def main(argv: list[str] | None = None) -> int:
                 text, failed = tools[a.action].call({k: v for k, v in vars(a).items() if k in names and v is not None})
                 print(text, file=sys.stderr if failed else sys.stdout)
                 return int(failed)
+        if a.command in ("repair", "ops"):
+            look = Operations(Replicas(spark, f"{a.home}/copies", a.shards), Journal(f"{a.home}/journal.jsonl"), a.dry_run)
+            if a.command == "repair":
+                print(look.repair())
+            elif a.action == "check":
+                print(look.cluster_status())
+                return int(bool(look.problems()))
+            else:
+                print(run_runbook(look))
+            return 0
         store = VectorStore(spark, a.home, a.shards)
         if a.command == "serve":
             chosen = tools.values() if a.owner else document_tools(store, a.read_only)

@@ -9,6 +9,9 @@ from lodequery.operators.incremental import as_intervals
 from lodequery.operators.routing import running
 
 
+# The sentences of ``find_problems`` are fixed values.
+
+
 def find_problems(servers: DataFrame) -> DataFrame:
     """(shard, kind, replica, problem) in words; empty if every copy answers and live copies of a shard agree."""
     each = servers.where("not up").select(
@@ -36,6 +39,14 @@ def find_problems(servers: DataFrame) -> DataFrame:
     return each.withColumn("replica", F.col("replica").cast("int")).unionByName(whole)
 
 
+def describe_health(servers: DataFrame) -> DataFrame:
+    """(shard, line): a shard's copies in words."""
+    one = F.when(F.col("up"), F.format_string("replica %s up (%s vectors, seq %s)", "replica", "size", "last_seq")).otherwise(F.format_string("replica %s DOWN", "replica"))
+    copies = F.array_sort(F.collect_list(F.struct("replica", one.alias("t"))))  # the copies of a shard are few
+    joined = F.array_join(F.transform(copies, lambda x: x["t"]), ", ")
+    return servers.groupBy("shard").agg(joined.alias("t")).select("shard", F.format_string("shard %s: %s", "shard", "t").alias("line"))
+
+
 def repair_plan(servers: DataFrame) -> DataFrame:
     """(shard, replica, source, method, records): how each live copy that lags catches up with the newest live one.
 
