@@ -10,7 +10,7 @@ from lodequery.llm.leakage import find_leaks
 from lodequery.llm.markup import clean_passages, markup_found
 from lodequery.llm.packing import corpus_shares, mixture, pack_documents, room_left
 from lodequery.llm.repetition import find_repetitive, measure_repetition
-from lodequery.llm.segment import cut_kinds, split_passages
+from lodequery.llm.segment import LIMIT, OVERLAP, cut_kinds, split_passages
 from lodequery.operators.knn import top_k_batch
 from lodequery.session import materialize, table
 
@@ -23,6 +23,37 @@ def p3_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_passages(table(spark, d, "passages"))
 
 
+#: White space as Python knows it, for expressions of Spark and SQL.
+_SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]"
+
+
+def p3_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Of each passage that was split the characters beside white space that its pieces hold together, each once; whether
+    all pieces keep the limit and the overlap, are numbered from 0 and have the passage's heading."""
+    pieces = materialize(split_passages(table(spark, d, "passages")), "whole")
+    own = Window.partitionBy("passage_id").orderBy("piece_no")  # the pieces of one passage
+    told = pieces.withColumn("before", F.coalesce(F.lag("stop").over(own), F.lit(0)))
+    new = F.substring("text", F.greatest(F.lit(0), F.col("before") - F.col("start")) + 1, F.length("text"))
+    told = told.withColumn("letters", F.length(F.regexp_replace(new, _SPACE, "")))
+    return told.groupBy("passage_id").agg(
+        F.sum("letters").cast("long").alias("letters"),
+        F.bool_and(F.length("text") <= LIMIT).alias("short"),
+        F.bool_and((F.col("piece_no") == 0) | (F.col("before") - F.col("start") <= OVERLAP)).alias("shared"),
+        ((F.count("*") == F.max("n_pieces")) & (F.max("piece_no") == F.count("*") - 1) & (F.max("chunk_index") - F.min("chunk_index") == F.count("*") - 1)).alias("dense"),
+        F.max("heading").alias("heading"),
+    )
+
+
+def p4_unchanged(spark: SparkSession, d: str) -> DataFrame:
+    """Passages whose text has no sign that any markup begins with, as they come out."""
+    cleaned = clean_passages(table(spark, d, "passages"))
+    unsigned = table(spark, d, "passages").where(~F.col("text").rlike(_SIGNS)).select("passage_id")
+    return cleaned.join(unsigned, "passage_id", "left_semi").select("passage_id", F.md5("text").alias("digest"))
+
+
+_SIGNS = r"[<&$\\`*_\[{|~#>=]|''|--|[-+][ \t]|\d\.[ \t]"
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return markup_found(clean_passages(table(spark, d, "passages")))
 
@@ -100,7 +131,7 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p3_found, p3_pieces, p4_found, p4_clean, p5_found, p5_neighbors, p5_recall, p6_containers, p6_room, p6_mixture, p6_whole, p7_found, p8_found,
+        p3_found, p3_pieces, p3_whole, p4_found, p4_clean, p4_unchanged, p5_found, p5_neighbors, p5_recall, p6_containers, p6_room, p6_mixture, p6_whole, p7_found, p8_found,
         p8_shares,
     )
 }
@@ -124,4 +155,9 @@ from (select unnest(global_ids) as id from vector_log where len(vec_values) = le
     "p6_whole": """
 select limit_name, capacity_tokens, (select count(distinct doc_id) from documents) as documents, 0 as too_full, 0 as twice, 0 as incomplete
 from pack_limits where capacity_tokens > 0""",
+    "p3_whole": f"""
+select passage_id, length(regexp_replace(text, '{_SPACE}', '', 'g')) as letters, true as short, true as shared, true as dense, heading
+from (select distinct passage_id, text, heading from passages) where length(text) > 1000 and passage_id is not null""",
+    "p4_unchanged": f"""
+select distinct passage_id, md5(text) as digest from passages where passage_id is not null and not regexp_matches(text, '{_SIGNS.replace("'", "''")}')""",
 }
