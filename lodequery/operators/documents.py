@@ -9,15 +9,19 @@ from pyspark.sql import functions as F
 
 from lodequery.functions.text import embedding_text, get_embedder, hash_embed, snippet
 from lodequery.operators.chunking import chunk
+from lodequery.session import materialize
 from lodequery.sources.files import decode_text, find_documents
 from lodequery.sources.store import VectorStore
 
 
 @dataclass
 class IngestReport:
-    new: list[str]
-    unchanged: list[str]
-    changed: list[str]
+    """files: (key, path, sha256, state) of every listed file; how many are in each state; and the passages of the new ones."""
+
+    files: DataFrame
+    new: int
+    unchanged: int
+    changed: int
     passages: int
 
 
@@ -40,27 +44,28 @@ def read_passages(files: DataFrame, max_chars: int = 1000, overlap: int = 150) -
 def ingest_files(spark: SparkSession, store: VectorStore, paths: list[str], namespace: str | None = None, embedder: str = "hash") -> IngestReport:
     """Take in the files that the store doesn't know by (namespace, path); a changed file is reported and left as it is.
 
-    Passages and the record of their files are published in one step. Blank files are recorded with no passages.
+    Passages and the record of their files are published in one step. Blank files are recorded with no passages. Listing,
+    known files and passages are tables throughout; the driver sees counts.
     """
     prefix = f"{namespace}::" if namespace else ""
     files = find_documents(spark, paths).withColumn("key", F.concat(F.lit(prefix), "path"))
-    known = [(k, v["sha256"]) for k, v in store.state["sources"].items()]
-    taken = spark.createDataFrame(known, "key string, sha256 string")
-    marked = classify(files.select("key", "path", "sha256"), taken, "key", "sha256").select("key", "path", "sha256", "state").collect()  # a row a file
-    by = {s: sorted(r["key"] for r in marked if r["state"] == s) for s in ("new", "unchanged", "changed")}
-    if not by["new"]:
-        return IngestReport([], by["unchanged"], by["changed"], 0)
-    fresh = files.where(F.col("key").isin(by["new"]))
-    passages = read_passages(fresh)
-    counts = {prefix + r["path"]: r["n"] for r in passages.groupBy("path").agg(F.count("*").alias("n")).collect()}
+    marked = materialize(classify(files.select("key", "path", "sha256"), store.sources().select("key", "sha256"), "key", "sha256"), "listing")
+    counts = dict(marked.groupBy("state").count().collect())  # three rows
+    new = marked.where("state = 'new'")
+    report = IngestReport(marked, *(counts.get(s, 0) for s in ("new", "unchanged", "changed")), 0)
+    if not report.new:
+        return report
+    passages = materialize(read_passages(files.join(new.select("key"), "key", "left_semi")), "passages")
+    report.passages = passages.count()
     rows = passages.select(
         get_embedder(embedder)(embedding_text("heading", "text")).alias("vec"),
         F.to_json(F.struct("text", F.col("path").alias("source"), "heading", F.col("index").alias("chunk"))).alias("payload"),
         F.concat_ws("\x00", "path", F.lpad("index", 9, "0")).alias("place"),
     )
-    record = {r["key"]: {"sha256": r["sha256"], "passages": counts.get(r["key"], 0), "source": r["path"], "namespace": namespace} for r in marked if r["state"] == "new"}
+    made = passages.groupBy("path").agg(F.count("*").alias("passages"))
+    record = new.join(made, "path", "left").select("key", "sha256", F.coalesce("passages", F.lit(0)).alias("passages"), F.col("path").alias("source"), F.lit(namespace).cast("string").alias("space"))
     store.add(rows, "vec", "payload", namespace, "place", sources=record)
-    return IngestReport(by["new"], by["unchanged"], by["changed"], sum(counts.values()))
+    return report
 
 
 def find_passages(store: VectorStore, question: str, k: int = 5, namespace: str | None = None, source: str | None = None) -> DataFrame:

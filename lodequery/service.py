@@ -154,12 +154,11 @@ def document_tools(store: VectorStore, read_only: bool = False) -> list[Tool]:
     def ingest(paths: list[str], namespace: str | None = None) -> str:
         """Take in files or folders; what is known already is skipped, what has changed is reported."""
         r = ingest_files(store.spark, store, paths, namespace)
-        return f"{len(r.new)} new files, {r.passages} passages; {len(r.unchanged)} unchanged; {len(r.changed)} changed and left as they were"
+        return f"{r.new} new files, {r.passages} passages; {r.unchanged} unchanged; {r.changed} changed and left as they were"
 
     def status() -> str:
         """What the collection holds."""
-        rows = [(k, v["namespace"], v["passages"]) for k, v in store.state["sources"].items()]
-        got = source_listing(store.spark.createDataFrame(rows, "k string, space string, p int"), "space", "p").first()
+        got = source_listing(store.sources(), "space", "passages").first()
         return f"{got['files']} files, {got['passages']} passages, namespaces: {got['namespaces'] or 'none'}, last write {store.state['seq']}"
 
     tools = [Tool(search, k=(1, MOST_RESULTS)), Tool(status)]

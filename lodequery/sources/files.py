@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zipfile
 from collections.abc import Iterator
 from pathlib import Path
@@ -22,11 +21,15 @@ def find_documents(spark: SparkSession, paths: list[str], suffixes: tuple[str, .
     """
     found: DataFrame | None = None
     for p in paths:
-        if not os.path.exists(p):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p)
+        system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if not system.exists(where):
             raise FileNotFoundError(p)
+        status = system.getFileStatus(where)
         rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(p)
-        if os.path.isdir(p):
-            below = F.substring(F.regexp_replace("path", "^[a-z]+:(//)?", ""), len(os.path.abspath(p)) + 1, 100_000)
+        if status.isDirectory():
+            folder = status.getPath().toUri().getPath()
+            below = F.substring(F.regexp_replace("path", "^[a-z0-9]+:(//[^/]*)?(?=/)", ""), len(folder) + 1, 100_000)
             hidden = F.exists(F.split(below, "/"), lambda x: x.startswith("."))
             suffix = F.lower("path").rlike("(" + "|".join(s.replace(".", r"\.") for s in suffixes) + ")$")
             rows = rows.where(suffix & ~hidden)

@@ -30,7 +30,8 @@ GRAPHS = "shard int, block bigint, ids array<bigint>, graph binary"
 SCHEMA = "id bigint, vec array<double>, payload string, namespace string, seq bigint, shard int"
 
 
-SCHEMA_COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+SOURCES = "key string, sha256 string, passages bigint, source string, space string"
+SCHEMA_COLUMNS, SOURCE_COLUMNS = ([c.split()[0] for c in x.split(", ")] for x in (SCHEMA, SOURCES))
 
 
 class OutOfOrderWrite(ValueError):
@@ -45,7 +46,7 @@ class VectorStore:
         self.manifest = ManifestFolder(spark, f"{self.root}/manifest")
         self.version = self.manifest.version() or 0
         known = self.manifest.read(self.version) if self.version else None
-        self.state = json.loads(known) if known else {"shards": shards, "dim": None, "seq": 0, "base_seq": 0, "next_id": 0, "parts": [], "sources": {}, "graph_rows": graph_rows, "indexed": 0, "graphs": []}
+        self.state = json.loads(known) if known else {"shards": shards, "dim": None, "seq": 0, "base_seq": 0, "next_id": 0, "parts": [], "sources": [], "graph_rows": graph_rows, "indexed": 0, "graphs": []}
 
     @property
     def shards(self) -> int:
@@ -73,7 +74,19 @@ class VectorStore:
         """A folder for rows: all of them are partitions of one table, so any number of writes is one scan."""
         return f"{self.root}/rows/part={name}-{uuid.uuid4().hex[:8]}"
 
-    def add(self, df: DataFrame, vec: str = "vec", payload: str | None = None, namespace: str | None = None, order: str | None = None, seq: int | None = None, sources: dict | None = None) -> int:
+    def _record(self, sources: DataFrame) -> str:
+        path = f"{self.root}/sources/write={uuid.uuid4().hex}"
+        sources.select(*SOURCE_COLUMNS).write.parquet(path)
+        return path
+
+    def sources(self) -> DataFrame:
+        """(key, sha256, passages, source, space) of the files that were taken in."""
+        paths = self.state["sources"]
+        if not paths:
+            return self.spark.createDataFrame([], SOURCES)
+        return self.spark.read.schema(f"{SOURCES}, write string").option("basePath", f"{self.root}/sources").parquet(*paths).select(*SOURCE_COLUMNS)
+
+    def add(self, df: DataFrame, vec: str = "vec", payload: str | None = None, namespace: str | None = None, order: str | None = None, seq: int | None = None, sources: DataFrame | None = None) -> int:
         """Append all rows in one step and return the seq. New ids follow the largest; with ``namespace`` all rows go to
         its shard. The rows' vectors must have the store's dimension; a payload may not use the reserved field."""
         if namespace is not None:
@@ -86,6 +99,8 @@ class VectorStore:
         rows = df.select(F.col(vec).cast("array<double>").alias("vec"), text.alias("payload"), F.col(key).alias("_k"))
         dims = [r[0] for r in rows.select(F.size("vec").alias("d")).distinct().limit(2).collect()]
         if not dims:
+            if sources is not None:
+                self._publish(self.state | {"sources": self.state["sources"] + [self._record(sources)]})
             return self.state["seq"]
         if len(dims) > 1 or self.state["dim"] not in (None, dims[0]):
             raise ValueError(f"vectors of {sorted(dims)} numbers in a store of {self.state['dim']}")
@@ -99,7 +114,8 @@ class VectorStore:
         written = self.spark.read.parquet(path).count()
         state = self.state | {"dim": dims[0], "seq": expected, "next_id": self.state["next_id"] + written}
         state["parts"] = self.state["parts"] + [{"path": path, "seq": expected}]
-        state["sources"] = self.state["sources"] | (sources or {})
+        if sources is not None:
+            state["sources"] = self.state["sources"] + [self._record(sources)]
         self._publish(state)
         return expected
 

@@ -7,6 +7,7 @@ and UTF-8 text of its payload, or no payloads at all. A record that is cut short
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -71,8 +72,9 @@ def _decode(body: bytes) -> Record:
     return Record(seq, ids, vectors, texts)
 
 
-def read_log(path: str) -> Iterator[Record]:
-    """The intact records of a file, one at a time."""
+def _intact(path: str) -> Iterator[tuple[Record, int]]:
+    """The intact records of a file, and where each ends."""
+    end = 0
     with open(path, "rb") as f:
         while frame := f.read(FRAME.size):
             try:
@@ -83,12 +85,52 @@ def read_log(path: str) -> Iterator[Record]:
                 record = _decode(body)
             except _Torn:
                 return
-            yield record
+            end += FRAME.size + size
+            yield record, end
+
+
+def read_log(path: str) -> Iterator[Record]:
+    """The intact records of a file, one at a time."""
+    for record, _ in _intact(path):
+        yield record
+
+
+class LogWriter:
+    """Appends behind the last intact record: a torn tail is cut off when the file is opened, or else nothing after it
+    could be read. With ``sync`` records are on disk when ``append`` returns."""
+
+    def __init__(self, path: str, sync: bool = True):
+        Path(path).touch()
+        end = max((e for _, e in _intact(path)), default=0)
+        self.sync, self.file = sync, open(path, "r+b")
+        self.file.truncate(end)
+        self.file.seek(end)
+
+    def append(self, *records: Record) -> None:
+        self.file.write(b"".join(r.encode() for r in records))
+        self._flush()
+
+    def reset(self) -> None:
+        """Empty the log, when a snapshot holds its records."""
+        self.file.truncate(0)
+        self.file.seek(0)
+        self._flush()
+
+    def _flush(self) -> None:
+        self.file.flush()
+        if self.sync:
+            os.fsync(self.file.fileno())
+
+    def __enter__(self) -> LogWriter:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.file.close()
 
 
 def append_log(path: str, *records: Record) -> None:
-    with open(path, "ab") as f:
-        f.write(b"".join(r.encode() for r in records))
+    with LogWriter(path) as log:
+        log.append(*records)
 
 
 class _File(InputPartition):

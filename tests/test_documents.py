@@ -13,7 +13,7 @@ from lodequery.operators.documents import find_passages, ingest_files, source_li
 from lodequery.plans import texts
 from lodequery.sources import files
 from lodequery.sources.store import OutOfOrderWrite, VectorStore
-from lodequery.sources.wal import Record, WalDataSource, append_log, read_log
+from lodequery.sources.wal import LogWriter, Record, WalDataSource, append_log, read_log
 from lodequery.streaming.ingest import Watch, read_replayed, replay
 
 GUIDE = "Intro line.\n\n# Guide\n\nText of the guide.\n\n## Install\n\n```\n# not a heading\n```\n\n## Usage\n### Search ##\nAsk it!\n"
@@ -88,15 +88,18 @@ def test_ingest_once_by_content(spark, tmp_path):
     (docs / "cats.txt").write_text("Cats purr and sleep. Rockets don't.")
     store = VectorStore(spark, str(tmp_path / "store"), 2)
     first = ingest_files(spark, store, [str(docs)], "alice")
-    assert len(first.new) == 2 and first.passages == 5
+    assert first.new == 2 and first.passages == 5
     again = ingest_files(spark, store, [str(docs)], "alice")
-    assert not again.new and len(again.unchanged) == 2 and again.passages == 0
+    assert not again.new and again.unchanged == 2 and again.passages == 0
     (docs / "cats.txt").write_text("Dogs bark.")
-    assert [k.rsplit("/", 1)[1] for k in ingest_files(spark, store, [str(docs)], "alice").changed] == ["cats.txt"]
+    (docs / "blank.txt").write_text(" \n")
+    third = ingest_files(spark, store, [str(docs)], "alice")
+    assert third.new == 1 and third.passages == 0 and ingest_files(spark, store, [str(docs)], "alice").new == 0
+    assert [r["key"].rsplit("/", 1)[1] for r in third.files.where("state = 'changed'").collect()] == ["cats.txt"]
     hit = find_passages(store, "do cats purr?", 1, "alice").first()
     assert hit["snippet"].startswith("Cats purr") and hit["chunk"] == 0
     assert find_passages(store, "cats", 3, "nobody").count() == 0
-    assert len(ingest_files(spark, store, [str(docs)], "bob").new) == 2
+    assert ingest_files(spark, store, [str(docs)], "bob").new == 3
 
 
 def test_store(spark, tmp_path):
@@ -146,6 +149,15 @@ def test_log_source_stops_at_damage(spark, tmp_path):
     data[30] ^= 1
     (tmp_path / "c.log").write_bytes(bytes(data))
     assert list(read_log(str(tmp_path / "c.log"))) == []
+    whole = (tmp_path / "a.log").read_bytes()
+    (tmp_path / "torn.log").write_bytes(whole[:-3])
+    with LogWriter(str(tmp_path / "torn.log")) as log:  # what was torn goes, what comes after can be read
+        log.append(Record(7, [1], x[:1]))
+        log.append(Record(8, [2], x[:1]))
+        assert [r.seq for r in read_log(str(tmp_path / "torn.log"))] == [1, 2, 7, 8]
+        log.reset()
+        log.append(Record(9, [2], x[:1]))
+    assert [r.seq for r in read_log(str(tmp_path / "torn.log"))] == [9]
 
 
 def test_memory(spark, tmp_path):
