@@ -9,6 +9,7 @@ from lodequery import __version__
 from lodequery.functions.filters import parse_where
 from lodequery.functions.text import hash_embed
 from lodequery.operations import Journal, Operations, run_runbook
+from lodequery.operators.documents import ingest_files
 from lodequery.operators.memory import MemoryStore
 from lodequery.operators.replicas import Replicas
 from lodequery.service import Session, document_tools, memory_tools
@@ -31,8 +32,12 @@ def parser() -> argparse.ArgumentParser:
     similar.add_argument("word")
     ingest = c.add_parser("ingest", help="files or folders")
     ingest.add_argument("paths", nargs="+")
+    ingest.add_argument("--embedder", default="hash")
+    ingest.add_argument("--chunk-chars", type=int, default=1000)
+    ingest.add_argument("--overlap", type=int, default=150)
     search = c.add_parser("search", help="passages for a question")
     search.add_argument("question")
+    search.add_argument("--full", action="store_true", help="whole passages instead of snippets")
     search.add_argument("--where", action="append", default=[], metavar="FIELD=VALUE")
     for x in (similar, search):
         x.add_argument("-k", type=int, default=5)
@@ -107,8 +112,11 @@ def main(argv: list[str] | None = None) -> int:
         elif a.command == "similar":
             for rank, (word, similarity) in enumerate(similar_words(store, a.word, a.k), 1):
                 print(f"{rank:3} {word} {similarity:.4f}")
-        elif a.command == "search" and a.where:
-            for r in store.search(hash_embed(a.question), a.k, parse_where(a.where), a.namespace).collect():
+        elif a.command == "ingest":
+            r = ingest_files(spark, store, a.paths, a.namespace, a.embedder, a.chunk_chars, a.overlap)
+            print(f"{r.new} new files, {r.passages} passages; {r.unchanged} unchanged; {r.changed} changed and left as they were")
+        elif a.command == "search" and (a.where or a.full):
+            for r in store.search(hash_embed(a.question), a.k, parse_where(a.where) or None, a.namespace).collect():
                 print(f"{1 - r['distance']:.4f} {r['payload']}")
         elif a.command == "compact":
             store.compact()

@@ -205,6 +205,11 @@ def display_path(path: Column | str, base: str) -> Column:
     return F.when(p.startswith(root), F.substring(p, F.lit(len(root) + 1), F.length(p))).otherwise(p)
 
 
+def parse_addresses(text: str) -> list[tuple[str, int, str]]:
+    """Addresses in a list with commas; blank ones are none."""
+    return [parse_address(part) for part in text.split(",") if part.strip()]
+
+
 def parse_address(text: str) -> tuple[str, int, str]:
     """HOST:PORT[=PEER] as (host, port, peer address); the peer is the address itself if not given."""
     m = re.fullmatch(r"([^\s:=,]+):(\d{1,5})(?:=([^\s:=,]+:\d{1,5}))?", text.strip())

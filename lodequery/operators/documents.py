@@ -41,7 +41,7 @@ def read_passages(files: DataFrame, max_chars: int = 1000, overlap: int = 150) -
     return one.unionByName(two).withColumnRenamed("row_id", "path")
 
 
-def ingest_files(spark: SparkSession, store: VectorStore, paths: list[str], namespace: str | None = None, embedder: str = "hash") -> IngestReport:
+def ingest_files(spark: SparkSession, store: VectorStore, paths: list[str], namespace: str | None = None, embedder: str = "hash", max_chars: int = 1000, overlap: int = 150) -> IngestReport:
     """Take in the files that the store doesn't know by (namespace, path); a changed file is reported and left as it is.
 
     Passages and the record of their files are published in one step. Blank files are recorded with no passages. Listing,
@@ -55,7 +55,7 @@ def ingest_files(spark: SparkSession, store: VectorStore, paths: list[str], name
     report = IngestReport(marked, *(counts.get(s, 0) for s in ("new", "unchanged", "changed")), 0)
     if not report.new:
         return report
-    passages = materialize(read_passages(files.join(new.select("key"), "key", "left_semi")), "passages")
+    passages = materialize(read_passages(files.join(new.select("key"), "key", "left_semi"), max_chars, overlap), "passages")
     report.passages = passages.count()
     rows = passages.select(
         get_embedder(embedder)(embedding_text("heading", "text")).alias("vec"),

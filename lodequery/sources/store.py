@@ -24,6 +24,8 @@ from lodequery.operators.knn import merge_ranked, prefers_exact, top_k, top_k_ba
 from lodequery.operators.routing import route, with_dense_ids
 from lodequery.sources.manifest import ManifestFolder
 
+#: Rows of one file at most, and writes after which the parts are folded together.
+FILE_ROWS, COMPACT_EVERY = 1_000_000, 1_000
 #: Numbers in the stretch of ids of a segment; a graph holds no more vectors.
 GRAPH_ROWS = 65_536
 GRAPHS = "shard int, block bigint, ids array<bigint>, graph binary"
@@ -41,8 +43,8 @@ class OutOfOrderWrite(ValueError):
 class VectorStore:
     """One writer at a time. A store has one dimension, that of its first write."""
 
-    def __init__(self, spark: SparkSession, root: str, shards: int = 4, graph_rows: int = GRAPH_ROWS):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, shards: int = 4, graph_rows: int = GRAPH_ROWS, compact_every: int = COMPACT_EVERY):
+        self.spark, self.root, self.compact_every = spark, root.rstrip("/"), compact_every
         self.manifest = ManifestFolder(spark, f"{self.root}/manifest")
         self.version = self.manifest.version() or 0
         known = self.manifest.read(self.version) if self.version else None
@@ -110,13 +112,15 @@ class VectorStore:
         numbered = with_dense_ids(rows, "id", self.state["next_id"], "_k").withColumn("namespace", F.lit(namespace).cast("string"))
         placed = numbered.select("id", normalize("vec").alias("vec"), "payload", "namespace", F.lit(expected).cast("long").alias("seq"))
         path = self._part(f"{expected:08d}")
-        placed.withColumn("shard", route("id", "namespace", self.shards)).write.partitionBy("shard").parquet(path)
+        placed.withColumn("shard", route("id", "namespace", self.shards)).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard").parquet(path)
         written = self.spark.read.parquet(path).count()
         state = self.state | {"dim": dims[0], "seq": expected, "next_id": self.state["next_id"] + written}
         state["parts"] = self.state["parts"] + [{"path": path, "seq": expected}]
         if sources is not None:
             state["sources"] = self.state["sources"] + [self._record(sources)]
         self._publish(state)
+        if len(state["parts"]) >= self.compact_every:
+            self.compact()
         return expected
 
     def index(self) -> int:
@@ -137,6 +141,11 @@ class VectorStore:
         paths = self.state["graphs"]
         return self.spark.read.schema(f"{GRAPHS}, built string").option("basePath", f"{self.root}/graphs").parquet(*paths).drop("built")
 
+    def lookup(self, where: dict | None = None, namespace: str | None = None) -> DataFrame:
+        """(id, payload) of all rows that match, without a query."""
+        shard, rest = plan_query(where, namespace, self.shards)
+        return self.rows().where(shard).where(rest).select("id", full_payload().alias("payload"))
+
     def search(self, query: list[float], k: int, where: dict | None = None, namespace: str | None = None, payloads: bool = True, ef: int = 50) -> DataFrame:
         """(id, distance[, payload]) of the k nearest rows that match. A namespace reads its shard's folder only."""
         shard, rest = plan_query(where, namespace, self.shards)
@@ -189,7 +198,7 @@ class VectorStore:
         if len(self.state["parts"]) < 2:
             return
         path = self._part(f"base-{self.state['seq']:08d}")
-        self.rows().repartition("shard").write.partitionBy("shard").parquet(path)
+        self.rows().repartition("shard", self._block()).write.option("maxRecordsPerFile", FILE_ROWS).partitionBy("shard").parquet(path)
         self._publish(self.state | {"parts": [{"path": path, "seq": self.state["seq"]}], "base_seq": self.state["seq"]})
 
     def export(self, path: str) -> None:

@@ -52,6 +52,7 @@ def test_small_texts(spark):
     assert one(spark, "One. Two! three? (Four)", T.sentences("x")) == ["One.", "Two! three?", "(Four)"]
     assert one(spark, "/a/b/c.md", T.display_path("x", "/a/b")) == "c.md" and one(spark, "/z", T.display_path("x", "/a")) == "/z"
     assert T.parse_address("h:1=p:2") == ("h", 1, "p:2") and T.parse_address("h:1") == ("h", 1, "h:1")
+    assert T.parse_addresses("h:1, g:2=p:3,") == [("h", 1, "h:1"), ("g", 2, "p:3")]
     with pytest.raises(ValueError):
         T.parse_address("nothing")
 
