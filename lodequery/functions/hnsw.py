@@ -190,13 +190,11 @@ class HNSW:
                 moving = moving[up]
         return at
 
-    def _beam(
-        self, lay: int, q: np.ndarray, entry: np.ndarray, ef: int, allowed: np.ndarray | None = None, step: int = 4
-    ) -> tuple[np.ndarray, np.ndarray]:
+    def _beam(self, lay: int, q: np.ndarray, entry: np.ndarray, ef: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """(ids, similarities) [queries, ef] of each query's best nodes on a layer, nearest first; padding has -inf.
 
-        The ``step`` best open nodes of a beam are expanded at once. With ``allowed`` the walk passes all nodes and the
-        result holds allowed ones only. A place of a beam is one number, see ``_keys``, so a beam is kept by sorting.
+        The ``step`` best open nodes of a beam are expanded at once. A place of a beam is one number, see ``_keys``, so a
+        beam is kept by sorting.
         """
         n, links, x = self.size, self.links[lay], self.vectors
         out = np.full((q.shape[0], ef), _NONE)
@@ -211,15 +209,12 @@ class HNSW:
             visited[row + at] = True
             beam = np.full((slot.size, ef), _NONE)
             beam[:, 0] = _keys(np.einsum("ij,ij->i", x[at], qs), at)
-            kept = None if allowed is None else np.where(allowed[_ids(beam, n)], beam, _NONE)
             while slot.size:
                 open_ = (beam & 1).astype(bool) & (beam != _NONE)
                 going = open_.any(axis=1)
                 if going.sum() < 0.8 * slot.size or not going.any():  # closed beams leave together, now and then
-                    out[lo + slot[~going]] = (beam if kept is None else kept)[~going]
+                    out[lo + slot[~going]] = beam[~going]
                     slot, qs, row, beam, open_ = slot[going], qs[going], row[going], beam[going], open_[going]
-                    if kept is not None:
-                        kept = kept[going]
                     if not slot.size:
                         break
                 # beams are sorted, so the first open places are the best ones
@@ -243,10 +238,6 @@ class HNSW:
                 every = np.concatenate([beam, new], axis=1)
                 every.sort(axis=1)
                 beam = every[:, :ef].copy()
-                if kept is not None:
-                    every = np.concatenate([kept, np.where(allowed[cand], new, _NONE)], axis=1)
-                    every.sort(axis=1)
-                    kept = every[:, :ef]
         return _ids(out, n), _similarities(out)
 
     def search(
@@ -254,10 +245,19 @@ class HNSW:
     ) -> tuple[np.ndarray, np.ndarray]:
         """(numbers, cosine similarities) [queries, ef], nearest first. Padding: the number of vectors, and -inf.
 
-        ``allowed`` marks the vectors that a result may hold; ``entry`` gives a node to begin at instead of the descent.
+        ``allowed`` marks the vectors that a result may hold. The walk passes all nodes, with a beam so much wider that
+        ``ef`` of its places are allowed ones on average; the fewer are allowed, the more it costs. ``entry`` gives a node to
+        begin at instead of the descent.
         """
-        q = unit(queries)
-        if not self.size:
-            return np.zeros((q.shape[0], ef), np.int64), np.full((q.shape[0], ef), -np.inf, np.float32)
-        mask = None if allowed is None else np.append(allowed, False)
-        return self._beam(0, q, self._descend(q, 0) if entry is None else entry, ef, mask)
+        q, n = unit(queries), self.size
+        some = n if allowed is None else int(np.count_nonzero(allowed))
+        if not some:
+            return np.full((q.shape[0], ef), n, np.int64), np.full((q.shape[0], ef), -np.inf, np.float32)
+        width = ef if allowed is None else max(ef, min(n, -(-ef * n // some)))
+        ids, sims = self._beam(0, q, self._descend(q, 0) if entry is None else entry, width)
+        if allowed is not None:
+            good = np.append(allowed, False)[ids]
+            first = np.argsort(~good, axis=1, kind="stable")[:, :ef]
+            good, ids, sims = (np.take_along_axis(v, first, 1) for v in (good, ids, sims))
+            ids, sims = np.where(good, ids, n), np.where(good, sims, np.float32(-np.inf))
+        return ids, sims

@@ -6,7 +6,7 @@ import os
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -47,6 +47,11 @@ def hashed_weights(df: DataFrame, row_id: str, text: str, dim: int = DIM) -> Dat
     return damped.select("row_id", "bucket", (F.col("w") / length).alias("weight"))
 
 
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once: named within a lambda it would be computed again for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hashed_vector(text: Column | str, dim: int = DIM) -> Column:
     """The same vector as a dense array<double>, within the row: no shuffle."""
     entries = F.transform(
@@ -67,9 +72,10 @@ def hashed_vector(text: Column | str, dim: int = DIM) -> Column:
         ).otherwise(F.concat(acc, F.array(F.struct(e["b"].alias("b"), e["s"].alias("s"))))),
     )
     by_bucket = F.map_from_entries(F.transform(runs, lambda e: F.struct(e["b"].alias("k"), (F.signum(e["s"]) * F.log1p(F.abs(e["s"]).cast("double"))).alias("v"))))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.try_element_at(by_bucket, i), F.lit(0.0)))
-    length = F.sqrt(F.aggregate(dense, F.lit(0.0), lambda s, x: s + x * x))
-    return F.transform(dense, lambda x: F.when(length > 0, x / length).otherwise(x))
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    dense = _bound(by_bucket, lambda m: F.transform(places, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
+    long = lambda d: F.sqrt(F.aggregate(d, F.lit(0.0), lambda s, x: s + x * x))
+    return _bound(dense, lambda d: _bound(long(d), lambda n: F.transform(d, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
 @lru_cache(maxsize=200_000)
