@@ -78,11 +78,18 @@ class Route:
 
 
 def fit_centroids(sample: np.ndarray, cells: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
-    """Spherical k-means. An emptied cell takes over the vector that lies worst."""
+    """Spherical k-means. It begins with vectors drawn one after another, each the likelier the further it lies from those
+    before, so that no topic has many centroids and another none. An emptied cell takes over the vector that lies worst."""
     rng = np.random.default_rng(seed)
     x = np.unique(sample, axis=0)
     cells = max(1, min(cells, x.shape[0]))
-    c = x[rng.choice(x.shape[0], cells, replace=False)]
+    chosen = [int(rng.integers(x.shape[0]))]
+    far = np.full(x.shape[0], np.inf)
+    while len(chosen) < cells:
+        far = np.minimum(far, np.maximum(1 - x @ x[chosen[-1]].astype(np.float64), 1e-9))
+        far[chosen[-1]] = 0.0  # distinct vectors: there is always another one
+        chosen.append(int(rng.choice(x.shape[0], p=far**2 / (far**2).sum())))
+    c = x[chosen]
     for _ in range(rounds):
         sims = x @ c.T
         own = sims.argmax(axis=1)
