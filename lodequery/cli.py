@@ -48,6 +48,7 @@ def parser() -> argparse.ArgumentParser:
     serve = c.add_parser("serve", help="JSON-RPC on standard input and output")
     serve.add_argument("--read-only", action="store_true")
     serve.add_argument("--owner", help="serve this owner's memory instead of documents")
+    serve.add_argument("--ops", action="store_true", help="serve the tools that look after copies of shards")
     repair = c.add_parser("repair", help="bring copies of shards in the home folder up to date")
     ops = c.add_parser("ops", help="look after copies of shards in the home folder")
     ops.add_argument("action", choices=["check", "fix"])
@@ -98,9 +99,11 @@ def main(argv: list[str] | None = None) -> int:
             else:
                 print(run_runbook(look))
             return 0
+        if a.command == "serve" and a.ops:
+            tools = {t.name: t for t in Operations(Replicas(spark, f"{a.home}/copies", a.shards), Journal(f"{a.home}/journal.jsonl")).tools()}
         store = VectorStore(spark, a.home, a.shards)
         if a.command == "serve":
-            chosen = tools.values() if a.owner else document_tools(store, a.read_only)
+            chosen = tools.values() if a.owner or a.ops else document_tools(store, a.read_only)
             for line in Session("lodequery", __version__, chosen).serve(sys.stdin):
                 print(line, flush=True)
         elif a.command == "load":

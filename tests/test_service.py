@@ -64,6 +64,8 @@ def test_command_line(spark, tmp_path, capsys, monkeypatch):
     assert cli.main([*docs, "search", "rockets", "--full"]) == 0 and "Rockets fly" in capsys.readouterr().out
     assert cli.main([*docs, "ingest", str(tmp_path / "b.txt"), "--chunk-chars", "100", "--overlap", "10"]) == 0 and "1 unchanged" in capsys.readouterr().out
     assert cli.main([*docs, "ops", "check"]) == 0 and cli.main([*docs, "repair", "--dry-run"]) == 0 and "Nothing to repair" in capsys.readouterr().out
+    monkeypatch.setattr("sys.stdin", iter(['{"jsonrpc": "2.0", "id": 1, "method": "tools/call", "params": {"name": "probe_search"}}']))
+    assert cli.main([*docs, "serve", "--ops"]) == 0 and "hold nothing to search" in capsys.readouterr().out
     assert cli.main([*docs, "compact"]) == 0 and cli.main([*docs, "status"]) == 0
     assert cli.main([*docs, "memory", "--owner", "ann", "remember", "tea"]) == 0
     with pytest.raises(SystemExit):
